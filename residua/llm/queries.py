@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residua.llm.leakage import leak_spans
 from residua.llm.nearest_time import nearest_matches
+from residua.llm.packing import pack_documents
+from residua.llm.quantiles import combine, group_percentiles, percentiles, summarise
+from residua.llm.stuffing import spam_shares
 from residua.sources.tables import table
 
 TOLERANCE_DAYS = 2.0 / 86400
 CHANNEL_MHZ = 1.0
+EPS = 0.005
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +44,42 @@ where abs(lk.freq - rk.freq) <= 1.0 and abs(mjd - t) <= 2.0::double / 86400
 group by toa_id
 """
 
-QUERIES = {"p1_found": p1_found}
+def p6_freq_by_timfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_percentiles(table(spark, sf_dir, "tim_meta"), ["_timfile"], "freq", eps=EPS)
+
+
+def p6_resid_by_grp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_percentiles(table(spark, sf_dir, "toas"), ["grp"], "resid", eps=EPS)
+
+
+def p6_resid_by_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of each month of loading, combined into the whole."""
+    toas = table(spark, sf_dir, "toas").withColumn("load_month", F.date_trunc("month", "loaded_at"))
+    return percentiles(combine(summarise(toas, ["grp", "load_month"], "resid", eps=EPS), ["grp"], eps=EPS), ["grp"])
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_spans(spark, sf_dir).select("item_id", "doc_id")
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_shares(table(spark, sf_dir, "documents"), above=0.5).select("doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_shares(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p6_freq_by_timfile, p6_resid_by_grp, p6_resid_by_load, p7_packed, p8_found, p8_spans, p9_found, p9_shares)
+}
 SQL = {"p1_found": P1_SQL}
