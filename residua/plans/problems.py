@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from residua.operators.drift import schema_drift, unified_table
 from residua.operators.line_grammar import loaded_toas, rejected_lines
+from residua.operators.salted import Partial, salted_aggregate
 from residua.operators.series_faults import find_faults
 from residua.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift(table(spark, sf_dir, "frame_dumps"))
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unified_table(table(spark, sf_dir, "frame_dumps"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected_lines(table(spark, sf_dir, "tim_lines"), keep=["line_id"]).select("line_id", "reason")
 
@@ -21,5 +32,61 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_faults(table(spark, sf_dir, "toas"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found}
-SQL: dict[str, str] = {}
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toas with resid in picoseconds and weight 1/us^2 where both measurements are usable, else null."""
+    ok = (F.abs("resid") < 1) & (F.col("sigma") > 0) & (F.col("sigma") < 1)
+    return table(spark, sf_dir, "toas").select(
+        "toa_id",
+        "grp",
+        "sys",
+        "day",
+        F.when(ok, F.col("resid") * 1e12).alias("ps"),
+        F.when(ok, F.lit(1e-12) / (F.col("sigma") * F.col("sigma"))).alias("w"),
+        F.when(ok, F.abs("resid") / F.col("sigma")).alias("z"),
+    )
+
+
+def _stats(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    aggs = {
+        "n": Partial.count(),
+        "n_used": Partial.count(F.col("w").isNotNull()),
+        "mean": Partial.weighted_mean(F.col("ps"), F.col("w")),
+        "z_max": Partial.most(F.col("z")),
+    }
+    out = salted_aggregate(_weighted(spark, sf_dir), [key], aggs, identity=["toa_id"])
+    return out.select(key, "n", "n_used", F.round("mean").cast("bigint").alias("mean_ps"), F.round("z_max", 6).alias("z_max"))
+
+
+def p5_grp_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir, "grp")
+
+
+def p5_sys_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir, "sys")
+
+
+def p5_worst_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per grp and day the row of greatest |resid|/sigma; among equals the least toa_id."""
+    worst = F.struct(F.col("z"), (-F.col("toa_id")).alias("i"))
+    aggs = {"n": Partial.count(), "worst": Partial.most(F.when(F.col("z").isNotNull(), worst))}
+    out = salted_aggregate(_weighted(spark, sf_dir), ["grp", "day"], aggs, identity=["toa_id"])
+    return out.select("grp", "day", "n", (-F.col("worst.i")).alias("worst_toa"))
+
+
+_WEIGHTED = """
+with t as (select toa_id, grp, sys, day,
+  case when abs(resid) < 1 and sigma > 0 and sigma < 1 then resid * 1e12 end as ps,
+  case when abs(resid) < 1 and sigma > 0 and sigma < 1 then 1e-12 / (sigma * sigma) end as w,
+  case when abs(resid) < 1 and sigma > 0 and sigma < 1 then abs(resid) / sigma end as z from toas)
+"""
+_STATS = (
+    _WEIGHTED
+    + "select {k}, count(*) as n, count(w) as n_used, cast(round(sum(ps * w) / sum(w)) as bigint) as mean_ps, round(max(z), 6) as z_max from t group by {k}"
+)
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p3_loaded, p4_found, p5_grp_stats, p5_sys_stats, p5_worst_of_day)}
+SQL: dict[str, str] = {
+    "p5_grp_stats": _STATS.format(k="grp"),
+    "p5_sys_stats": _STATS.format(k="sys"),
+    "p5_worst_of_day": _WEIGHTED + "select grp, day, count(*) as n, arg_min(toa_id, (-z, toa_id)) filter (where z is not null) as worst_toa from t group by grp, day",
+}
