@@ -10,6 +10,7 @@ from residua.llm.nearest_time import nearest_matches
 from residua.llm.packing import pack_documents
 from residua.llm.quantiles import combine, group_percentiles, percentiles, summarise
 from residua.llm.stuffing import spam_shares
+from residua.session import checkpointed
 from residua.sources.tables import table
 
 TOLERANCE_DAYS = 2.0 / 86400
@@ -44,6 +45,13 @@ where abs(lk.freq - rk.freq) <= 1.0 and abs(mjd - t) <= 2.0::double / 86400
 group by toa_id
 """
 
+def p6_resid_by_grp_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per grp the percentiles of each day and, with a null day, of the whole: the days' summaries combined."""
+    days = checkpointed(summarise(table(spark, sf_dir, "toas"), ["grp", "day"], "resid", eps=EPS))
+    whole = combine(days, ["grp"], eps=EPS).withColumn("day", F.lit(None).cast("bigint"))
+    return percentiles(days.unionByName(whole), ["grp", "day"])
+
+
 def p6_freq_by_timfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_percentiles(table(spark, sf_dir, "tim_meta"), ["_timfile"], "freq", eps=EPS)
 
@@ -80,6 +88,6 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p6_freq_by_timfile, p6_resid_by_grp, p6_resid_by_load, p7_packed, p8_found, p8_spans, p9_found, p9_shares)
+    for f in (p1_found, p6_resid_by_grp_day, p6_freq_by_timfile, p6_resid_by_grp, p6_resid_by_load, p7_packed, p8_found, p8_spans, p9_found, p9_shares)
 }
 SQL = {"p1_found": P1_SQL}
