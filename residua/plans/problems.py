@@ -84,7 +84,7 @@ _STATS = (
     + "select {k}, count(*) as n, count(w) as n_used, cast(round(sum(ps * w) / sum(w)) as bigint) as mean_ps, round(max(z), 6) as z_max from t group by {k}"
 )
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p3_loaded, p4_found, p5_grp_stats, p5_sys_stats, p5_worst_of_day)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p3_loaded, p4_found, p5_worst_of_day, p5_grp_stats, p5_sys_stats)}
 SQL: dict[str, str] = {
     "p5_grp_stats": _STATS.format(k="grp"),
     "p5_sys_stats": _STATS.format(k="sys"),
