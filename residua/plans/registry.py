@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from residua.plans import problems
+from residua.plans import detector_queries, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **detector_queries.QUERIES}
+SQL = {**problems.SQL, **detector_queries.SQL}

@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset, as in local tests, a temporary folder."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.residua.localFolder", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="residua-")
+        spark.conf.set("spark.residua.localFolder", found)
+    return found
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that lost executors cost no recomputation.
+    """``df`` written once to the shared folder and read from there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset,
-    as in local tests, a temporary one is made.
+    This cuts the lineage without computing twice and outlives executors.  The
+    files go when the application ends.
     """
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="residua-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/residua-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,3 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: the timing rows as a clean series, in SQL that Spark and other engines read alike
+SERIES_SQL = """
+select toa_id, psr as series_id, case when grp is null or upper(grp) like 'UNK%' then 'UNK' else grp end as grp, mjd, cast(floor(mjd) as bigint) as day,
+  freq, sigma, resid, case when orbital_phase between 0 and 1 then orbital_phase end as orbital_phase, solar_elongation_deg
+from {toas} where mjd between 40000 and 70000 and abs(resid) < 1 and sigma > 0 and sigma < 1 and freq > 0 and freq <= 100000
+"""
+
+
+def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """toas with usable measurements: one series per pulsar, groups within it."""
+    return spark.sql(SERIES_SQL.format(toas="{src}"), src=table(spark, sf_dir, "toas"))
