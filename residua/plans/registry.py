@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from residua.plans import detector_queries, problems
+from residua.plans import detector_queries, feature_queries, problems
 
-QUERIES = {**problems.QUERIES, **detector_queries.QUERIES}
-SQL = {**problems.SQL, **detector_queries.SQL}
+QUERIES = {**problems.QUERIES, **detector_queries.QUERIES, **feature_queries.QUERIES}
+SQL = {**problems.SQL, **detector_queries.SQL, **feature_queries.SQL}
