@@ -32,18 +32,18 @@ def ps(c: Column | str) -> Column:
 
 def robust_mad_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = robust_outliers(series_rows(spark, sf_dir), BACKEND)
-    return out.select("toa_id", F.round("robust_z", 4).alias("robust_z"), "robust_outlier")
+    return out.select("toa_id", F.round(F.col("robust_z") * 1e4).cast("bigint").alias("robust_z_e4"), "robust_outlier")
 
 
 def robust_mad_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = robust_outliers(series_rows(spark, sf_dir), SERIES, prefix="robust_global")
-    return out.select("toa_id", F.round("robust_global_z", 4).alias("robust_global_z"), "robust_global_outlier")
+    return out.select("toa_id", F.round(F.col("robust_global_z") * 1e4).cast("bigint").alias("robust_global_z_e4"), "robust_global_outlier")
 
 
 _MAD = """{cte},
 m as (select *, median(resid) over (partition by {k}) as med from s),
 d as (select *, median(abs(resid - med)) over (partition by {k}) as mad from m)
-select toa_id, round(0.6745 * (resid - med) / nullif(mad, 0), 4) as {p}_z, coalesce(abs(0.6745 * (resid - med) / nullif(mad, 0)) >= 5, false) as {p}_outlier from d
+select toa_id, cast(round(0.6745 * (resid - med) / nullif(mad, 0) * 1e4) as bigint) as {p}_z_e4, coalesce(abs(0.6745 * (resid - med) / nullif(mad, 0)) >= 5, false) as {p}_outlier from d
 """
 
 

@@ -180,14 +180,14 @@ PREPROC_SQL = CTE + "," + _binned_sql("orbital_phase", True, "series_id, grp", 5
 
 def preproc_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rescale(series_rows(spark, sf_dir), BACKEND, "solar_elongation_deg")
-    return out.select("toa_id", F.round("resid_proc", 4).alias("resid_proc"), F.round("sigma_proc", 4).alias("sigma_proc"))
+    return out.select("toa_id", F.round(F.col("resid_proc") * 1e4).cast("bigint").alias("resid_proc_e4"), F.round("sigma_proc", 4).alias("sigma_proc"))
 
 
 RESCALE_SQL = CTE + "," + _binned_sql("solar_elongation_deg", False, "series_id, grp", 5, "1") + """,
 d as (select *, case when bin is not null then median(resid) over (partition by series_id, grp, bin) end as med from t1),
 a as (select *, case when bin is not null then median(abs(resid - med)) over (partition by series_id, grp, bin) end as mad, count(*) over (partition by series_id, grp, bin) as c from d),
 f as (select *, case when bin is not null and c >= 5 and mad > 0 then 1.4826 * mad else 1 end as sc from a)
-select toa_id, round(resid / sc, 4) as resid_proc, round(sigma / sc, 4) as sigma_proc from f"""
+select toa_id, cast(round(resid / sc * 1e4) as bigint) as resid_proc_e4, round(sigma / sc, 4) as sigma_proc from f"""
 
 
 def orbital_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:

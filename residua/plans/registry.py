@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from residua.plans import detector_queries, feature_queries, problems
+from residua.plans import detector_queries, feature_queries, problems, report_queries
 
-QUERIES = {**problems.QUERIES, **detector_queries.QUERIES, **feature_queries.QUERIES}
-SQL = {**problems.SQL, **detector_queries.SQL, **feature_queries.SQL}
+_MODULES = (problems, detector_queries, feature_queries, report_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
