@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.session import checkpointed
+from residua.session import checkpointed, spread
 
 TYPES = ("number", "string", "boolean", "object", "array")
 _NUMBER = r"^\s*([+-]?[0-9][0-9,]*(?:\.[0-9]*)?(?:[eEdD][+-]?[0-9]+)?)\s*[A-Za-z%]*\s*$"
@@ -49,7 +49,7 @@ def json_fields(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
     A record that is no JSON object, or has one name twice, has no fields.
     """
     spark = df.sparkSession
-    src = df.select(*keys, F.try_parse_json(F.col(record)).alias("_v"))
+    src = spread(df.select(*keys, F.col(record).alias("_r"))).select(*keys, F.try_parse_json("_r").alias("_v"))
     each = src.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()), how="left")
     raw = F.schema_of_variant("value")
     kind = (

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from residua.session import spread
+
 # --- fixed values of the format -------------------------------------------
 COMMENT_HEADS = frozenset(("C", "#"))
 CONTROL_HEADS = frozenset(("MODE", "FORMAT", "EFAC", "EQUAD", "JUMP"))
@@ -231,7 +233,7 @@ def parse_lines(df: DataFrame, *, line: str = "line", keep: list[str] | None = N
                 [*b.columns[:-1], *made_cols.flatten()], names=[*b.schema.names[:-1], *[f.name for f in _ARROW]]
             )
 
-    return src.mapInArrow(run, schema)
+    return spread(src).mapInArrow(run, schema)
 
 
 def rejected_lines(df: DataFrame, *, line: str = "line", keep: list[str] | None = None) -> DataFrame:

@@ -30,3 +30,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than the session has cores, dealt out over the cores.
+
+    For work that costs much more per row than moving the row.  Inputs of many
+    files or row groups, that is all large ones, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
