@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from residua.session import spread
+
 #: a word; a hyphen before a line break joins two halves
 WORD = re.compile(r"[^\W_]+(?:-\r?\n[^\W_]+)*")
 BREAK = re.compile(r"-\r?\n")
@@ -197,7 +199,7 @@ def leak_spans(
                     arrow = [to_arrow_type(f.dataType) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow)], names=schema.names)
 
-        one = src.mapInArrow(run, schema)
+        one = spread(src).mapInArrow(run, schema)
         result = one if result is None else result.unionByName(one)
     return result
 
