@@ -311,7 +311,7 @@ class Field:
 
 
 def consistent_fields(profiles: DataFrame, drift: DataFrame, *, max_names: int = 10_000) -> list[Field]:
-    """Classes of names that renames connect, each under its most frequent name and main type.
+    """Classes of names that renames connect, each under its most frequent name (of equals the older) and main type.
 
     Works on schema data only: one row per distinct name and per distinct
     rename; more than ``max_names`` of either is an error, not a cut.
@@ -334,7 +334,7 @@ def consistent_fields(profiles: DataFrame, drift: DataFrame, *, max_names: int =
             x = root[x]
         return x
 
-    weight = {r["name"]: (r["n"], r["name"]) for r in names}
+    weight = {r["name"]: r["n"] for r in names}
     for a, b in sorted((r["field_old"], r["field_new"]) for r in links):
         x, y = find(a), find(b)
         if x != y:
