@@ -52,7 +52,7 @@ RULING = re.compile(
     r"\s(?:v\.?|vs\.?|c/|\./\.)\s|\[\d{4}\]|\(\d{4}\)|\b\d+ Z[RB] \d+|\bn[°o]\.? ?\d\d-\d|\bUrteil vom\b|\barrêt\b|\bcourt ?room\b|\bthe allegation\b",
     re.I,
 )
-GOODS = re.compile(r"^\W*(?:\d+\W+)?(?:class|classe|klasse)\s+\d+\W*$", re.I)
+GOODS = re.compile(r"\b(?:class|classe|klasse)\s+\d+\W*$", re.I)
 
 ENTRY = re.compile(r"[,;|·•>\t]|\s{2,}")
 
@@ -126,7 +126,7 @@ def spam_words(text: str) -> tuple[int, int]:
             if size <= CATALOGUE_WORDS and PRICE.search(line):
                 catalogue.append(k)
         listed = goods
-        goods = GOODS.match(line) is not None
+        goods = GOODS.search(line) is not None
         exempt.append(listed or goods or RULING.search(line) is not None)
         parts = sum(1 for p in ENTRY.split(line) if p.strip())
         entries.append(size / parts if parts >= 4 else 99.0)
