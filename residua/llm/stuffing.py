@@ -63,6 +63,8 @@ MARKED, FUNCTION = 0.34, 0.2
 PAIR_COUNT, PAIR_GAP = 4, 90
 TERM_COUNT, TERM_GAP = 6, 14
 LIST_ENTRY = 4
+#: so many entries of so many words on average are a list even if none recurs; single words may be goods
+DISTINCT_ENTRIES, DISTINCT_WORDS = 12, 1.4
 #: a text with more function words than this is prose throughout
 PROSE = 0.36
 
@@ -109,6 +111,7 @@ def spam_words(text: str) -> tuple[int, int]:
     line_of: list[int] = []
     exempt: list[bool] = []
     entries: list[float] = []
+    distinct: list[bool] = []
     catalogue: list[int] = []
     goods = False
     for line in text.split("\n"):
@@ -130,6 +133,7 @@ def spam_words(text: str) -> tuple[int, int]:
         exempt.append(listed or goods or RULING.search(line) is not None)
         parts = sum(1 for p in ENTRY.split(line) if p.strip())
         entries.append(size / parts if parts >= 4 else 99.0)
+        distinct.append(parts >= DISTINCT_ENTRIES and DISTINCT_WORDS * parts <= size)
         sure += mark
         line_of += [k] * size
     if len(sure) != n:  # case folding may join or split words in rare scripts
@@ -168,8 +172,8 @@ def spam_words(text: str) -> tuple[int, int]:
     fw_line = np.bincount(line, speaks, len(count)) / count
     marked_line = np.bincount(line, marked, len(count)) / count
     short = (np.array(entries) <= LIST_ENTRY) & (fw_line <= 0.04) & (count >= 8)
-    for k in np.flatnonzero(short & (of_line < 0.5) & (marked_line > 0.1)):
-        if marked_line[k] > 0.2 or _periodic(marked[line == k].astype(float), range(2, 2 * LIST_ENTRY + 1)):
+    for k in np.flatnonzero(short & (of_line < 0.9) & (np.array(distinct) | (marked_line > 0.1))):
+        if distinct[k] or marked_line[k] > 0.2 or _periodic(marked[line == k].astype(float), range(2, 2 * LIST_ENTRY + 1)):
             of_line[k] = 1.0
     taken = np.where((count <= 80)[line], of_line[line] >= 0.5, spam | (of_line[line] >= 0.9)) & free
     return int(taken.sum()), n
