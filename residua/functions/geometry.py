@@ -9,7 +9,7 @@ DEG = 0.017453292519943295
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
 def vector_angle(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.session import checkpointed
+from residua.session import stored
 
 BLOCK_DAYS = 32.0
 
@@ -51,10 +51,10 @@ def previous_rows(df: DataFrame, keys: list[str], time: str, row_id: str, cols:
     return out.withColumns({f"prev_{c}": got[c] for c in cols}).drop("_prev", "_carry", "_block")
 
 
-def small(df: DataFrame, *, rows: int = 50_000) -> DataFrame:
-    """``df`` written to the shared folder, marked for broadcast only if its counted rows are few."""
-    kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+def small(df: DataFrame, *, most: int = 4_000_000) -> DataFrame:
+    """``df`` written to the shared folder, marked for broadcast only if the files take at most ``most`` bytes."""
+    kept, size = stored(df)
+    return F.broadcast(kept) if size <= most else kept
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str, *, direct_rows: int = 2_000_000) -> DataFrame:

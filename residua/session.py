@@ -18,8 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read from there.
+def stored(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written once to the shared folder and read from there, with its size in bytes as stored.
 
     This cuts the lineage without computing twice and outlives executors.  The
     files go when the application ends.
@@ -28,8 +28,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/residua-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path), files.getContentSummary(hadoop).getLength()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``stored`` without the size."""
+    return stored(df)[0]
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -38,5 +44,7 @@ def spread(df: DataFrame) -> DataFrame:
     For work that costs much more per row than moving the row.  Inputs of many
     files or row groups, that is all large ones, stay as they are.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
