@@ -100,7 +100,7 @@ def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: f
 
 
 def pack_items(
-    items: DataFrame, *, item_id: str, size: str, capacities: tuple[int, ...] = CAPACITIES, group_items: int = 50_000, overhead: float = 0.0
+    items: DataFrame, *, item_id: str, size: str, capacities: tuple[int, ...] = CAPACITIES, group_items: int = 50_000, overhead: float = 0.0, expected: int | None = None
 ) -> DataFrame:
     """One row per piece: item_id, piece (from 0), start and n_tokens in the item, bin_id, bin_offset, bin_capacity.
 
@@ -108,13 +108,15 @@ def pack_items(
     then; every other item stays whole.  Items are spread by a hash over groups
     of about ``group_items`` that are packed apart, so no task grows with the
     table; what a group leaves open at its end is cut down to its contents.
+    ``expected`` is the number of items where it is known more cheaply than by
+    counting ``items``.
 
     Defined cases: a null size counts as 0; items of size 0 get a bin, too, and
     take no room; negative sizes raise an error in the worker; null ids are
     items; an empty table gives an empty result; other columns are ignored.
     """
     top = max(capacities)
-    n = items.count()
+    n = expected if expected is not None else items.count()
     groups = max(1, -(-n // group_items))
     id_type = items.schema[item_id].dataType.simpleString()
     src = items.select(F.col(item_id).alias("i"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n")).withColumn(
@@ -143,4 +145,5 @@ def pack_items(
 
 def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, **how) -> DataFrame:
     """``pack_items`` of the documents' token counts."""
-    return pack_items(token_counts(docs, doc_id=doc_id, text=text, vocabulary=vocabulary), item_id=doc_id, size="n_tokens", **how)
+    counts = token_counts(docs, doc_id=doc_id, text=text, vocabulary=vocabulary)
+    return pack_items(counts, item_id=doc_id, size="n_tokens", expected=docs.count(), **how)
