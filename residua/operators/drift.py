@@ -150,8 +150,10 @@ def value_score(a: dict, b: dict) -> float:
             agree = _overlap(l1, h1, l2, h2)
             if l1 > 0 and l2 > 0:
                 agree = max(agree, _overlap(log2(l1), log2(h1), log2(l2), log2(h2)))
-            if (a["lo"], a["hi"]) == (b["lo"], b["hi"]) and a["lo"] < a["hi"]:  # the same few values
-                agree = max(agree, 0.95)
+            # whole ranges vary less than middle ones, but stray values widen them
+            span = max(a["hi"], b["hi"]) - min(a["lo"], b["lo"])
+            if span > 0:
+                agree = max(agree, 0.95 * max(0.0, min(a["hi"], b["hi"]) - max(a["lo"], b["lo"])) / span)
         whole = lambda f: all(float(v).is_integer() for v in f["q"])
         if whole(a) != whole(b) and not (one(a) and one(b)):
             agree *= 0.4

@@ -65,12 +65,21 @@ def p5_sys_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, sf_dir, "sys")
 
 
-def p5_worst_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per grp and day the row of greatest |resid|/sigma; among equals the least toa_id."""
+def _worst(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     worst = F.struct(F.col("z"), (-F.col("toa_id")).alias("i"))
     aggs = {"n": Partial.count(), "worst": Partial.most(F.when(F.col("z").isNotNull(), worst))}
-    out = salted_aggregate(_weighted(spark, sf_dir), ["grp", "day"], aggs, identity=["toa_id"])
-    return out.select("grp", "day", "n", (-F.col("worst.i")).alias("worst_toa"))
+    out = salted_aggregate(_weighted(spark, sf_dir), [key, "day"], aggs, identity=["toa_id"])
+    return out.select(key, "day", "n", (-F.col("worst.i")).alias("worst_toa"))
+
+
+def p5_worst_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per grp and day the row of greatest |resid|/sigma; among equals the least toa_id."""
+    return _worst(spark, sf_dir, "grp")
+
+
+def p5_sys_worst_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per sys and day."""
+    return _worst(spark, sf_dir, "sys")
 
 
 _WEIGHTED = """
@@ -83,10 +92,12 @@ _STATS = (
     _WEIGHTED
     + "select {k}, count(*) as n, count(w) as n_used, cast(round(sum(ps * w) / sum(w)) as bigint) as mean_ps, round(max(z), 6) as z_max from t group by {k}"
 )
+_WORST = _WEIGHTED + "select {k}, day, count(*) as n, arg_min(toa_id, (-z, toa_id)) filter (where z is not null) as worst_toa from t group by {k}, day"
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p3_loaded, p4_found, p5_worst_of_day, p5_grp_stats, p5_sys_stats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p3_loaded, p4_found, p5_worst_of_day, p5_sys_worst_of_day, p5_grp_stats, p5_sys_stats)}
 SQL: dict[str, str] = {
     "p5_grp_stats": _STATS.format(k="grp"),
     "p5_sys_stats": _STATS.format(k="sys"),
-    "p5_worst_of_day": _WEIGHTED + "select grp, day, count(*) as n, arg_min(toa_id, (-z, toa_id)) filter (where z is not null) as worst_toa from t group by grp, day",
+    "p5_worst_of_day": _WORST.format(k="grp"),
+    "p5_sys_worst_of_day": _WORST.format(k="sys"),
 }

@@ -17,7 +17,7 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return made.groupBy("name").agg(*[F.max_by(c, "_n").alias(c) for c in "xyz"])
 
 
-def parse_solar_text(spark: SparkSession, text: str, *, marker: str = "PQC_SOLAR") -> DataFrame:
+def parse_solar_text(spark: SparkSession, text: str, *, marker: str = "SOLAR") -> DataFrame:
     """(sat, angle) of the lines ``<marker>\\t<sat>\\t<angle>`` in a tool's output, angles clipped to 0..180."""
     rows = []
     for line in text.splitlines():

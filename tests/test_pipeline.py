@@ -165,7 +165,7 @@ def test_sites_and_solar_text(spark, series, tmp_path):
     df = series([58000.0, 58000.5], [0.0, 0.0], 1.0, tel=["other", "zz"])
     out = by_id(add_features(df, ParFile({"RAJ": "0:0:0", "DECJ": "0:0:0"}), FeatureConfig(add_elevation=True, add_airmass=True, add_parallactic_angle=True), sites=sites))
     assert out["elevation_deg"].notna().tolist() == [True, False]
-    text = parse_solar_text(spark, "noise\nPQC_SOLAR\t3.0\t200\nPQC_SOLAR\t1.0\t0\nPQC_SOLAR\t2.0\t45.0\n")
+    text = parse_solar_text(spark, "noise\nSOLAR\t3.0\t200\nSOLAR\t1.0\t0\nSOLAR\t2.0\t45.0\n")
     zipped = by_id(aligned_by_order(series([2.0, 1.0, 3.0], [0.0] * 3, 1.0), text))
     assert zipped["solar_elongation_deg"].tolist() == [45.0, 0.0, 180.0]
     with pytest.raises(ValueError, match="values for"):
