@@ -94,8 +94,37 @@ _STATS = (
 )
 _WORST = _WEIGHTED + "select {k}, day, count(*) as n, arg_min(toa_id, (-z, toa_id)) filter (where z is not null) as worst_toa from t group by {k}, day"
 
+_TOKEN = r'"(?:[^"]|"")*"|[^\s"]+'
+_NUMBER = r"[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?(?:[eEdD][+-]?\d+)?|[+-]?\.\d+(?:[eEdD][+-]?\d+)?"
+P3_SQL = rf"""
+with t as (select line_id, line, regexp_full_match(line, '\s*(?:(?:{_TOKEN})(?:\s+(?:{_TOKEN}))*)?\s*') as clean, regexp_extract_all(line, '{_TOKEN}') as k,
+    regexp_extract(line, '^\s*(\S*)', 1) as head from tim_lines),
+c as (select * from t where head not in ('', 'C', '#', 'MODE', 'FORMAT', 'EFAC', 'EQUAD', 'JUMP')),
+v as (select *, list_transform(k, lambda x: case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end) as u from c),
+n as (select *, list_transform(u, lambda x: case when regexp_full_match(x, '{_NUMBER}') then try_cast(regexp_replace(replace(x, ',', ''), '[dD]', 'e') as double) end) as w from v),
+f as (select *, list_transform(range(1, len(k) + 1), lambda i: k[i][1] = '-' and (w[i] is null or isinf(w[i]))) as g, case when isfinite(w[1]) then 1 else 0 end as s from n),
+h as (select *, coalesce(list_position(g, true), len(k) + 1) - 1 as m, upper(k[1]) in ('TIME', 'INCLUDE') as d from f),
+r as (select line_id, case when not clean then 'quoting'
+  when d then case when len(k) <> 2 then 'columns' when upper(k[1]) = 'TIME' and not coalesce(isfinite(w[2]), false) then 'value' end
+  when m <> 5 + s or len(list_filter(range(m + 2, len(k) + 1), lambda i: not g[i] and not g[i - 1])) > 0 then 'columns'
+  when not coalesce(w[2 + s] > 0 and w[2 + s] <= 100000 and w[3 + s] between 40000 and 70000 and w[4 + s] > 0 and w[4 + s] <= 10000 and (s = 0 or w[1] between 40000 and 70000), false) then 'value' end as reason from h)
+select line_id, reason from r where reason is not null
+"""
+P4_SQL = """
+with u as (select toa_id, psr, grp, mjd, resid, sigma, coalesce(not abs(resid) < 1, false) or coalesce(not (sigma > 0 and sigma < 1), false) or coalesce(not (mjd between 40000 and 70000), false) as wild from toas),
+r as (select * from u where not wild and mjd is not null and resid is not null and grp is not null and not upper(grp) like 'UNK%'),
+g as (select *, case when resid = lag(resid) over (partition by psr, grp order by mjd, toa_id) then 0 else 1 end as fresh from r),
+h as (select *, sum(fresh) over (partition by psr, grp order by mjd, toa_id rows unbounded preceding) as run from g),
+k as (select *, count(*) over (partition by psr, grp, run) as c from h),
+l as (select *, abs(resid - median(resid) over (partition by psr, grp order by mjd, toa_id rows between 15 preceding and 15 following)) as e from k where c < 6),
+m as (select *, 1.4826 * median(e) over (partition by psr, grp) as s from l)
+select toa_id, 'impossible' as kind from u where wild union all select toa_id, 'stuck' from k where c >= 6 union all select toa_id, 'spike' from m where e > 9 * s and e > 9 * sigma
+"""
+
 QUERIES = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p3_loaded, p4_found, p5_worst_of_day, p5_sys_worst_of_day, p5_grp_stats, p5_sys_stats)}
 SQL: dict[str, str] = {
+    "p3_found": P3_SQL,
+    "p4_found": P4_SQL,
     "p5_grp_stats": _STATS.format(k="grp"),
     "p5_sys_stats": _STATS.format(k="sys"),
     "p5_worst_of_day": _WORST.format(k="grp"),
