@@ -90,4 +90,12 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p6_resid_by_grp_day, p6_freq_by_timfile, p6_resid_by_grp, p6_resid_by_load, p7_packed, p8_found, p8_spans, p9_found, p9_shares)
 }
-SQL = {"p1_found": P1_SQL}
+P8_SQL = r"""
+with d as (select doc_id, regexp_extract_all(regexp_replace(lower(text), '-\r?\n', '', 'g'), '[\p{L}\p{N}]+') as w from documents),
+i as (select item_id, regexp_extract_all(regexp_replace(lower(passage), '-\r?\n', '', 'g'), '[\p{L}\p{N}]+') as w from eval_items),
+dg as (select doc_id, array_to_string(w[k:k + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d)),
+ig as (select item_id, array_to_string(w[k:k + 12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i))
+select distinct item_id, doc_id from ig join dg using (g)
+"""
+
+SQL = {"p1_found": P1_SQL, "p8_found": P8_SQL}
