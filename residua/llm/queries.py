@@ -93,9 +93,12 @@ QUERIES = {
 P8_SQL = r"""
 with d as (select doc_id, regexp_extract_all(regexp_replace(lower(text), '-\r?\n', '', 'g'), '[\p{L}\p{N}]+') as w from documents),
 i as (select item_id, regexp_extract_all(regexp_replace(lower(passage), '-\r?\n', '', 'g'), '[\p{L}\p{N}]+') as w from eval_items),
-dg as (select doc_id, array_to_string(w[k:k + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d)),
-ig as (select item_id, array_to_string(w[k:k + 12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i))
-select distinct item_id, doc_id from ig join dg using (g)
+dw as (select doc_id, unnest(w) as t, generate_subscripts(w, 1) as k from d),
+iw as (select item_id, unnest(w) as t, generate_subscripts(w, 1) as k from i),
+known as (select doc_id, t, k from dw where t in (select t from iw)),
+dg as (select doc_id, string_agg(t, ' ') over n as g, k, max(k) over n as last from known window n as (partition by doc_id order by k rows between current row and 12 following)),
+ig as (select item_id, string_agg(t, ' ') over n as g, k, max(k) over n as last from iw window n as (partition by item_id order by k rows between current row and 12 following))
+select distinct item_id, doc_id from (select * from ig where last = k + 12) i join (select * from dg where last = k + 12) d using (g)
 """
 
 SQL = {"p1_found": P1_SQL, "p8_found": P8_SQL}
