@@ -65,8 +65,6 @@ TERM_COUNT, TERM_GAP = 6, 14
 LIST_ENTRY = 4
 #: so many entries of so many words on average are a list even if none recurs; single words may be goods
 DISTINCT_ENTRIES, DISTINCT_WORDS = 12, 1.4
-#: a text with more function words than this is prose throughout
-PROSE = 0.36
 
 
 def _window_mean(x: np.ndarray, reach: int) -> np.ndarray:
@@ -102,10 +100,10 @@ def _periodic(marked: np.ndarray, lags: range) -> bool:
 
 
 def spam_words(text: str) -> tuple[int, int]:
-    """(words that belong to keyword, link or tag lists, all words); (0, n) for prose."""
+    """(words that belong to keyword, link or tag lists, all words)."""
     every = WORD.findall(text.casefold())
     n = len(every)
-    if not n or sum(map(FUNCTION_WORDS.__contains__, every)) > PROSE * n:
+    if not n:
         return 0, n
     sure: list[bool] = []
     line_of: list[int] = []

@@ -25,6 +25,7 @@ SPAM = {
     "markdown": "\n".join(f"* [{PHRASES[i % 5]} {PLACES[i % 5]}](https://deal{i}.test/{i})" for i in range(40)),
     "anchors": "\n".join(f'<li><a href="//deal{i}.test/x">{PHRASES[i % 5]}</a></li>' for i in range(40)),
     "tags": " ".join(f"#{PHRASES[i % 5].title().replace(' ', '')}{i % 3}" for i in range(50)),
+    "key phrase with a function word": PROSE + "\n" + " | ".join(["will writing"] * 350),
     "catalogue": "\n".join(f"SKU-{1000 + i} oak {PHRASES[i % 5]}, EUR {i + 3}.99 in stock" for i in range(30)),
 }
 FINE = {
