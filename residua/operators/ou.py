@@ -15,17 +15,20 @@ from residua.operators.blocks import previous_rows, small
 def innovations(df: DataFrame, keys: list[str], *, tau: float, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
     """Adds ou_e, ou_a, ou_b with variance a + q b: e = y - phi y_prev, a = s^2 + phi^2 s_prev^2, b = 1 - phi^2.
 
-    The first row of a series has e = y, a = s^2, b = 1.
+    The first row of a series has e = y, a = s^2, b = 1.  Rows that lack time,
+    value or sigma have nulls and are no row's predecessor.
     """
-    out = previous_rows(df, keys, time, row_id, [time, resid, sigma])
+    ok = F.col(time).isNotNull() & F.col(resid).isNotNull() & F.col(sigma).isNotNull()
+    out = previous_rows(df.where(ok), keys, time, row_id, [time, resid, sigma])
     first = F.col(f"prev_{time}").isNull()
     phi = F.exp(-(F.col(time) - F.col(f"prev_{time}")) / F.lit(tau)) if tau > 0 else F.lit(0.0)
     out = out.withColumn("_phi", F.when(first, F.lit(0.0)).otherwise(phi))
-    return out.withColumns({
+    made = out.withColumns({
         "ou_e": F.when(first, F.col(resid)).otherwise(F.col(resid) - F.col("_phi") * F.col(f"prev_{resid}")),
         "ou_a": F.when(first, F.pow(sigma, F.lit(2))).otherwise(F.pow(sigma, F.lit(2)) + F.pow("_phi", F.lit(2)) * F.pow(f"prev_{sigma}", F.lit(2))),
         "ou_b": F.lit(1.0) - F.col("_phi") * F.col("_phi"),
     }).drop("_phi", f"prev_{time}", f"prev_{resid}", f"prev_{sigma}")
+    return made.unionByName(df.where(~ok), allowMissingColumns=True)
 
 
 def _spread(z: np.ndarray) -> float:
@@ -57,7 +60,7 @@ def noise_strength(with_innovations: DataFrame, keys: list[str], *, sigma: str =
     spread at ``steps`` values of q with mergeable percentiles and keeps the
     interval in which it crosses 1.
     """
-    src = with_innovations.select(*keys, "ou_e", "ou_a", "ou_b", (F.col(sigma) * F.col(sigma)).alias("_s2"))
+    src = with_innovations.where(F.col("ou_e").isNotNull()).select(*keys, "ou_e", "ou_a", "ou_b", (F.col(sigma) * F.col(sigma)).alias("_s2"))
     sizes = small(src.groupBy(*keys).agg(F.count("*").alias("_n")))
     long = sizes.where(F.col("_n") > rows_in_task)
     out_type = src.select(*keys).schema.simpleString()[7:-1].replace(":", " ")

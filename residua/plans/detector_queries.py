@@ -6,6 +6,8 @@ run in different orders in different engines.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from residua.operators.ou import bad_days, detect_bad, innovations
 from residua.operators.outliers import hard_limit, robust_outliers, sigma_gate
 from residua.operators.steps import best_steps, chromatic_scale, detect_dm_step, detect_global_step, detect_step
 from residua.operators.transients import detect_global_transients, detect_transients, scan_starts, transient_events
-from residua.sources.tables import SERIES_SQL, series_rows
+from residua.sources.tables import SERIES_SQL, View, all_series_rows, series_rows
 
 BACKEND = ["series_id", "grp"]
 SERIES = ["series_id"]
@@ -30,13 +32,13 @@ def ps(c: Column | str) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c) * 1e12).cast("bigint")
 
 
-def robust_mad_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = robust_outliers(series_rows(spark, sf_dir), BACKEND)
+def robust_mad_group(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    out = robust_outliers(view(spark, sf_dir), BACKEND)
     return out.select("toa_id", F.round(F.col("robust_z") * 1e4).cast("bigint").alias("robust_z_e4"), "robust_outlier")
 
 
-def robust_mad_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = robust_outliers(series_rows(spark, sf_dir), SERIES, prefix="robust_global")
+def robust_mad_global(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    out = robust_outliers(view(spark, sf_dir), SERIES, prefix="robust_global")
     return out.select("toa_id", F.round(F.col("robust_global_z") * 1e4).cast("bigint").alias("robust_global_z_e4"), "robust_global_outlier")
 
 
@@ -47,8 +49,8 @@ select toa_id, cast(round(0.6745 * (resid - med) / nullif(mad, 0) * 1e4) as bigi
 """
 
 
-def hard_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hard_limit(series_rows(spark, sf_dir), SERIES)
+def hard_detector(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    out = hard_limit(view(spark, sf_dir), SERIES)
     return out.select("toa_id", F.round("bad_dm_dvt_k", 6).alias("k"), F.round("bad_dm_dvt_score", 6).alias("score"), "bad_dm_dvt", "bad_dm_dvt_label")
 
 
@@ -59,16 +61,16 @@ select toa_id, round(k, 6) as k, round(abs(resid) / sigma, 6) as score, abs(resi
 """
 
 
-def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sigma_gate(series_rows(spark, sf_dir), OutlierGateConfig(enabled=True))
+def gate(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    out = sigma_gate(view(spark, sf_dir), OutlierGateConfig(enabled=True))
     return out.select("toa_id", "outlier_gate_sigma", "outlier_gate_inlier", "bad_hard")
 
 
 GATE_SQL = "{cte} select toa_id, 3.0::double as outlier_gate_sigma, abs(resid) <= 3 * sigma as outlier_gate_inlier, not abs(resid) <= 3 * sigma as bad_hard from s"
 
 
-def ou_innovations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = innovations(series_rows(spark, sf_dir), BACKEND, tau=0.02)
+def ou_innovations(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    out = innovations(view(spark, sf_dir), BACKEND, tau=0.02)
     return out.select("toa_id", ps("ou_e").alias("e_ps"), F.round("ou_b", 6).alias("b"), F.round(F.sqrt("ou_a") * 1e12).cast("bigint").alias("root_a_ps"))
 
 
@@ -80,9 +82,9 @@ v as (select toa_id, series_id, grp, mjd, day, resid - phi * coalesce(py, 0) as
 OU_SQL = _OU + "select toa_id, cast(round(e * 1e12) as bigint) as e_ps, round(b, 6) as b, cast(round(sqrt(a) * 1e12) as bigint) as root_a_ps from v"
 
 
-def ou_bad_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ou_bad_days(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
     """Bad days with the extra noise fixed at 0."""
-    made = innovations(series_rows(spark, sf_dir), BACKEND, tau=0.02)
+    made = innovations(view(spark, sf_dir), BACKEND, tau=0.02)
     out = bad_days(made, BACKEND, z=F.col("ou_e") / F.sqrt("ou_a"), fdr_q=0.01, only_worst=True)
     return out.where("bad_day").select("toa_id", "bad_day", "bad")
 
@@ -97,19 +99,19 @@ select z.toa_id, true as bad_day, z.toa_id = c.row_id as bad from z join c on z.
 """
 
 
-def ou_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ou_detect(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
     """The detector with the fitted extra noise of each group."""
-    out = detect_bad(series_rows(spark, sf_dir), BACKEND)
+    out = detect_bad(view(spark, sf_dir), BACKEND)
     return out.select("toa_id", F.round("z", 4).alias("z"), F.round(F.sqrt("_q_hat") * 1e12).cast("bigint").alias("root_q_ps"), "bad_day", "bad")
 
 
-def step_scan_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = best_steps(series_rows(spark, sf_dir), BACKEND, STEP)
+def step_scan_group(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    ev = best_steps(view(spark, sf_dir), BACKEND, STEP)
     return ev.select(*BACKEND, F.round("t0", 6).alias("t0"), ps("amp").alias("amp_ps"), F.round("delta_chi2", 3).alias("delta_chi2"))
 
 
-def dm_step_scan_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = best_steps(series_rows(spark, sf_dir), BACKEND, STEP, scale=chromatic_scale())
+def dm_step_scan_group(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    ev = best_steps(view(spark, sf_dir), BACKEND, STEP, scale=chromatic_scale())
     return ev.select(*BACKEND, F.round("t0", 6).alias("t0"), F.round(F.col("amp") * 1e6).cast("bigint").alias("amp_us_mhz2"), F.round("delta_chi2", 3).alias("delta_chi2"))
 
 
@@ -133,12 +135,12 @@ def _step_out(df: DataFrame, p: str) -> DataFrame:
     )
 
 
-def step_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _step_out(detect_step(series_rows(spark, sf_dir), BACKEND, STEP), "step")
+def step_membership(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    return _step_out(detect_step(view(spark, sf_dir), BACKEND, STEP), "step")
 
 
-def dm_step_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _step_out(detect_dm_step(series_rows(spark, sf_dir), BACKEND, STEP), "dm_step")
+def dm_step_membership(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    return _step_out(detect_dm_step(view(spark, sf_dir), BACKEND, STEP), "dm_step")
 
 
 _STEP_MEMBERS = """,
@@ -153,12 +155,12 @@ STEP_MEMBERS_SQL = "{cte}," + _SCAN.format(n=1, f="1", k=_K) + _STEP_MEMBERS.for
 DM_STEP_MEMBERS_SQL = "{cte}," + _SCAN.format(n=1, f="freq * freq", k=_K) + _STEP_MEMBERS.format(b="b1", on=_K, f="freq * freq", p="dm_step")
 
 
-def global_step_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _step_out(detect_global_step(series_rows(spark, sf_dir), SERIES, "grp", STEP), "step_global")
+def global_step_regroup(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    return _step_out(detect_global_step(view(spark, sf_dir), SERIES, "grp", STEP), "step_global")
 
 
-def global_dm_step_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _step_out(detect_global_step(series_rows(spark, sf_dir), SERIES, "grp", STEP, prefix="dm_step_global", scale=chromatic_scale()), "dm_step_global")
+def global_dm_step_regroup(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    return _step_out(detect_global_step(view(spark, sf_dir), SERIES, "grp", STEP, prefix="dm_step_global", scale=chromatic_scale()), "dm_step_global")
 
 
 _REGROUP = """,
@@ -172,8 +174,8 @@ GLOBAL_STEP_SQL = "{cte}," + _SCAN.format(n=1, f="1", k="series_id") + _REGROUP
 GLOBAL_DM_STEP_SQL = "{cte}," + _SCAN.format(n=1, f="freq * freq", k="series_id") + _REGROUP + _STEP_MEMBERS.format(b="e", on=_K, f="freq * freq", p="dm_step_global")
 
 
-def transient_scan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = scan_starts(series_rows(spark, sf_dir), BACKEND, tau=7.0, width=WIDTH, min_points=6, threshold=25.0)
+def transient_scan_candidates(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    c = scan_starts(view(spark, sf_dir), BACKEND, tau=7.0, width=WIDTH, min_points=6, threshold=25.0)
     return c.select("toa_id", *BACKEND, F.round("t0", 6).alias("t0"), ps("amp").alias("amp_ps"), F.round("delta_chi2", 2).alias("delta_chi2"), "n")
 
 
@@ -186,8 +188,8 @@ _ON_BACKEND = "a.series_id = b.series_id and a.grp = b.grp"
 CANDS_SQL = "{cte}," + _CANDS.format(on=_ON_BACKEND) + "select toa_id, series_id, grp, round(t0, 6) as t0, cast(round(amp * 1e12) as bigint) as amp_ps, round(delta_chi2, 2) as delta_chi2, n from k"
 
 
-def transient_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = transient_events(series_rows(spark, sf_dir), BACKEND, TRANSIENT)
+def transient_found(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    ev = transient_events(view(spark, sf_dir), BACKEND, TRANSIENT)
     return ev.select(*BACKEND, "toa_id", F.round("t0", 6).alias("t0"), F.round("delta_chi2", 2).alias("delta_chi2"), "rank")
 
 
@@ -204,8 +206,8 @@ _GREEDY_BACKEND = _GREEDY.format(k=_K, rk=_K, gk="g.series_id, g.grp", join="r.s
 EVENTS_SQL = "{rcte}," + _CANDS.format(on=_ON_BACKEND) + _GREEDY_BACKEND + "select series_id, grp, toa_id, round(t0, 6) as t0, round(delta_chi2, 2) as delta_chi2, rank from v"
 
 
-def transient_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = detect_transients(series_rows(spark, sf_dir), BACKEND, TRANSIENT)
+def transient_membership(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    out = detect_transients(view(spark, sf_dir), BACKEND, TRANSIENT)
     return out.select("toa_id", "transient_id", ps("transient_amp").alias("transient_amp_ps"), F.round("transient_t0", 6).alias("transient_t0"), F.round("transient_delta_chi2", 2).alias("transient_delta_chi2"))
 
 
@@ -218,8 +220,8 @@ select s.toa_id, coalesce(e[1], -1) as transient_id, cast(round(e[2] * 1e12) as
 )
 
 
-def global_transient_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = detect_global_transients(series_rows(spark, sf_dir), SERIES, "grp", TRANSIENT)
+def global_transient_regroup(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+    out = detect_global_transients(view(spark, sf_dir), SERIES, "grp", TRANSIENT)
     p = "transient_global"
     return out.select("toa_id", f"{p}_id", ps(f"{p}_amp").alias(f"{p}_amp_ps"), F.round(f"{p}_t0", 6).alias(f"{p}_t0"), f"{p}_n_members", F.round(f"{p}_z_med", 4).alias(f"{p}_z_med"))
 
@@ -250,6 +252,8 @@ QUERIES = {
         dm_step_membership, global_step_regroup, global_dm_step_regroup, transient_scan_candidates, transient_found, transient_membership, global_transient_regroup,
     )
 }
+#: the same over every row; without SQL, as the SQL of each query holds the filter of ``series_rows``
+QUERIES |= {f"{k}_all_rows": partial(f, view=all_series_rows) for k, f in QUERIES.items()}
 SQL = {
     "robust_mad_group": _MAD.replace("{k}", _K).replace("{p}", "robust"),
     "robust_mad_global": _MAD.replace("{k}", "series_id").replace("{p}", "robust_global"),

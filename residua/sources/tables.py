@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+View = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +25,15 @@ from {toas} where mjd between 40000 and 70000 and abs(resid) < 1 and sigma > 0 a
 def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """toas with usable measurements: one series per pulsar, groups within it."""
     return spark.sql(SERIES_SQL.format(toas="{src}"), src=table(spark, sf_dir, "toas"))
+
+
+def all_series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of toas with unusable values as null; each operator leaves out the rows that lack a column it reads."""
+    rows = table(spark, sf_dir, "toas")
+    known = {
+        "mjd": F.col("mjd").between(40000, 70000), "freq": (F.col("freq") > 0) & (F.col("freq") <= 100000), "sigma": (F.col("sigma") > 0) & (F.col("sigma") < 1),
+        "resid": F.abs("resid") < 1, "orbital_phase": F.col("orbital_phase").between(0, 1),
+    }
+    rows = rows.withColumns({c: F.when(ok, F.col(c)) for c, ok in known.items()})
+    grp = F.when(F.col("grp").isNull() | F.upper("grp").startswith("UNK"), F.lit("UNK")).otherwise(F.col("grp"))
+    return rows.select("toa_id", F.col("psr").alias("series_id"), grp.alias("grp"), "mjd", F.floor("mjd").alias("day"), "freq", "sigma", "resid", "orbital_phase", "solar_elongation_deg")
