@@ -87,7 +87,12 @@ def detection_stage(df: DataFrame, cfg: PipelineConfig = PipelineConfig(), *, se
     if both(cfg.transient.scope, "global"):
         annotate(detect_global_transients(rows, series, group, cfg.transient, resid=rt, sigma=st))
     dip_keys = {"backend": backend}.get(cfg.dip.scope, series)
-    dips = annotate(detect_dips(rows, dip_keys, cfg.dip, resid=rt, sigma=st), keep=True)
+    found = detect_dips(rows, dip_keys, cfg.dip, resid=rt, sigma=st)
+    if cfg.dip.scope == "both":
+        own = detect_dips(rows, backend, cfg.dip, resid=rt, sigma=st, prefix="exp_dip_backend").withColumnRenamed("exp_dip_member", "_own")
+        found = found.join(own.select(row_id, *[c for c in own.columns if c not in had]), row_id, "left")
+        found = found.withColumn("exp_dip_member", F.col("exp_dip_member") | F.col("_own")).drop("_own")
+    dips = annotate(found, keep=True)
     claimed = rows.join(dips.select(row_id, F.col("exp_dip_member").alias("_taken")), row_id, "left")
     if cfg.glitch.enabled:
         found = detect_glitches(claimed, series, cfg.glitch, exclude=F.col("_taken"), resid=rt, sigma=st).drop("_taken")
