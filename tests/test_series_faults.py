@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from residua.operators.series_faults import FaultConfig, find_faults
+from residua.operators.series_faults import FaultConfig, chunk_faults, find_faults
 
 
 def made(n=3000, seed=1):
@@ -39,7 +39,6 @@ def test_all_kinds(spark, planted):
 def test_chunks_of_one_source_give_the_same(spark, planted, rows):
     pdf, want = planted
     assert kinds(spark, pdf, chunk_rows=rows) == want
-    assert kinds(spark, pdf, chunk_rows=rows, broadcast_bins=1) == want
 
 
 def test_steps_and_drift_are_normal(spark):
@@ -63,3 +62,33 @@ def test_nulls_placeholders_and_repeats(spark):
 
 def test_few_rows(spark):
     assert kinds(spark, made(2)) == {}
+
+
+def test_dense_times_are_cut_and_chunk_numbers_have_no_gaps(spark, planted):
+    """All rows of a long span within one bin: it is cut again, and every halo finds its neighbour."""
+    pdf, want = planted
+    pdf["mjd"] = np.where(pdf["mjd"].between(40000, 70000), 50000 + (pdf["mjd"] - 50000) / 1e5, pdf["mjd"])
+    far = pd.DataFrame({"toa_id": [9000], "psr": "P", "grp": "G", "mjd": [69000.0], "resid": [5e-5], "sigma": [1e-6]})
+    whole = kinds(spark, pd.concat([pdf, far]))
+    assert {k for k in whole if k < 9000} >= set(want) - {1500, 2990}
+    assert kinds(spark, pd.concat([pdf, far]), chunk_rows=250) == whole
+
+
+def test_vanishing_innovations_are_stuck(spark):
+    """A stretch that all but stands still, though no two readings are equal."""
+    pdf = made(3000, seed=4)
+    rng = np.random.default_rng(5)
+    pdf.loc[1200:1499, "resid"] = pdf.loc[1200, "resid"] + 1e-18 * rng.standard_normal(300)
+    assert pdf.loc[1200:1499, "resid"].nunique() > 250
+    assert kinds(spark, pdf) == {i: "stuck" for i in range(1200, 1500)}
+    assert kinds(spark, pdf, vanish=0.0) == {}
+
+
+def test_the_filter_decides_spikes():
+    """Without the update of the level (no filter) the same rows are no longer told from drift."""
+    pdf = made(3000, seed=6)
+    pdf["resid"] += 2e-4 * (pdf["mjd"] - 50000) / 400  # drift of many scatters
+    pdf.loc[[500, 1800], "resid"] += 4e-5
+    a = [pdf[c].to_numpy() for c in ("mjd", "resid", "sigma")]
+    assert np.flatnonzero(chunk_faults(*a, FaultConfig())[1]).tolist() == [500, 1800]
+    assert np.flatnonzero(chunk_faults(*a, FaultConfig(drift_row=0.0, drift_day=0.0, gate=1e9))[1]).tolist() != [500, 1800]
