@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from residua.operators.drift import compare, consistent_fields, field_profiles, main_type, name_score, schema_drift, unified_table, DriftConfig
+from residua.operators.drift import TYPES, DriftConfig, Field, compare, consistent_fields, field_profiles, flood, main_type, name_score, schema_drift, unified_table, unify
 
 
 def dumps(spark, *records_of_dumps, campaign="c"):
@@ -78,3 +78,46 @@ def test_pieces():
     f = dict.fromkeys(["n_number", "n_string", "n_boolean", "n_object", "n_array"], 0)
     assert main_type(f) is None and main_type(f | {"n_string": 2, "n_number": 1}) == "string"
     assert compare({}, {}, DriftConfig()) == []
+
+
+def test_names_of_one_dump_are_never_one_field(spark):
+    """A rename seen elsewhere does not merge two fields that stand side by side; unify lists what a further name holds."""
+    one, two = [{"a": 1.5 + i} for i in range(12)], [{"b": 1.5 + i} for i in range(12)]
+    both = [{"a": 1.5 + i, "b": 2.5 + i} for i in range(12)]
+    apart = dumps(spark, one, two).unionByName(dumps(spark, both, campaign="d"))
+    assert (20, "a", "b", "renamed") in found(apart)
+    where = dict(record="record", campaign="campaign", dump_no="dump_no", dump_id="dump_id")
+    fields = consistent_fields(field_profiles(apart, **where), schema_drift(apart))
+    assert {f.name for f in fields} == {"a", "b"}
+    rows = unify(spark.createDataFrame([('{"a": 1, "b": 2}',), ('{"b": 3}',)], "record string"), [Field("a", "double", ("a", "b"))]).collect()
+    assert [(r["a"], [tuple(o) for o in r["_others"]]) for r in rows] == [(1.0, [("a", "b", "2")]), (3.0, [])]
+
+
+def test_flooding_decides(spark):
+    """Names alone, or values of other fields, do not bring these renames; without a round of flooding they are lost."""
+    one = [rec(i) for i in range(12)]
+    two = [rec(i, freq="nu", err="uncertainty") for i in range(12, 24)]
+    df = dumps(spark, one, two)
+    assert found(df) == {(20, "freq", "nu", "renamed"), (20, "err", "uncertainty", "renamed")}
+    assert not any(r["drift"] == "renamed" for r in schema_drift(df, cfg=DriftConfig(rounds=0)).collect())
+
+
+def test_nesting_and_neighbours_take_part():
+    """Of two candidates with the same values the one whose inner names and neighbours agree wins."""
+    base = {f"n_{t}": 0 for t in TYPES} | {"n": 9, "n_num": 9, "lo": 1.0, "hi": 9.0, "q": [2.0, 4.0, 8.0], "shape": None, "text_min": None, "text_max": None, "inner": None}
+    obj = lambda inner: base | {"n_object": 9, "inner": inner}
+    old = {"x": obj("OBJECT<unit: STRING, value: DOUBLE>"), "s": base | {"n_number": 9}}
+    new = {"p": obj("OBJECT<flag: BOOLEAN, other: BOOLEAN>"), "q": obj("OBJECT<unit: STRING, value: DOUBLE>"), "s": base | {"n_number": 9}}
+    a, b, score, _ = flood(old, new, DriftConfig())
+    assert a == ["x"] and b == ["p", "q"] and score[0, 1] > score[0, 0]
+    far = base | {"n_number": 9, "q": [2.0, 400.0, 800.0]}
+    apart = flood({"x": base | {"n_number": 9}, "s": base | {"n_number": 9}}, {"y": base | {"n_number": 9}, "s": base | {"n_number": 9}}, DriftConfig())[2]
+    alone = flood({"x": base | {"n_number": 9}, "s": base | {"n_number": 9}}, {"y": base | {"n_number": 9}, "s": far}, DriftConfig())[2]
+    assert apart[0, 0] > alone[0, 0]
+
+
+def test_scores_settle_to_the_same():
+    """More rounds change nothing once the scores have settled."""
+    f = {f"n_{t}": 0 for t in TYPES} | {"n": 9, "n_number": 9, "n_num": 9, "lo": 1.0, "hi": 9.0, "q": [2.0, 4.0, 8.0], "shape": None, "text_min": None, "text_max": None, "inner": None}
+    few, many = (flood({"x": f, "s": f}, {"y": f, "s": f}, DriftConfig(rounds=n, settled=0.0))[2] for n in (60, 400))
+    assert abs(few - many).max() < 1e-9
