@@ -1,19 +1,22 @@
 """Pages made of repeated keywords, links or tags instead of sentences.
 
-For each text the gaps between recurrences of its terms and term pairs are
-taken.  Terms that come back often and at short, regular gaps are keywords.  In
-windows of lags around each word the share of keywords, link words and tags is
-held against the share of function words: prose has many of these, lists have
-none.  Windows without function words whose pattern of positions repeats with a
-fixed lag, or whose list entries are all short and distinct, count as well.
-Lists that belong to rulings (citations, parties, hearings, pleadings, goods)
-are known by their form and taken out.
+Three signs are taken for every word of a text, in windows of lags around it:
+
+- recurrence gaps: terms, pairs and key phrases that come back often and at
+  short gaps are keywords;
+- positional autocorrelation: the share of words that are met again exactly k
+  words on, for every lag k of the window.  Prose has next to none at any lag,
+  lists and stuffed lines have much, and regular ones have it at one lag;
+- function words: prose has many, lists have none.  Long lists of short,
+  distinct entries without function words count even if no term recurs.
+
+Words of links, markup and tags are known by their form.  A batch of texts is
+analysed at once, in arrays over all its words; every text is read whole.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import types as T
 
 from residua.session import spread
 
-# --- fixed values: function words of the corpus languages --------------------
+# --- fixed values: function words of the corpus languages, currency codes --------------------
 FUNCTION_WORDS = frozenset(
     """
     a about after all also an and any are as at be because been before but by can could did do does for from had has have he her his how i if in into is it its
@@ -36,145 +39,250 @@ FUNCTION_WORDS = frozenset(
     ou où par pas pour qu que qui sa sans se ses si son soit sont sous sur tout un une vous y a ait d c s
     """.split()
 )
+CURRENCIES = frozenset("aud cad chf dkk eur gbp jpy nok nzd pln sek usd".split())
 # -----------------------------------------------------------------------------
 
-WORD = re.compile(r"[^\W_]+")
-#: cheap sign that a line may hold a link, tag or price
-SIGN = re.compile(r"//|#|<|\.[a-z]{2,}|[.,]\d\d\b")
-LINK = re.compile(r"(?:https?:)?//[^\s<>\"')\]]+|\bwww\.[^\s<>\"')\]]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b(?:/[^\s<>\"')\]]*)?", re.I)
-MARKUP = re.compile(r"</?[a-z][^>]*>", re.I)
-TAG = re.compile(r"#[^\W\d_]\w*")
-PRICE = re.compile(r"(?:\b[A-Z]{3}|[$€£])\s?\d+[.,]\d\d\b(?![.,]\d)")
-#: a catalogue line holds a price and is no longer than this; so many lines make a catalogue
-CATALOGUE_WORDS, CATALOGUE_LINES = 16, 3
-#: forms of lists in rulings: citations, case names, docket and paragraph marks, court rooms, classes of goods
-RULING = re.compile(
-    r"\s(?:v\.?|vs\.?|c/|\./\.)\s|\[\d{4}\]|\(\d{4}\)|\b\d+ Z[RB] \d+|\bn[°o]\.? ?\d\d-\d|\bUrteil vom\b|\barrêt\b|\bcourt ?room\b|\bthe allegation\b",
-    re.I,
-)
-GOODS = re.compile(r"\b(?:class|classe|klasse)\s+\d+\W*$", re.I)
-
-ENTRY = re.compile(r"[,;|·•>\t]|\s{2,}")
-
 #: words on either side of a position
 REACH = 12
-#: share of keywords, links and tags that makes a window spam, and the share of function words that it may have
-MARKED, FUNCTION = 0.34, 0.2
-PAIR_COUNT, PAIR_GAP = 4, 90
+#: lags of the autocorrelation
+LAGS = range(1, 65)
+#: share of keywords, links and tags that makes a window a list, and the share of function words that it may have
+MARKED, FUNCTION = 0.28, 0.2
+#: autocorrelation over all lags that a window of keywords has at least, and at one lag where it is a list by itself
+ECHO, BEAT = 0.15, 0.3
+#: share of plain numbers that a list of keywords may have; registers and citations have more
+NUMBERS = 0.2
+PAIR_COUNT, PAIR_GAP = 4, 150
 TERM_COUNT, TERM_GAP = 6, 14
-LIST_ENTRY = 4
-#: so many entries of so many words on average are a list even if none recurs; single words may be goods
-DISTINCT_ENTRIES, DISTINCT_WORDS = 12, 1.4
+#: words an entry, entries a line, words an entry on average and function words of a list whose terms do not recur; single words may be goods
+LIST_ENTRY, DISTINCT_ENTRIES, DISTINCT_WORDS, DISTINCT_FUNCTION = 4, 12, 1.4, 0.04
+#: a line of a catalogue holds a price and is no longer than this; so many lines make a catalogue
+CATALOGUE_WORDS, CATALOGUE_LINES = 16, 3
+#: lines of more words are judged word by word
+LONG_LINE = 80
+#: characters analysed at once; a longer text is a batch of its own
+BATCH_CHARS = 1_000_000
+
+ALNUM, DIGIT, SPACE, BREAK, ENTRY, STOP, CURRENCY = 1, 2, 4, 8, 16, 32, 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """Class bits of every code point."""
+    out = np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        out[i] = ALNUM * c.isalnum() | DIGIT * c.isdigit() | SPACE * c.isspace() | BREAK * (c in "\n\r") | ENTRY * (c in ",;|·•>\t") | STOP * (c in ".!?:") | CURRENCY * (c in "$€£¥")
+    return out
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)], dtype=np.uint64) for b in (_BASE, inverse))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def _hashes(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each word, equal for equal words."""
+    n = 1 << max(10, int(len(chars)).bit_length())
+    up, down = _powers(n)
+    run = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(_mixed(chars.astype(np.uint64)) * up[: len(chars)], out=run[1:])
+    return (run[end] - run[start]) * down[start]
 
 
-def _window_mean(x: np.ndarray, reach: int) -> np.ndarray:
-    c = np.r_[0.0, np.cumsum(x)]
-    i = np.arange(len(x))
-    a, b = np.maximum(0, i - reach), np.minimum(len(x), i + reach + 1)
-    return (c[b] - c[a]) / (b - a)
+@lru_cache(2)
+def _word_hashes(words: frozenset[str]) -> np.ndarray:
+    text = " ".join(sorted(words))
+    ends = np.cumsum([len(w) + 1 for w in sorted(words)]) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    return np.sort(_hashes(np.frombuffer(text.encode("utf-32-le"), "<u4"), starts, ends))
 
 
-def _recurrent(code: np.ndarray, valid: np.ndarray, count: int, gap: float) -> np.ndarray:
-    """Positions whose term recurs at least ``count`` times with a median gap of at most ``gap``."""
-    n = len(code)
-    hit = np.zeros(n, bool)
+def _one_of(code: np.ndarray, words: frozenset[str]) -> np.ndarray:
+    known = _word_hashes(words)
+    return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
+
+
+def _window_sum(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    c = np.zeros(len(x) + 1, np.int32)
+    np.cumsum(x, out=c[1:])
+    return c[right] - c[left]
+
+
+def _recurrent(key: np.ndarray, valid: np.ndarray, count: int, gap: float) -> np.ndarray:
+    """Positions whose key recurs at least ``count`` times with a median gap of at most ``gap``."""
+    hit = np.zeros(len(key), bool)
     at = np.flatnonzero(valid)
     if len(at) < count:
         return hit
-    order = at[np.argsort(code[at], kind="stable")]
-    c = code[order]
-    cut = np.flatnonzero(np.diff(c)) + 1
-    start, end = np.r_[0, cut], np.r_[cut, len(c)]
-    for a, b in zip(start[end - start >= count].tolist(), end[end - start >= count].tolist()):
-        pos = order[a:b]
-        if np.median(np.diff(pos)) <= gap:
-            hit[pos] = True
+    order = at[np.argsort(key[at], kind="stable")]
+    k = key[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    size = np.diff(np.r_[first, len(k)])
+    often = size >= count
+    order = order[np.repeat(often, size)]
+    size = size[often]
+    if not len(size):
+        return hit
+    group = np.repeat(np.arange(len(size)), size)
+    last = np.cumsum(size) - 1
+    gaps = np.delete(np.diff(order, append=0), last)  # within a group; size - 1 of each
+    of = np.delete(group, last)
+    gaps = gaps[np.lexsort((gaps, of))]
+    middle = np.cumsum(size - 1) - (size - 1) + (size - 2) // 2
+    upper = np.cumsum(size - 1) - (size - 1) + (size - 1) // 2
+    hit[order[((gaps[middle] + gaps[upper]) / 2 <= gap)[group]]] = True
     return hit
 
 
-def _periodic(marked: np.ndarray, lags: range) -> bool:
-    """Whether the pattern of marked positions repeats with a fixed lag."""
-    x = marked - marked.mean()
-    power = float(x @ x)
-    return power > 0 and max((float(x[:-k] @ x[k:]) / power for k in lags if k < len(x)), default=0.0) > 0.5
+def _spam_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(words that belong to keyword, link or tag lists, all words) of each text."""
+    docs = len(texts)
+    lowered = [t.lower() for t in texts]
+    joined = "\n".join(lowered)
+    chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    cls = _classes()[chars]
+    alnum = np.zeros(len(chars) + 2, np.int8)
+    alnum[1:-1] = cls & ALNUM
+    edge = np.diff(alnum)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    n = len(start)
+    if not n:
+        return np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), start, side="right")
+    words = np.bincount(doc, minlength=docs)
+    code = _hashes(chars, start, end)
+    is_function = _one_of(code, FUNCTION_WORDS)
+    upto = lambda bits: np.r_[np.int32(0), np.cumsum(bits, dtype=np.int32)]
+    digits = upto(cls & DIGIT != 0)
+    is_digit = digits[end] - digits[start] == end - start
+    # what stands between a word and the next: breaks, spaces, list marks
+    nxt = np.r_[start[1:], len(chars)]
+    between = lambda c: c[nxt] - c[end]
+    broken, spaced, entry = between(upto(cls & BREAK != 0)) > 0, between(upto(cls & SPACE != 0)), between(upto(cls & ENTRY != 0)) > 0
+    line = np.r_[0, np.cumsum(broken[:-1])]
+    chunk = np.r_[0, np.cumsum(spaced[:-1] > 0)]
+    lines = int(line[-1]) + 1
 
+    # links, markup and tags by their form: a chunk without spaces that holds a host name, two slashes or a bracket, or begins with a number sign
+    long_word = end - start > 1
+    dotted = np.zeros(n, bool)
+    dotted[1:] = (nxt[:-1] - end[:-1] == 1) & (chars[np.minimum(end[:-1], len(chars) - 1)] == ord(".")) & long_word[:-1] & long_word[1:] & (digits[end[1:]] == digits[start[1:]])
+    slashes = np.zeros(len(chars), bool)
+    slashes[1:] = (chars[1:] == ord("/")) & (chars[:-1] == ord("/"))
+    before = np.r_[0, end[:-1]]
+    marks = upto(slashes | (chars == ord("<")))
+    before_char = chars[np.maximum(start - 1, 0)]
+    letter = ~(cls[start] & DIGIT).astype(bool)
+    sign = (start > 0) & (marks[start] > marks[before]) & (cls[np.maximum(start - 1, 0)] & SPACE == 0)
+    tag = (start > 0) & (before_char == ord("#")) & letter
+    formed = np.bincount(chunk, dotted | sign | tag)[chunk] > 0
+    # prices: a number with two decimals next to a currency; enough short lines that hold one make a catalogue
+    count = np.bincount(line, minlength=lines)
+    decimals = np.zeros(n, bool)
+    decimals[1:] = is_digit[1:] & is_digit[:-1] & (end[1:] - start[1:] == 2) & (nxt[:-1] - end[:-1] == 1)
+    money = _one_of(code, CURRENCIES)
+    coin = between(upto(cls & CURRENCY != 0)) > 0
+    near = np.zeros(n, bool)
+    near[2:] |= money[:-2] | coin[:-2]
+    near[:-1] |= money[1:]
+    near |= coin
+    priced = (np.bincount(line, decimals & near, lines) > 0) & (count <= CATALOGUE_WORDS)
+    line_doc = np.zeros(lines, np.int64)
+    line_doc[line] = doc
+    catalogue = priced & (np.bincount(line_doc, priced, docs) >= CATALOGUE_LINES)[line_doc]
+    formed |= catalogue[line]
 
-def spam_words(text: str) -> tuple[int, int]:
-    """(words that belong to keyword, link or tag lists, all words)."""
-    every = WORD.findall(text.casefold())
-    n = len(every)
-    if not n:
-        return 0, n
-    sure: list[bool] = []
-    line_of: list[int] = []
-    exempt: list[bool] = []
-    entries: list[float] = []
-    distinct: list[bool] = []
-    catalogue: list[int] = []
-    goods = False
-    for line in text.split("\n"):
-        at = [m.start() for m in WORD.finditer(line)]
-        if not at:
-            continue
-        k, size = len(exempt), len(at)
-        mark = [False] * size
-        if SIGN.search(line):
-            for p in (LINK, TAG, MARKUP):
-                for m in p.finditer(line):
-                    a, b = m.span()
-                    for i in range(bisect_left(at, a), bisect_left(at, b)):
-                        mark[i] = True
-            if size <= CATALOGUE_WORDS and PRICE.search(line):
-                catalogue.append(k)
-        listed = goods
-        goods = GOODS.search(line) is not None
-        exempt.append(listed or goods or RULING.search(line) is not None)
-        parts = sum(1 for p in ENTRY.split(line) if p.strip())
-        entries.append(size / parts if parts >= 4 else 99.0)
-        distinct.append(parts >= DISTINCT_ENTRIES and DISTINCT_WORDS * parts <= size)
-        sure += mark
-        line_of += [k] * size
-    if len(sure) != n:  # case folding may join or split words in rare scripts
-        every = [w.casefold() for w in WORD.findall(text)]
-        n = len(every)
-    line = np.array(line_of)
-    free = ~np.array(exempt)[line]
-    if not free.any():
-        return 0, n
-    number: dict[str, int] = {}
-    code = np.fromiter((number.setdefault(w, len(number)) for w in every), np.int64, n)
-    names = list(number)
-    v = len(names)
-    is_function = np.fromiter((w in FUNCTION_WORDS for w in names), bool, v)[code]
-    is_digit = np.fromiter((w.isdigit() for w in names), bool, v)[code]
-    usable = ~is_function & ~is_digit & free
-    marked = _recurrent(code, usable, TERM_COUNT, TERM_GAP)
-    hit = _recurrent(code[:-1] * v + code[1:], usable[:-1] & usable[1:], PAIR_COUNT, PAIR_GAP)
-    marked[:-1] |= hit
-    marked[1:] |= hit
+    # recurrence gaps of terms, pairs and phrases, each within its text
+    own = code ^ _mixed(doc.astype(np.uint64) + np.uint64(1))
+    usable = ~is_function & ~is_digit
+    same = doc[:-1] == doc[1:]
+    marked = formed | _recurrent(own, usable, TERM_COUNT, TERM_GAP)
+    if n > 1:
+        pair = _mixed(own[:-1]) + code[1:]
+        hit = _recurrent(pair, usable[:-1] & usable[1:] & same, PAIR_COUNT, PAIR_GAP)
+        marked[:-1] |= hit
+        marked[1:] |= hit
     if n > 2:  # key phrases around a function word
-        three = usable[:-2] & is_function[1:-1] & usable[2:]
-        hit = _recurrent((code[:-2] * v + code[1:-1]) * v + code[2:], three, PAIR_COUNT, PAIR_GAP)
+        three = _mixed(pair[:-1]) + code[2:]
+        hit = _recurrent(three, usable[:-2] & is_function[1:-1] & usable[2:] & same[:-1] & same[1:] & ~broken[:-2] & ~broken[1:-1], PAIR_COUNT, PAIR_GAP)
         for k in range(3):
             marked[k : n - 2 + k] |= hit
-    marked |= np.array(sure) & free
-    count = np.bincount(line)
-    if len(catalogue) >= CATALOGUE_LINES:
-        marked |= np.isin(line, catalogue) & free
+
+    # short entries that recur as a whole, function words included
+    cut = broken | entry | (between(upto(cls & STOP != 0)) > 0)
+    cut[:-1] |= ~same
+    opens = np.flatnonzero(np.r_[True, cut[:-1]])
+    size = np.diff(np.r_[opens, n])
+    place = np.arange(n) - np.repeat(opens, size)
+    whole = np.add.reduceat(_mixed(own + place.astype(np.uint64) * _BASE), opens)
+    key = np.zeros(n, np.uint64)
+    key[opens] = whole
+    fits = np.zeros(n, bool)
+    fits[opens] = (size <= LIST_ENTRY) & (np.add.reduceat(usable.astype(np.int64), opens) > 0)
+    marked |= np.repeat(_recurrent(key, fits, PAIR_COUNT, PAIR_GAP)[opens], size)
+
+    # windows end at the text's ends
+    first = np.cumsum(words) - words
+    at = np.arange(n)
+    left = np.maximum(at - REACH, first[doc])
+    right = np.minimum(at + REACH + 1, (first + words)[doc])
+    width = right - left
+    echo, beat = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for k in LAGS:
+        if k >= n:
+            break
+        met = np.zeros(n, bool)
+        met[:-k] = (own[k:] == own[:-k]) & usable[:-k]
+        if met.any():
+            s = _window_sum(met, left, right)
+            echo += s
+            np.maximum(beat, s, out=beat)
     speaks = is_function & ~marked
-    weight = _window_mean((~is_digit | marked).astype(float), REACH)
-    share = _window_mean(marked.astype(float), REACH) / np.maximum(weight, 1e-9)
-    spam = (share >= MARKED) & (_window_mean(speaks.astype(float), REACH) <= FUNCTION) & free
-    # whole lines by the majority of their words; entries of lists are short and hold no function words
-    of_line = np.bincount(line, spam, len(count)) / count
-    fw_line = np.bincount(line, speaks, len(count)) / count
-    marked_line = np.bincount(line, marked, len(count)) / count
-    short = (np.array(entries) <= LIST_ENTRY) & (fw_line <= 0.04) & (count >= 8)
-    for k in np.flatnonzero(short & (of_line < 0.9) & (np.array(distinct) | (marked_line > 0.1))):
-        if distinct[k] or marked_line[k] > 0.2 or _periodic(marked[line == k].astype(float), range(2, 2 * LIST_ENTRY + 1)):
-            of_line[k] = 1.0
-    taken = np.where((count <= 80)[line], of_line[line] >= 0.5, spam | (of_line[line] >= 0.9)) & free
-    return int(taken.sum()), n
+    function_share = _window_sum(speaks, left, right) / np.maximum(_window_sum(~is_digit | marked, left, right), 1)
+    share, linked = _window_sum(marked, left, right) / width, _window_sum(formed, left, right) / width
+    echo, beat = echo / width, beat / width
+    numbers = _window_sum(is_digit & ~marked, left, right) / width
+    worded = ((share >= MARKED) & (echo >= ECHO) | (beat >= BEAT)) & (numbers <= NUMBERS)
+    spam = (worded | (linked >= MARKED)) & (function_share <= FUNCTION)
+
+    # whole lines by the majority of their words; long lists of short, distinct entries without function words
+    of_line = np.bincount(line, spam, lines) / count
+    of_line[np.bincount(line, marked | (beat >= BEAT), lines) < MARKED / 2 * count] = 0.0  # a sentence between lists
+    entries = np.bincount(line, entry & ~broken, lines) + 1
+    bare = np.bincount(line, speaks, lines) <= DISTINCT_FUNCTION * count
+    distinct = bare & (entries >= DISTINCT_ENTRIES) & (count <= LIST_ENTRY * entries) & (count >= DISTINCT_WORDS * entries)
+    of_line[distinct] = 1.0
+    taken = np.where((count <= LONG_LINE)[line], of_line[line] >= 0.5, spam | (of_line[line] >= 0.9))
+    return np.bincount(doc, taken, docs).astype(np.int64), words
+
+
+def spam_counts(texts: list[str | None]) -> list[tuple[int, int]]:
+    """(words that belong to keyword, link or tag lists, all words) of each text."""
+    out: list[tuple[int, int]] = []
+    batch: list[str] = []
+    size = 0
+    for i, t in enumerate(texts):
+        batch.append(t or "")
+        size += len(batch[-1])
+        if size >= BATCH_CHARS or i == len(texts) - 1:
+            out += zip(*(a.tolist() for a in _spam_batch(batch)))
+            batch, size = [], 0
+    return out
+
+
+def spam_words(text: str) -> tuple[int, int]:
+    return spam_counts([text])[0]
 
 
 def spam_shares(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", above: float | None = None) -> DataFrame:
@@ -192,8 +300,7 @@ def spam_shares(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches):
         for b in batches:
-            texts = b.column(1)
-            got = [spam_words(texts[i].as_py() or "") for i in range(b.num_rows)]
+            got = spam_counts(b.column(1).to_pylist())
             share = [a / n if n else 0.0 for a, n in got]
             out = pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([a for a, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64()), pa.array(share, pa.float64())],
