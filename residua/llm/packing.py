@@ -1,9 +1,13 @@
 """Items of varying length packed into containers of a few permitted capacities.
 
 Variable-capacity best fit: items in falling order of size go to the open bin
-with the least room that still takes them.  If none does, a bin is opened whose
-capacity costs least per token, given the tokens that are still to come; in the
-end every bin is cut down to the least permitted capacity that holds it.
+with the least room that still takes them.  If none does, a bin is opened.  Its
+capacity is chosen among all permitted ones by the least cost per token that it
+is expected to hold.  A sequence of c tokens costs c + c*c/balance, as the work
+of attention grows with its square and all other work with its length; what the
+bin will hold is the item and its share of the items still to come that fit
+into the rest, as all open bins compete for these.  In the end every bin is cut
+down to the least permitted capacity that holds it.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from residua.session import spread
 
 CAPACITIES = (256, 512, 1024, 2048)
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: length at which the quadratic part of a sequence's cost equals the linear one
+BALANCE = 8192.0
 #: the splitting pattern of the byte-level vocabulary (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,21 +59,31 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return spread(src).mapInArrow(run, schema)
 
 
-def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: float = 0.0) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each item, offset of each item in its bin, capacity of each bin).
+def sequence_cost(capacity: int, balance: float = BALANCE) -> float:
+    return capacity + capacity * capacity / balance
 
-    No size may exceed the largest capacity.  ``overhead`` is a cost per bin in
-    tokens, which the choice of a new bin's capacity weighs.
+
+def pack_opened(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, balance: float = BALANCE) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(bin of each item, offset of each item in its bin, final capacity of each bin, capacity at which it was opened).
+
+    No size may exceed the largest capacity.  ``balance`` may be infinite: then
+    only unused room counts.
     """
     caps = sorted(capacities)
+    price = {c: sequence_cost(c, balance) for c in caps}
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    to_come = sum(sizes)
+    # tokens of the items from a place of the order on; those of size r at most begin where falling sizes pass r
+    falling = [-sizes[i] for i in order]
+    after = [0] * (len(order) + 1)
+    for k in range(len(order) - 1, -1, -1):
+        after[k] = after[k + 1] - falling[k]
     bin_of, offset = [0] * len(sizes), [0] * len(sizes)
     used: list[int] = []
-    limit: list[int] = []
+    opened: list[int] = []
     rooms: list[int] = []  # distinct rooms of open bins, rising
     open_at: dict[int, list[int]] = {}
-    for i in order:
+    open_room = 0
+    for k, i in enumerate(order):
         s = sizes[i]
         at = bisect_left(rooms, s)
         if at < len(rooms):
@@ -77,18 +93,24 @@ def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: f
             if not stack:
                 del open_at[room]
                 rooms.pop(at)
+            open_room -= s
         else:
-            # least cost per token that will be in it: what is to come can fill the rest
-            fits = [c for c in caps if c >= s]
-            cost = lambda c: (c + overhead) / max(1, min(c, s + max(0, to_come - s)))
-            c = min(fits, key=lambda c: (cost(c), -c))
+            best = None
+            for c in caps:
+                if c >= s:
+                    rest = c - s
+                    to_come = after[max(k + 1, bisect_left(falling, -rest))]
+                    held = s + rest * min(1.0, to_come / (open_room + rest)) if rest else s
+                    cost = price[c] / max(held, 1e-9)
+                    if best is None or cost <= best[0]:
+                        best = cost, c
+            room = best[1]
             b = len(used)
             used.append(0)
-            limit.append(c)
-            room = c
+            opened.append(room)
+            open_room += room - s
         bin_of[i], offset[i] = b, used[b]
         used[b] += s
-        to_come -= s
         left = room - s
         if left in open_at:
             open_at[left].append(b)
@@ -96,13 +118,21 @@ def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: f
             open_at[left] = [b]
             insort(rooms, left)
     final = [next(c for c in caps if c >= u) for u in used]
-    return bin_of, offset, final
+    return bin_of, offset, final, opened
+
+
+def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES, balance: float = BALANCE) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each item, offset of each item in its bin, capacity of each bin)."""
+    return pack_opened(sizes, capacities, balance)[:3]
 
 
 def pack_items(
-    items: DataFrame, *, item_id: str, size: str, capacities: tuple[int, ...] = CAPACITIES, group_items: int = 50_000, overhead: float = 0.0, expected: int | None = None
+    items: DataFrame, *, item_id: str, size: str, capacities: tuple[int, ...] = CAPACITIES, group_items: int = 50_000, balance: float = BALANCE, expected: int | None = None
 ) -> DataFrame:
-    """One row per piece: item_id, piece (from 0), start and n_tokens in the item, bin_id, bin_offset, bin_capacity.
+    """One row per piece: item_id, piece (from 0), start and n_tokens in the item, bin_id, bin_offset, bin_capacity, bin_opened.
+
+    ``bin_opened`` is the capacity at which the bin was opened, ``bin_capacity``
+    the one that it was cut down to.
 
     An item longer than the largest capacity is cut at multiples of it and only
     then; every other item stays whole.  Items are spread by a hash over groups
@@ -133,13 +163,13 @@ def pack_items(
         no = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = no * top
         length = np.minimum(size_of[at] - start, top)
-        bins, offset, caps = pack(length.tolist(), capacities, overhead)
+        bins, offset, caps, opened = pack_opened(length.tolist(), capacities, balance)
         return pd.DataFrame({
             "i": pdf["i"].to_numpy()[at], "piece": no, "start": start, "n_tokens": length,
-            "bin_id": [f"{key[0]}-{b}" for b in bins], "bin_offset": offset, "bin_capacity": [caps[b] for b in bins],
+            "bin_id": [f"{key[0]}-{b}" for b in bins], "bin_offset": offset, "bin_capacity": [caps[b] for b in bins], "bin_opened": [opened[b] for b in bins],
         })
 
-    out = f"i {id_type}, piece int, start long, n_tokens long, bin_id string, bin_offset long, bin_capacity int"
+    out = f"i {id_type}, piece int, start long, n_tokens long, bin_id string, bin_offset long, bin_capacity int, bin_opened int"
     return src.groupBy("g").applyInPandas(one, out).withColumnRenamed("i", item_id)
 
 

@@ -2,15 +2,19 @@
 
 A summary is a rising list of values, each with the least and the greatest rank
 it can have among the n values seen (a rank interval).  Summaries of parts are
-merged by adding rank bounds, and compressed to a fixed number of tuples; the
-rank error that this adds is part of the intervals, so every summary knows its
-own error.  Nothing is random: the same rows in the same parts give the same
-summary, and any parts combine into the whole.
+merged by adding rank bounds, which keeps their error as a share of the rows.
+Then tuples are left out as long as the rank intervals of their neighbours stay
+within the permitted uncertainty: the error that the summary has, plus a part
+of what is left up to ``eps``.  So the error is known from the intervals, and
+never exceeds ``eps``, however often summaries are merged; more merges only
+keep more tuples.  Nothing is random: the same rows in the same parts give the
+same summary, and any parts combine into the whole.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -21,8 +25,8 @@ from pyspark.sql import types as T
 
 #: summaries that are merged before one compression
 FAN_IN = 64
-#: levels of compression that the error is shared among: rows, parts, salts, and loads combined later
-LEVELS = 8
+#: share of the error still left that one compression may use up
+STEP = 0.25
 
 SUMMARY = [
     T.StructField("n", T.LongType(), False),
@@ -36,10 +40,10 @@ Summary = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
 
 def tuples_for(eps: float) -> int:
-    """Tuples to keep so that LEVELS compressions together stay within eps."""
+    """Tuples that the summary of any number of sorted values takes after its first compression."""
     if not 0 < eps < 0.5:
         raise ValueError("eps must be between 0 and 0.5")
-    return math.ceil(LEVELS / (2 * eps)) + 1
+    return math.ceil(1 / (2 * STEP * eps)) + 1
 
 
 def of_sorted(x: np.ndarray, keep: int) -> Summary:
@@ -50,13 +54,13 @@ def of_sorted(x: np.ndarray, keep: int) -> Summary:
     return n, x[at], rank, rank
 
 
-def merge(parts: list[Summary], keep: int) -> Summary:
-    """Summary of all values of the parts, compressed to ``keep`` tuples."""
+def merged(parts: list[Summary]) -> Summary:
+    """Summary of all values of the parts, with every tuple of theirs."""
     parts = [p for p in parts if p[0]]
     if not parts:
         return 0, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(parts) == 1:
-        return compress(parts[0], keep)
+        return parts[0]
     value = np.concatenate([p[1] for p in parts])
     # what passing a tuple adds to the bounds of all later ones
     low = np.concatenate([np.diff(p[2], prepend=0) for p in parts])
@@ -66,7 +70,38 @@ def merge(parts: list[Summary], keep: int) -> Summary:
     start = sum(int(p[3][0]) - 1 for p in parts)
     rank_min = np.cumsum(low)
     rank_max = start + np.cumsum(high) - high + 1
-    return compress((sum(p[0] for p in parts), value[order], rank_min, rank_max), keep)
+    return sum(p[0] for p in parts), value[order], rank_min, rank_max
+
+
+def merge(parts: list[Summary], keep: int) -> Summary:
+    """``merged``, compressed to ``keep`` tuples."""
+    return compress(merged(parts), keep)
+
+
+def merge_within(parts: list[Summary], eps: float) -> Summary:
+    """``merged``, compressed by the uncertainty that ``eps`` permits."""
+    return compress_within(merged(parts), eps)
+
+
+def compress_within(s: Summary, eps: float) -> Summary:
+    """As few tuples as the permitted uncertainty allows; the ends stay.
+
+    From each tuple kept the next is the farthest whose greatest rank is within
+    twice the permitted error of the least rank of the former, so that any rank
+    between is met within the permitted error.
+    """
+    n, value, lo, hi = s
+    if len(value) <= tuples_for(eps):
+        return s
+    error = error_of(s)
+    allowed = 2 * n * (error + STEP * max(0.0, eps - error))
+    low, high = lo.tolist(), hi.tolist()
+    at, last = [0], len(low) - 1
+    while at[-1] < last:
+        i = at[-1]
+        at.append(max(i + 1, bisect_right(high, low[i] + allowed, i + 1) - 1))
+    at = np.array(at)
+    return n, value[at], lo[at], hi[at]
 
 
 def compress(s: Summary, keep: int) -> Summary:
@@ -84,26 +119,27 @@ def compress(s: Summary, keep: int) -> Summary:
     return n, value[at], lo[at], hi[at]
 
 
+def nearest_rank(n: int, q: float) -> int:
+    """The rank from 1 to n that quantile q asks for."""
+    return 1 + math.floor(q * (n - 1) + 0.5)
+
+
 def query(s: Summary, q: float) -> tuple[float, int, int]:
-    """Value at quantile q with the bounds of its rank."""
+    """Value at quantile q (of the nearest rank) with the bounds of its rank."""
     n, value, lo, hi = s
-    rank = 1 + q * (n - 1)
+    rank = nearest_rank(n, q)
     i = int(np.argmin(np.maximum(rank - lo, hi - rank)))
     return float(value[i]), int(lo[i]), int(hi[i])
 
 
 def error_of(s: Summary) -> float:
-    """Largest rank error of any quantile of this summary, as a share of n."""
+    """Largest rank error of any quantile of this summary, as a share of n; 0 while every value is kept."""
     n, _, lo, hi = s
     if n <= 1:
         return 0.0
-    gap = np.maximum((hi[1:] - lo[:-1]) / 2.0, 0.5) if len(lo) > 1 else np.array([0.5])
-    own = (hi - lo) / 2.0
-    return float(max(gap.max(), own.max()) / n)
-
-
-def _row(s: Summary) -> dict:
-    return {"n": s[0], "value": s[1], "rank_min": s[2], "rank_max": s[3]}
+    # with e half the widest reach from a tuple's least rank to the next one's greatest: of the tuples whose greatest rank
+    # is at most r + e the last has a least rank of at least r - e
+    return int((hi[1:] - lo[:-1]).max()) // 2 / n if len(lo) > 1 else 0.0
 
 
 def _batch(keys: list[list], rows: list[Summary], key_types: list, names: list[str]) -> pa.RecordBatch:
@@ -177,8 +213,8 @@ def summarise(df: DataFrame, keys: list[str], value: str, *, eps: float = 0.005,
 
     out = src.mapInArrow(local, schema)
     if merged:
-        out = _merge_sorted(out, [*names, "_salt"], [*arrow, pa.int32()], keep)
-        out = _merge_sorted(out.drop("_salt"), names, arrow, keep)
+        out = _merge_sorted(out, [*names, "_salt"], [*arrow, pa.int32()], eps)
+        out = _merge_sorted(out.drop("_salt"), names, arrow, eps)
     else:
         out = out.drop("_salt")
     for k, n in zip(keys, names):
@@ -186,7 +222,7 @@ def summarise(df: DataFrame, keys: list[str], value: str, *, eps: float = 0.005,
     return out
 
 
-def _merge_sorted(parts: DataFrame, names: list[str], arrow: list, keep: int) -> DataFrame:
+def _merge_sorted(parts: DataFrame, names: list[str], arrow: list, eps: float) -> DataFrame:
     """Merges the summaries of equal keys, streaming sorted rows and holding FAN_IN of one key."""
     schema = parts.schema
     spread = parts.repartition(*names).sortWithinPartitions(*names) if names else parts.coalesce(1)
@@ -203,11 +239,11 @@ def _merge_sorted(parts: DataFrame, names: list[str], arrow: list, keep: int) ->
                 levels[level].append(s)
                 if len(levels[level]) < FAN_IN:
                     return
-                s, levels[level] = merge(levels[level], keep), []
+                s, levels[level] = merge_within(levels[level], eps), []
                 level += 1
 
         def done(k):
-            s = merge([x for level in levels for x in level], keep)
+            s = merge_within([x for level in levels for x in level], eps)
             return _batch([[x] for x in k], [s], arrow, names)
 
         for b in batches:
@@ -230,17 +266,21 @@ def combine(summaries: DataFrame, keys: list[str], *, eps: float = 0.005) -> Dat
     """Merges summaries of separate days, loads or tables into one per key.
 
     ``summaries`` holds rows of ``summarise`` with any further columns, which
-    are ignored.  Combining costs one compression more.
+    are ignored.  Combining any number of times keeps the error within ``eps``.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     src = summaries.select(*keys, *_ARROW)
     arrow = [to_arrow_type(src.schema[k].dataType) for k in keys]
-    return _merge_sorted(src, keys, arrow, tuples_for(eps))
+    return _merge_sorted(src, keys, arrow, eps)
 
 
 def percentiles(summaries: DataFrame, keys: list[str], quantiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Keys, n, one column p<percent> per quantile, rank_error (bound, share of n)."""
+    """Keys, n, one column p<percent> per quantile, rank_error (bound, share of n).
+
+    A percentile is the value of the nearest rank 1 + floor(q (n - 1) + 1/2); the
+    value given has a rank within rank_error * n of it, and is exact at 0.
+    """
     names = [f"p{q * 100:g}".replace(".", "_") for q in quantiles]
     fields = ", ".join([*[f"{n} double" for n in names], "rank_error double"])
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from residua.llm.packing import VOCABULARY, pack, pack_documents, pack_items, token_counts
+from residua.llm.packing import CAPACITIES, VOCABULARY, pack, pack_documents, pack_items, pack_opened, sequence_cost, token_counts
 
 CAPS = (8, 16, 32)
 
@@ -32,6 +32,19 @@ def test_little_room_is_left():
     assert sum(sizes) / sum(caps) > 0.98
 
 
+def test_capacities_are_chosen_jointly():
+    """Several capacities are opened, and they cost less than the largest alone, at next to no unused room."""
+    rng = np.random.default_rng(3)
+    sizes = np.minimum(rng.lognormal(6.2, 0.9, 20_000).astype(int), 2048).tolist()
+    cost = lambda caps: sum(map(sequence_cost, caps)) / sum(sizes)
+    _, _, alone, _ = pack_opened(sizes, (2048,))
+    _, _, final, opened = pack_opened(sizes, CAPACITIES)
+    assert len({c for c in opened if opened.count(c) > 20}) >= 3
+    assert cost(final) < cost(alone) * 0.99 and sum(sizes) / sum(final) > 0.995
+    # where only unused room counts, as little is left as by the largest capacity alone
+    assert sum(pack(sizes, CAPACITIES, float("inf"))[2]) <= sum(alone) * 1.001
+
+
 def test_pieces_cover_every_item_once(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"id": range(700), "size": rng.integers(0, 100, 700), "piece": "clash", "bin_id": 1})

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from residua.llm.quantiles import combine, compress, error_of, group_percentiles, merge, of_sorted, percentiles, query, summarise, tuples_for
+from residua.llm.quantiles import combine, compress, error_of, group_percentiles, merge, merge_within, nearest_rank, of_sorted, percentiles, query, summarise, tuples_for
 
 
 def holds(s, data):
@@ -34,7 +34,7 @@ def test_error_is_bounded():
     keep = tuples_for(0.01)
     level = [of_sorted(np.sort(rng.lognormal(size=5000)), keep) for _ in range(64)]
     data_n = 64 * 5000
-    whole = merge([merge(level[i : i + 8], keep) for i in range(0, 64, 8)], keep)
+    whole = merge_within([merge_within(level[i : i + 8], 0.01) for i in range(0, 64, 8)], 0.01)
     assert whole[0] == data_n and error_of(whole) <= 0.01
     assert len(compress(whole, 11)[1]) <= 11
     with pytest.raises(ValueError, match="eps"):
@@ -54,7 +54,7 @@ def close(rows, pdf, eps):
         data = np.sort(pdf[pdf["k"] == r["k"]]["v"].to_numpy())
         assert r["n"] == len(data) and r["rank_error"] <= eps
         for q, c in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95")):
-            rank = 1 + q * (len(data) - 1)
+            rank = nearest_rank(len(data), q)
             off = max(np.searchsorted(data, r[c], "left") + 1 - rank, rank - np.searchsorted(data, r[c], "right"), 0)
             assert off <= r["rank_error"] * len(data)
 
@@ -84,3 +84,30 @@ def test_nulls_nan_and_no_rows(spark):
 
 def test_query_of_one_value():
     assert query(of_sorted(np.array([4.0]), 5), 0.5) == (4.0, 1, 1)
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.integers(0, 2**31), st.sampled_from([2, 3, 9]), st.sampled_from([0.02, 0.1]))
+def test_any_depth_of_merging_stays_within_eps(seed, fan, eps):
+    """Every rank is met within the error that the summary states, and that is within eps after many levels."""
+    rng = np.random.default_rng(seed)
+    data = [np.sort(rng.choice([rng.normal(size=200), rng.integers(0, 9, 200).astype(float)])) for _ in range(fan**4 if fan == 2 else 27)]
+    sums = [of_sorted(x, tuples_for(eps)) for x in data]
+    while len(sums) > 1:
+        sums = [merge_within(sums[i : i + fan], eps) for i in range(0, len(sums), fan)]
+    (whole,) = sums
+    every = np.sort(np.concatenate(data))
+    holds(whole, every)
+    error = error_of(whole)
+    assert error <= eps and len(whole[1]) < len(every)
+    for q in np.linspace(0, 1, 41):
+        v, _, _ = query(whole, q)
+        rank = nearest_rank(len(every), q)
+        off = max(np.searchsorted(every, v, "left") + 1 - rank, rank - np.searchsorted(every, v, "right"), 0)
+        assert off <= error * len(every)
+
+
+def test_exact_summaries_have_no_error(spark):
+    assert error_of(of_sorted(np.array([1.0, 2.0]), 9)) == 0.0
+    row = group_percentiles(spark.createDataFrame([("a", 1.0), ("a", 3.0)], "k string, v double"), ["k"], "v").first()
+    assert row["rank_error"] == 0.0 and (row["p5"], row["p50"], row["p95"]) == (1.0, 3.0, 3.0)
