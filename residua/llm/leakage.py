@@ -1,7 +1,8 @@
 """Held-out passages inside a corpus, found with a generalised suffix automaton.
 
 The automaton of the normalised items is built once per block of items and sent
-to the executors (its size is checked and bounded by the block).  Each document
+to the executors as bytes, whose number is checked: a block that takes more is
+halved.  Each document
 is streamed through it word by word, keeping the longest match that ends there.
 Stretches of fewer than ``min_words`` consecutive item words cannot match, so
 they are skipped before the automaton sees them.
@@ -9,7 +10,9 @@ they are skipped before the automaton sees them.
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from residua.operators.blocks import small
 from residua.session import spread
 
 #: a word; a hyphen before a line break joins two halves
@@ -135,8 +139,8 @@ class SuffixAutomaton:
         return found
 
 
-def _blocks(items: DataFrame, item_id: str, passage: str, block_chars: int) -> list[list[tuple]]:
-    """Items in blocks of bounded total length, each small enough to send to executors."""
+def _blocks(items: DataFrame, item_id: str, passage: str, block_chars: int) -> Iterator[list[tuple]]:
+    """Items in blocks of bounded total length."""
     src = items.select(F.col(item_id).alias("i"), F.col(passage).alias("p")).where(F.col("i").isNotNull() & F.col("p").isNotNull())
     total = src.agg(F.coalesce(F.sum(F.length("p")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-int(total) // block_chars))
@@ -145,6 +149,17 @@ def _blocks(items: DataFrame, item_id: str, passage: str, block_chars: int) -> l
         yield [(r["i"], r["p"]) for r in block.orderBy("i").toLocalIterator()]
 
 
+def packed_automata(block: list[tuple], min_words: int, most_bytes: int) -> Iterator[bytes]:
+    """The pickled automata of a block, halved until each takes at most ``most_bytes``; only a single item may take more."""
+    made = pickle.dumps(SuffixAutomaton(block, min_words), protocol=pickle.HIGHEST_PROTOCOL)
+    if len(made) <= most_bytes or len(block) < 2:
+        yield made
+        return
+    del made
+    for half in (block[: len(block) // 2], block[len(block) // 2 :]):
+        yield from packed_automata(half, min_words, most_bytes)
+
+
 def leak_spans(
     docs: DataFrame,
     items: DataFrame,
@@ -154,16 +169,18 @@ def leak_spans(
     item_id: str = "item_id",
     passage: str = "passage",
     min_words: int = 13,
-    block_chars: int = 20_000_000,
+    block_chars: int = 2_000_000,
+    most_bytes: int = 64_000_000,
 ) -> DataFrame:
     """One row per document and item that share ``min_words`` consecutive words.
 
     Columns: item_id, doc_id, spans (array of word ranges from, to), n_shared
     (words in them) and n_words (of the document).
 
-    Items are taken in blocks of ``block_chars`` characters: each block's
-    automaton is broadcast and the corpus is streamed once per block, so any
-    number of items is covered.
+    Items are taken in blocks of ``block_chars`` characters, halved where the
+    automaton takes more than ``most_bytes``: each block's automaton is
+    broadcast and the corpus is streamed once per block, so any number of items
+    is covered.
 
     Defined cases: null ids are left out; null and empty texts or passages hold
     no words; passages of fewer than ``min_words`` words never match; copies of
@@ -179,17 +196,17 @@ def leak_spans(
     ])
     src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.col("d").isNotNull() & F.col("t").isNotNull())
     result = None
-    for block in _blocks(items, item_id, passage, block_chars):
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, min_words))
+    for packed in (p for block in _blocks(items, item_id, passage, block_chars) for p in packed_automata(block, min_words, most_bytes)):
+        sent = spark.sparkContext.broadcast(packed)
 
-        def run(batches, automaton=automaton):
-            arrow = None
+        def run(batches, sent=sent):
+            automaton, arrow = pickle.loads(sent.value), None
             for b in batches:
                 ids, texts = b.column(0), b.column(1)
                 out: list[list] = [[], [], [], [], []]
                 for k in range(b.num_rows):
                     words = words_of(texts[k].as_py())
-                    for item, spans in sorted(automaton.value.matches(words).items()):
+                    for item, spans in sorted(automaton.matches(words).items()):
                         row = (item, ids[k].as_py(), [{"from": x, "to": y} for x, y in spans], sum(y - x for x, y in spans), len(words))
                         for col, v in zip(out, row):
                             col.append(v)
@@ -208,9 +225,10 @@ def without_leaks(docs: DataFrame, leaks: DataFrame, *, doc_id: str = "doc_id",
     """Documents with leaked spans cut out; those with a leaked share above ``drop_share`` are left out.
 
     ``leaks`` is the result of ``leak_spans``.  Text outside the spans is kept
-    byte for byte; documents without a leak are unchanged.
+    byte for byte; documents without a leak are unchanged.  The spans are sent
+    to the documents if they are small as stored; beyond that both are shuffled.
     """
-    per = leaks.groupBy(F.col(doc_id).alias("_d")).agg(F.flatten(F.collect_list("spans")).alias("_s"))
+    per = small(leaks.groupBy(F.col(doc_id).alias("_d")).agg(F.flatten(F.collect_list("spans")).alias("_s")))
     both = docs.join(per, docs[doc_id] == per["_d"], "left").drop("_d")
 
     @F.pandas_udf("struct<text:string,share:double>")

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from residua.llm.leakage import SuffixAutomaton, leak_spans, without_leaks, words_of
+from residua.llm.leakage import packed_automata, SuffixAutomaton, leak_spans, without_leaks, words_of
 
 WORDS = [f"w{i}" for i in range(60)]
 PASSAGE = " ".join(WORDS[:30])
@@ -62,3 +62,15 @@ def test_very_long_text(spark):
     items = spark.createDataFrame([(7, PASSAGE)], "item_id long, passage string")
     r = leak_spans(d, items).first()
     assert r["n_shared"] == 30 and r["spans"][0]["from"] == 200_000
+
+
+def test_blocks_are_halved_to_the_byte_limit(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(16)]
+    whole = next(packed_automata(items, 13, 10**9))
+    parts = list(packed_automata(items, 13, len(whole) // 3))
+    assert len(parts) >= 4 and all(len(p) <= len(whole) // 3 for p in parts)
+    assert len(list(packed_automata(items[:1], 13, 1))) == 1
+    docs = spark.createDataFrame([(1, items[3][1] + " and " + items[11][1]), (2, "nothing of the kind")], "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, passage string")
+    got = {(r["item_id"], r["doc_id"], r["n_shared"]) for r in leak_spans(docs, frame, most_bytes=len(whole) // 3).collect()}
+    assert got == {(3, 1, 30), (11, 1, 30)}
