@@ -1,10 +1,12 @@
-"""Error-recovering reader of timing-file lines.
-
-A recursive-descent parser over one record (a line).  Broken quotes do not stop
-it: the error is located, and parsing resumes at the next anchor, that is a
-white-space boundary whose following token is a valid flag start or a plain
-token, or else the next record start.  For whole-file text, a record start is a
-line start whose first tokens make a valid record head.
+"""Error-recovering reader of timing files.
+
+A recursive-descent parser over one record.  Broken quotes do not stop it: the
+error is located, and parsing resumes at an anchor that has been validated.
+Within a line that is the next white space whose following token reads as a
+whole token.  In the text of a file, where a quoted value may run over line
+ends, it is the next record start: a line that reads as a complete record by
+itself.  A quote that is still open when such a line is met was broken, so it
+costs its own line only.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ NUMBER = re.compile(r"[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?(?:[eEdD][+-]?\d+
 PLAIN = re.compile(r'[^\s"]+')
 BLANK = re.compile(r"\s*")
 QUOTED = re.compile(r'"((?:[^"]|"")*)"(?=\s|$)')
+#: a whole token, and the quote that opens a value which its line does not close
+TOKEN = re.compile(r'(?:"(?:[^"]|"")*"|[^\s"]+)(?=\s|$)')
+OPEN = re.compile(r'(?:\s*(?:"(?:[^"]|"")*"|[^\s"]+)(?=\s|$))*\s*"(?:[^"]|"")*$')
 
 
 def number(token: str) -> float | None:
@@ -86,9 +91,15 @@ class LineParser:
         return m.group(), False, at
 
     def recover(self, at: int) -> tuple[str, bool, int]:
+        """Skips to the next white space after which a whole token can be read, or to the end."""
         nxt = at
-        while nxt < self.end and not self.line[nxt].isspace():
-            nxt += 1
+        while True:
+            while nxt < self.end and not self.line[nxt].isspace():
+                nxt += 1
+            begin = BLANK.match(self.line, nxt).end()
+            if begin >= self.end or TOKEN.match(self.line, begin):
+                break
+            nxt = begin
         self.pos = nxt
         return self.line[at:nxt].replace('"', ""), True, at
 
@@ -166,15 +177,43 @@ def parse_line(line: str) -> Record:
     return LineParser(line).parse()
 
 
-def parse_text(text: str) -> Iterator[tuple[int, Record]]:
-    """Records of a whole file with their line numbers (from 1).
+def is_record_start(line: str) -> bool:
+    """Whether a line reads as a complete record by itself."""
+    r = parse_line(line)
+    return r.reason is None and r.kind != "blank"
+
+
+def records(lines: list[str], reach: int = 32) -> Iterator[tuple[int, int, Record]]:
+    """(place of the first line, number of lines, record) of consecutive lines of one file.
 
-    A broken quote ends at its line: the next line is an anchor if it makes a
-    valid record head, which every line that lexes without error does; else it
-    is reported by itself.
+    A line that leaves a quote open is joined with the following ones, at most
+    ``reach`` of them, until the quote is closed and the whole reads without a
+    broken quote.  A line on the way that is a record start is the anchor: then
+    the quote was broken, and parsing resumes there.
     """
-    for no, line in enumerate(re.split(r"\r\n|\n|\r", text), 1):
-        yield no, parse_line(line)
+    i, n = 0, len(lines)
+    while i < n:
+        r, used = parse_line(lines[i]), 1
+        if r.reason == "quoting" and OPEN.fullmatch(lines[i]):
+            text = lines[i]
+            for k in range(i + 1, min(n, i + 1 + reach)):
+                if is_record_start(lines[k]):
+                    break
+                text = f"{text}\n{lines[k]}"
+                if OPEN.fullmatch(text):
+                    continue
+                joined = parse_line(text)
+                if not any(why == "quoting" for why, _ in joined.errors):
+                    r, used = joined, k + 1 - i
+                break
+        yield i, used, r
+        i += used
+
+
+def parse_text(text: str, reach: int = 32) -> Iterator[tuple[int, Record]]:
+    """Records of a whole file with the number of their first line (from 1)."""
+    for at, _, r in records(re.split(r"\r\n|\n|\r", text), reach):
+        yield at + 1, r
 
 
 OUTPUT = T.StructType([
@@ -190,9 +229,10 @@ _ARROW = pa.struct([
 
 
 def _row(line: str | None) -> dict:
-    if line is None:
-        return {"kind": "blank"}
-    r = parse_line(line)
+    return {"kind": "blank"} if line is None else _as_row(parse_line(line))
+
+
+def _as_row(r: Record) -> dict:
     v = r.values
     at = None
     if r.reason:
@@ -246,3 +286,40 @@ def rejected_lines(df: DataFrame, *, line: str = "line", keep: list[str] | None
 def loaded_toas(df: DataFrame, *, line: str = "line", keep: list[str] | None = None) -> DataFrame:
     """The valid TOA lines as typed rows with their flags."""
     return parse_lines(df, line=line, keep=keep, only="toa").drop("kind", "reason", "error_at", "argument", "offset_sec")
+
+
+def file_records(df: DataFrame, *, file: str = "_timfile", line_no: str = "line_no", line: str = "line", block_lines: int = 20_000, reach: int = 32) -> DataFrame:
+    """Typed records and located errors of whole files given as numbered lines, one output row per record.
+
+    Columns: file, line_no (of the first line), n_lines and those of
+    ``parse_lines``.  A quoted value may run over at most ``reach`` line ends.
+    Files are read in blocks of lines, each with twice ``reach`` lines before
+    and ``reach`` after it: parsing that begins within a value finds its place
+    at the first record start, so a file of any length spreads over tasks.
+
+    Defined cases: a null line is blank; rows with a null file or number are
+    left out; equal numbers of a file are ordered by their text; gaps in the
+    numbers count as no line; an empty table gives an empty result; other
+    columns are ignored.
+    """
+    f_type, n_type = df.schema[file].dataType, df.schema[line_no].dataType
+    src = df.select(F.col(f"`{file}`").alias("_f"), F.col(f"`{line_no}`").cast("long").alias("_n"), F.coalesce(F.col(f"`{line}`").cast("string"), F.lit("")).alias("_l"))
+    src = src.where(F.col("_f").isNotNull() & F.col("_n").isNotNull())
+    block = F.floor(F.col("_n") / block_lines)
+    place = F.pmod(F.col("_n"), F.lit(block_lines))
+    to = F.array_compact(F.array(block, F.when(place >= block_lines - 2 * reach, block + 1), F.when(place < reach, block - 1)))
+    src = src.withColumn("_b", F.explode(to))
+    made = T.StructType([T.StructField(file, f_type), T.StructField(line_no, n_type), T.StructField("n_lines", T.IntegerType()), *OUTPUT.fields])
+    arrow = [("_f", None), ("_n", pa.int64()), ("n_lines", pa.int32()), *[(x.name, x.type) for x in _ARROW]]
+
+    def one(key, t):
+        order = sorted(zip(t.column("_n").to_pylist(), t.column("_l").to_pylist()))
+        numbers = [n for n, _ in order]
+        low, high = key[1].as_py() * block_lines, (key[1].as_py() + 1) * block_lines
+        rows = [{"_n": numbers[i], "n_lines": k, **_as_row(r)} for i, k, r in records([x for _, x in order], reach) if low <= numbers[i] < high]
+        cols = [pa.array([r[name] for r in rows], kind) for name, kind in arrow[1:]]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(rows), t.schema.field("_f").type), *cols], names=made.names)
+
+    cast = T.StructType([*made.fields[:1], T.StructField(line_no, T.LongType()), *made.fields[2:]])
+    out = src.groupBy("_f", "_b").applyInArrow(one, cast)
+    return out.withColumn(line_no, F.col(f"`{line_no}`").cast(n_type))

@@ -31,7 +31,7 @@ def robust_outliers(df: DataFrame, keys: list[str], *, resid: str = "resid", z_t
     )
 
 
-def hard_limit(df: DataFrame, keys: list[str], *, resid: str = "resid", sigma: str = "sigma", factor: float = 4.0, label: str = "DM_DVT+20") -> DataFrame:
+def hard_limit(df: DataFrame, keys: list[str], *, resid: str = "resid", sigma: str = "sigma", factor: float = 4.0, label: str = "BAD_DM_DVT+20") -> DataFrame:
     """Adds bad_dm_dvt with its k, score and label: |r|/s above factor * max(1, mean score of the keys)."""
     scored = df.withColumn("bad_dm_dvt_score", F.abs(F.col(resid)) / F.when(F.col(sigma) > 0, F.col(sigma)))
     mean = scored.groupBy(*keys).agg(F.greatest(F.lit(1.0), F.coalesce(F.avg("bad_dm_dvt_score"), F.lit(1.0))).alias("bad_dm_dvt_k"))

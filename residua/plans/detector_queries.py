@@ -57,7 +57,7 @@ def hard_detector(spark: SparkSession, sf_dir: str, view: View = series_rows) ->
 HARD_SQL = """{cte},
 k as (select series_id, greatest(1.0::double, avg(abs(resid) / sigma)) as k from s group by series_id)
 select toa_id, round(k, 6) as k, round(abs(resid) / sigma, 6) as score, abs(resid) / sigma > 4 * k as bad_dm_dvt,
-  case when abs(resid) / sigma > 4 * k then 'DM_DVT+20' else '' end as bad_dm_dvt_label from s join k using (series_id)
+  case when abs(resid) / sigma > 4 * k then 'BAD_DM_DVT+20' else '' end as bad_dm_dvt_label from s join k using (series_id)
 """
 
 

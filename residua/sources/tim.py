@@ -65,7 +65,7 @@ def permissive_records(lines: DataFrame, *, line: str = "line", file: str = "_ti
     first_flag = lambda i: F.get("_tok", i).startswith("-") & F.get("_num", i).isNull()
     sat = F.when(a, num(0)).otherwise(F.get("_num", at + 1))
     flag_names = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i >= at + 3) & first_flag(i))
-    entry = lambda i: F.struct(F.substring(F.get("_tok", i), 2, 1000), F.when(F.get("_tok", i + 1).isNull() | first_flag(i + 1), F.lit("true")).otherwise(F.get("_tok", i + 1)))
+    entry = lambda i: F.struct(F.substring(F.get("_tok", i), F.lit(2), F.length(F.get("_tok", i))), F.when(F.get("_tok", i + 1).isNull() | first_flag(i + 1), F.lit("true")).otherwise(F.get("_tok", i + 1)))
     pairs = F.transform(flag_names, entry)
     names = F.transform(pairs, lambda p: p["col1"])
     last = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.array_position(F.slice(names, i + 2, F.size(names) + 1), F.get(names, i)) == 0)

@@ -66,7 +66,7 @@ def test_robust_hard_and_gate(series):
     spike = np.zeros(12)
     spike[3] = 5.0
     hard = by_id(hard_limit(series(59000.0 + np.arange(12), spike, 1.0), ["series_id"]))
-    assert (hard["bad_dm_dvt_k"] == 1).all() and hard.loc[hard["bad_dm_dvt"], "toa_id"].tolist() == [3] and hard["bad_dm_dvt_label"].iloc[3] == "DM_DVT+20"
+    assert (hard["bad_dm_dvt_k"] == 1).all() and hard.loc[hard["bad_dm_dvt"], "toa_id"].tolist() == [3] and hard["bad_dm_dvt_label"].iloc[3] == "BAD_DM_DVT+20"
     gated = by_id(sigma_gate(out_df := df.withColumn("bad_ou", F.lit(True)), OutlierGateConfig(enabled=True)))
     assert gated["bad_hard"].tolist() == (np.abs(y) > 3).tolist() and gated["bad_ou"].tolist() == gated["bad_hard"].tolist() and out_df.count() == 12
 

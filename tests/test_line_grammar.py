@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from residua.operators.line_grammar import loaded_toas, number, parse_line, parse_lines, parse_text, rejected_lines
+from residua.operators.line_grammar import file_records, loaded_toas, number, parse_line, parse_lines, parse_text, rejected_lines
 
 OK = "a.ar 1400.5 50000.25 1.5 eff"
 
@@ -66,3 +66,32 @@ def test_tables(spark):
     every = parse_lines(df)
     assert every.count() == 6 and "in_kind" in every.columns
     assert parse_lines(df.where("false")).count() == 0
+
+
+def test_recovery_within_a_line_validates_the_anchor():
+    r = parse_line(f'{OK} -a x"y z"w -b 5')
+    assert [e for e in r.errors if e[0] == "quoting"] == [("quoting", len(OK) + 5)] and r.flags["b"] == "5"
+
+
+def test_quoted_values_may_run_over_line_ends():
+    note = f'{OK} -note "first\nsecond ""2""\nthird" -be X'
+    got = list(parse_text(f"{OK}\n{note}\n{OK}"))
+    assert [(no, r.kind) for no, r in got] == [(1, "toa"), (2, "toa"), (5, "toa")]
+    assert got[1][1].flags == {"note": 'first\nsecond "2"\nthird', "be": "X"}
+    # an open quote costs its own line only: the next record start is the anchor
+    got = list(parse_text(f'{OK} -note "open\n{OK}\n{OK} -be "Y"\nrest" {OK}'))
+    assert [(no, r.kind, r.reason) for no, r in got] == [(1, "error", "quoting"), (2, "toa", None), (3, "toa", None), (4, "error", "quoting")]
+
+
+@pytest.mark.parametrize("block", [100, 20_000])
+def test_files_in_blocks(spark, block):
+    """Blocks give what the whole text gives, wherever their bounds fall in a value."""
+    lines = []
+    for i in range(120):
+        lines += [f'{OK} -note "a{i}', "b", 'c" -be X'] if i % 3 == 0 else [f'"broken {OK}'] if i % 7 == 0 else [OK]
+    rows = [("f", i, x, i) for i, x in enumerate(lines, 1)] + [("g", 1, OK, 0), ("g", 2, None, 0), (None, 3, OK, 0)]
+    df = spark.createDataFrame(rows, "_timfile string, line_no int, line string, n_lines int")
+    got = {(r["line_no"], r["kind"], r["reason"]) for r in file_records(df, block_lines=block).where("_timfile = 'f'").collect()}
+    assert got == {(no, r.kind, r.reason) for no, r in parse_text("\n".join(lines))}
+    assert sorted((r["line_no"], r["kind"]) for r in file_records(df).where("_timfile = 'g'").collect()) == [(1, "toa"), (2, "blank")]
+    assert file_records(df.where("false")).count() == 0

@@ -24,3 +24,11 @@ def test_equals_plain_aggregation(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, k string, v double")
     assert salted_aggregate(df, ["k"], {"n": Partial.count()}, identity=["id"]).count() == 0
+
+
+def test_hot_part_of_the_key(spark):
+    """Every key of a hot group is salted, and the rows are those of the plain aggregation."""
+    df = spark.range(3000).selectExpr("id", "if(id % 10 < 7, 'hot', concat('g', id % 300)) as g", "cast(id % 50 as int) as day")
+    got = salted_aggregate(df, ["g", "day"], {"n": Partial.count()}, identity=["id"], salts=4, share=0.1, hot_by=["g"])
+    assert {(r["g"], r["day"], r["n"]) for r in got.collect()} == {(r["g"], r["day"], r["count"]) for r in df.groupBy("g", "day").count().collect()}
+    assert "_h_g" in got._jdf.queryExecution().analyzed().toString() and "_h_day" not in got._jdf.queryExecution().analyzed().toString()
