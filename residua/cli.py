@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import argparse
 import logging
-from dataclasses import fields, is_dataclass, replace
 
-from residua.config import PipelineConfig
+from residua.options import Settings
 
 
-def _kind(value):
-    if isinstance(value, bool):
+def _reader(default):
+    """Reads an option's text as the type of its default; without one, as a number where it is one."""
+    if isinstance(default, bool):
         return lambda s: s.strip().lower() in ("1", "true", "yes", "on")
-    if isinstance(value, tuple):
-        return lambda s: tuple(x for x in s.split(",") if x)
-    if isinstance(value, (int, float)):
-        return type(value)
-    return lambda s: None if s == "none" else _number(s)
+    if isinstance(default, tuple):
+        one = _reader(default[0]) if default else str
+        return lambda s: tuple(one(x) for x in s.split(",") if x)
+    if isinstance(default, str):
+        return str
+    return lambda s: None if s == "none" else _number(s) if default is None else type(default)(s)
 
 
 def _number(s: str):
@@ -40,26 +41,24 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--settings-in", help="settings to start from (toml)")
     p.add_argument("--drop-unmatched", action="store_true", help="drop rows without a record instead of failing")
     p.add_argument("--log-level", default="INFO")
-    base = PipelineConfig()
-    for f in fields(base):
-        stage = getattr(base, f.name)
-        if is_dataclass(stage):
-            for g in fields(stage):
-                p.add_argument(f"--{f.name}-{g.name}".replace("_", "-"), dest=f"{f.name}.{g.name}", type=_kind(getattr(stage, g.name)), default=None, metavar="VALUE")
+    for stage in Settings():
+        for name, default in stage.items:
+            p.add_argument(f"--{stage.stage}-{name}".replace("_", "-"), dest=f"{stage.stage}.{name}", type=_reader(default), metavar="VALUE")
     return p
 
 
-def config_of(args: argparse.Namespace) -> PipelineConfig:
-    cfg = PipelineConfig()
+def config_of(args: argparse.Namespace) -> Settings:
+    cfg = Settings()
     if args.settings_in:
         from residua.plans.settings import read_settings
 
         cfg = read_settings(args.settings_in)
+    changes: dict[str, dict] = {}
     for name, value in vars(args).items():
         if "." in name and value is not None:
-            stage, setting = name.split(".")
-            cfg = replace(cfg, **{stage: replace(getattr(cfg, stage), **{setting: value})})
-    return replace(cfg, drop_unmatched=True) if args.drop_unmatched else cfg
+            stage, option = name.split(".")
+            changes.setdefault(stage, {})[option] = value
+    return cfg.but(drop_unmatched=args.drop_unmatched or None, **changes)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -73,6 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     from residua.plans.pipeline import run_pipeline
     from residua.plans.report import structure_table
     from residua.plans.settings import write_models
+    from residua.sources.observatory import all_sites
     from residua.sources.par import read_par
     from residua.sources.tim import parse_all_timfiles
     from residua.sources.timing import FileSource, write_rows
@@ -86,18 +86,14 @@ def main(argv: list[str] | None = None) -> int:
         log.info("timing files: %s", got.stats)
     else:
         meta = spark.read.format(args.meta.rstrip("/").rsplit(".", 1)[-1]).load(args.meta)
-    sites = None
-    if cfg.feature.observatory_path:
-        from residua.sources.observatory import read_sites
-
-        sites = read_sites(spark, cfg.feature.observatory_path)
+    sites = all_sites(spark, cfg.covariates.site_table)
     result = run_pipeline(spark, FileSource(args.toas), meta, par=read_par(args.par) if args.par else None, cfg=cfg, max_offset_sec=offset, sites=sites, settings_out=args.settings_out)
     write_rows(result.df, args.out, args.format)
     if args.models_out and result.models is not None:
-        write_models(result.models, args.models_out)
+        write_models(result.models, args.models_out, run={"par": args.par or "", "toas": args.toas})
     if args.structure_table_out and cfg.structure.mode in ("test", "both"):
         keys = [c for c in ("psr", "series_id", "grp") if c in result.df.columns]
-        write_rows(structure_table(result.df, keys, cfg.structure.structure_features), args.structure_table_out, "csv")
+        write_rows(structure_table(result.df, keys, cfg.structure.test), args.structure_table_out, "csv")
     log.info("wrote %s", args.out)
     return 0
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.config import MergeConfig
+from residua.options import Options, options
+from residua.session import checkpointed
 
 
 def nearest_asof(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, left_on: Column | str, right_on: Column | str, tolerance: float, by: dict[str, tuple[Column, Column]] | None = None, block: float = 1.0) -> DataFrame:
@@ -47,26 +48,31 @@ def nearest_asof(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
     return got.select(F.col("_l").alias(left_id), pick.alias(right_id)).where(F.col(right_id).isNotNull())
 
 
-def auto_tolerance(cfg: MergeConfig, max_offset_sec: float) -> float:
+def auto_tolerance(cfg: Options, max_offset_sec: float) -> float:
     """The tolerance widened to twice the largest TIME offset."""
-    return max(cfg.tol_days, 2.0 * abs(max_offset_sec) / 86400.0)
+    return max(cfg.tolerance_days, 2.0 * abs(max_offset_sec) / 86400.0)
 
 
-def merge_time_and_meta(toas: DataFrame, meta: DataFrame, cfg: MergeConfig = MergeConfig(), *, toa_id: str = "toa_id", meta_id: str = "meta_id", entity: str | None = "psr") -> DataFrame:
+def merge_time_and_meta(toas: DataFrame, meta: DataFrame, cfg: Options = options("merge"), *, toa_id: str = "toa_id", meta_id: str = "meta_id", entity: str | None = "psr") -> DataFrame:
     """TOAs with the columns of their record: by corrected time, then per frequency bin, then by plain mjd.
 
     Each stage looks at the rows the one before left without a record.  Right
     columns whose name is taken get the suffix _meta; rows without a record
-    keep nulls.  ``cfg.by_freq`` asks for equal frequency bins in the first
-    stage, too.
+    keep nulls.  ``cfg.by_channel`` asks for equal frequency bins in the first
+    stage, too.  Without ``cfg.channel_mhz`` frequencies are not looked at, and
+    the second stage falls away.  The matches of a stage are written, so that
+    the next does not compute them again.
     """
     keys = {"entity": (F.col(entity), F.col(entity))} if entity else {}
-    bins = {"bin": (F.rint(F.col("freq") / cfg.freq_tol_mhz), F.rint(F.col("freq") / cfg.freq_tol_mhz))}
     corrected = F.coalesce("sat_corr", "mjd")
-    stages = [(corrected, {**keys, **bins} if cfg.by_freq else keys), (corrected, {**keys, **bins}), (F.col("mjd"), keys)]
+    stages = [(corrected, keys), (F.col("mjd"), keys)]
+    if cfg.channel_mhz is not None:
+        channel = F.rint(F.col("freq") / cfg.channel_mhz)
+        binned = {**keys, "bin": (channel, channel)}
+        stages = [(corrected, binned if cfg.by_channel else keys), (corrected, binned), (F.col("mjd"), keys)]
     rest, found = toas, None
     for right_on, by in stages:
-        m = nearest_asof(rest, meta, left_id=toa_id, right_id=meta_id, left_on="mjd", right_on=right_on, tolerance=cfg.tol_days, by=by)
+        m = checkpointed(nearest_asof(rest, meta, left_id=toa_id, right_id=meta_id, left_on="mjd", right_on=right_on, tolerance=cfg.tolerance_days, by=by))
         found = m if found is None else found.unionByName(m)
         rest = rest.join(m.select(toa_id), toa_id, "left_anti")
     taken = {c.lower() for c in toas.columns}
@@ -76,5 +82,6 @@ def merge_time_and_meta(toas: DataFrame, meta: DataFrame, cfg: MergeConfig = Mer
 
 
 def unmatched_sample(merged: DataFrame, *, column: str = "filename", rows: int = 5) -> DataFrame:
-    """A few rows without a record, for an error message."""
-    return merged.where(F.col(column).isNull()).limit(rows)
+    """A few rows without a record, for an error message: their ids, times, frequencies, values and sigmas."""
+    shown = [c for c in ("toa_id", "psr", "mjd", "freq", "resid", "sigma") if c in merged.columns]
+    return merged.where(F.col(column).isNull()).select(*shown).limit(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.config import OrbitalPhaseCutConfig, PreprocConfig, StructureConfig
+from residua.options import Options, options
 from residua.functions.stats import chi2_tail, folded_distance
 from residua.operators.blocks import exact_median, small
 from residua.operators.outliers import with_group_value
@@ -57,18 +57,18 @@ def binned_means(df: DataFrame, keys: list[str], feature: str, *, resid: str, si
     return rows, small(model)
 
 
-def structure_test(df: DataFrame, keys: list[str], feature: str, cfg: StructureConfig = StructureConfig(), *, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
+def structure_test(df: DataFrame, keys: list[str], feature: str, cfg: Options = options("structure"), *, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
     """(keys, chi2, dof, p, present) of the binned means against zero; groups without usable rows have none."""
-    _, model = binned_means(df, keys, feature, resid=resid, sigma=sigma, nbins=cfg.nbins, min_per_bin=cfg.min_per_bin, circular=feature in cfg.circular_features)
+    _, model = binned_means(df, keys, feature, resid=resid, sigma=sigma, nbins=cfg.bins, min_per_bin=cfg.per_bin, circular=feature in cfg.circular)
     out = model.groupBy(*keys).agg(F.sum(F.col("mean") * F.col("mean") * F.col("weight")).alias("chi2"), F.count("*").alias("dof"))
     out = out.withColumn("p", chi2_tail(F.col("chi2"), F.col("dof")))
-    return out.withColumn("present", F.coalesce(F.col("p") < cfg.p_thresh, F.lit(False)))
+    return out.withColumn("present", F.coalesce(F.col("p") < cfg.level, F.lit(False)))
 
 
-def with_structure(df: DataFrame, keys: list[str], cfg: StructureConfig, *, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
+def with_structure(df: DataFrame, keys: list[str], cfg: Options, *, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
     """Adds structure_<feature>_{chi2,dof,p,present} and structure_present_<feature> of each row's group."""
     out = df
-    for f in cfg.structure_features:
+    for f in cfg.test:
         test = structure_test(df, keys, f, cfg, resid=resid, sigma=sigma)
         named = test.select(*keys, *[F.col(c).alias(f"structure_{f}_{c}") for c in ("chi2", "dof", "p", "present")])
         out = with_group_value(out, named, keys).fillna(0, subset=[f"structure_{f}_dof"]).fillna(False, subset=[f"structure_{f}_present"])
@@ -111,47 +111,47 @@ def rescale(df: DataFrame, keys: list[str], feature: str, *, resid: str = "resid
     return out.drop("_x", "_good", "_nb", "_edges", "_bin", "_scale")
 
 
-def preprocess(df: DataFrame, cfg: PreprocConfig, *, resid: str = "resid") -> tuple[DataFrame, str | None, str | None, DataFrame | None]:
+def preprocess(df: DataFrame, cfg: Options, *, resid: str = "resid") -> tuple[DataFrame, str | None, str | None, DataFrame | None]:
     """(rows, processed resid column, processed sigma column, models) with preproc_tag and preproc_notes."""
-    keys = [c for c in cfg.condition_on if c in df.columns] or ["grp"]
+    keys = [c for c in cfg.within if c in df.columns] or ["grp"]
     out, r, s, models, tags = df, None, None, None, []
-    if cfg.detrend_features:
-        out, models = detrend(out, keys, cfg.detrend_features, resid=resid, nbins=cfg.nbins, min_per_bin=cfg.min_per_bin, circular=cfg.circular_features)
+    if cfg.detrend:
+        out, models = detrend(out, keys, cfg.detrend, resid=resid, nbins=cfg.bins, min_per_bin=cfg.per_bin, circular=cfg.circular)
         r, s = "resid_detr", "sigma"
-        tags.append(f"detrend:{','.join(cfg.detrend_features)}")
-    if cfg.rescale_feature:
-        out = rescale(out, keys, cfg.rescale_feature, resid=r or resid, nbins=cfg.nbins, min_per_bin=cfg.min_per_bin, circular=cfg.rescale_feature in cfg.circular_features)
+        tags.append(f"detrend:{','.join(cfg.detrend)}")
+    if cfg.rescale:
+        out = rescale(out, keys, cfg.rescale, resid=r or resid, nbins=cfg.bins, min_per_bin=cfg.per_bin, circular=cfg.rescale in cfg.circular)
         r, s = "resid_proc", "sigma_proc"
-        tags.append(f"rescale:{cfg.rescale_feature}")
-    notes = f"group_cols={tuple(keys)}; nbins={cfg.nbins}; min_per_bin={cfg.min_per_bin}" if tags else ""
+        tags.append(f"rescale:{cfg.rescale}")
+    notes = f"group_cols={tuple(keys)}; nbins={cfg.bins}; min_per_bin={cfg.per_bin}" if tags else ""
     return out.withColumns({"preproc_tag": F.lit("|".join(tags)), "preproc_notes": F.lit(notes)}), r, s, models
 
 
-def orbital_cut(df: DataFrame, keys: list[str], cfg: OrbitalPhaseCutConfig, *, resid: str = "resid", sigma: str = "sigma", phase: str = "orbital_phase") -> DataFrame:
+def orbital_cut(df: DataFrame, keys: list[str], cfg: Options, *, resid: str = "resid", sigma: str = "sigma", phase: str = "orbital_phase") -> DataFrame:
     """(keys, orbital_cut_phase): the first distance bin from which all medians of |r|/s stay at or below the threshold.
 
     If there is none, the mean centre of the bins at or below it; null if there
     is none of these either, or fewer than min_points usable rows.
     """
-    n = cfg.nbins
+    n = cfg.bins
     valid = F.col(phase).isNotNull() & F.col(resid).isNotNull() & (F.col(sigma) > 0)
-    rows = df.where(valid).select(*keys, folded_distance(F.col(phase), cfg.center_phase).alias("_d"), (F.abs(F.col(resid)) / F.col(sigma)).alias("_z"))
+    rows = df.where(valid).select(*keys, folded_distance(F.col(phase), cfg.centre).alias("_d"), (F.abs(F.col(resid)) / F.col(sigma)).alias("_z"))
     edges = [0.5 if i == n else i * (0.5 / n) for i in range(n + 1)]
     rows = rows.withColumn("_bin", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("_d"))) - 1)
-    enough = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= cfg.min_points)
+    enough = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= cfg.points)
     med = exact_median(rows.where(F.col("_bin") < n), [*keys, "_bin"], "_z", "_med")
     centres = F.array(*[F.lit(0.5 * (a + b)) for a, b in zip(edges, edges[1:])])
     tail = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
     med = med.withColumns({"_tail": F.max("_med").over(tail), "_c": F.get(centres, F.col("_bin"))})
-    cut = med.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_tail") <= cfg.sigma_thresh, F.col("_c"))), F.avg(F.when(F.col("_med") <= cfg.sigma_thresh, F.col("_c")))).alias("orbital_cut_phase"))
+    cut = med.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_tail") <= cfg.sigmas, F.col("_c"))), F.avg(F.when(F.col("_med") <= cfg.sigmas, F.col("_c")))).alias("orbital_cut_phase"))
     return enough.join(cut, keys).select(*keys, "orbital_cut_phase")
 
 
-def with_orbital_cut(df: DataFrame, keys: list[str], cfg: OrbitalPhaseCutConfig, *, resid: str = "resid", sigma: str = "sigma", phase: str = "orbital_phase") -> DataFrame:
+def with_orbital_cut(df: DataFrame, keys: list[str], cfg: Options, *, resid: str = "resid", sigma: str = "sigma", phase: str = "orbital_phase") -> DataFrame:
     """Adds orbital_cut_phase, orbital_cut_sigma_thresh and orbital_phase_bad."""
-    if cfg.limit_phase is not None:
-        out = df.withColumn("orbital_cut_phase", F.lit(float(cfg.limit_phase)))
+    if cfg.limit is not None:
+        out = df.withColumn("orbital_cut_phase", F.lit(float(cfg.limit)))
     else:
         out = with_group_value(df, orbital_cut(df, keys, cfg, resid=resid, sigma=sigma, phase=phase), keys)
-    near = folded_distance(F.col(phase), cfg.center_phase) <= F.col("orbital_cut_phase")
-    return out.withColumn("orbital_cut_sigma_thresh", F.lit(float(cfg.sigma_thresh))).withColumn("orbital_phase_bad", F.coalesce(near, F.lit(False)))
+    near = folded_distance(F.col(phase), cfg.centre) <= F.col("orbital_cut_phase")
+    return out.withColumn("orbital_cut_sigma_thresh", F.lit(float(cfg.sigmas))).withColumn("orbital_phase_bad", F.coalesce(near, F.lit(False)))

@@ -88,3 +88,24 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str, *, direc
     hit = lambda k: F.max(F.when((F.col("_from") <= k) & (k < F.col("_to")), F.col("_v")))
     half = F.floor((F.col("_n") - 1) / 2)
     return ranked.groupBy(*keys).agg(((hit(half) + hit(F.floor(F.col("_n") / 2))) / 2).alias(name))
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """``df`` with the place (from 1) of each row in the order of columns, and the number of rows.
+
+    Rows are dealt out by ranges of the order and written, so that the ranges
+    stay as they are; the counts of the ranges, one small row each, give the
+    place at which each range begins.
+    """
+    parts = df.sparkSession.sparkContext.defaultParallelism * 4
+    rows = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))[0]
+    counts = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())  # one row per range
+    begins, total = {}, 0
+    for part, n in counts:
+        begins[part] = total
+        total += n
+    if not begins:
+        return rows.withColumn(name, F.lit(None).cast("long")).drop("_part"), 0
+    begin = F.create_map(*[F.lit(x) for kv in begins.items() for x in kv])
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + begin[F.col("_part")]
+    return rows.withColumn(name, place.cast("long")).drop("_part"), total

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.config import GaussianBumpConfig
+from residua.options import Options, options
 from residua.functions.stats import golden_max
 from residua.operators.blocks import small
 
@@ -23,11 +23,11 @@ def shape_of(kind: str, d: np.ndarray, length: float) -> np.ndarray:
     return np.exp(-np.maximum(0.0, d - length / 6.0) / (length / 10.0))
 
 
-def chunk_bumps(t: np.ndarray, y: np.ndarray, w: np.ndarray, lf: np.ndarray | None, own: np.ndarray, length: float, cfg: GaussianBumpConfig) -> list[tuple]:
+def chunk_bumps(t: np.ndarray, y: np.ndarray, w: np.ndarray, lf: np.ndarray | None, own: np.ndarray, length: float, cfg: Options) -> list[tuple]:
     """(row, shape, amplitude, alpha, delta_chi2) of own rows with an accepted bump of this length; rows sorted by time."""
     start, stop = np.searchsorted(t, t - length / 2.0, "left"), np.searchsorted(t, t + length / 2.0, "right")
     null = np.r_[0.0, np.cumsum(w * y * y)]
-    worth = own & (stop - start >= cfg.min_points) & (null[stop] - null[start] >= cfg.delta_chi2_thresh)
+    worth = own & (stop - start >= cfg.points) & (null[stop] - null[start] >= cfg.gain)
     out = []
     for i in np.flatnonzero(worth):
         s = slice(start[i], stop[i])
@@ -44,27 +44,27 @@ def chunk_bumps(t: np.ndarray, y: np.ndarray, w: np.ndarray, lf: np.ndarray | No
 
             alpha = np.nan
             if lf is not None:
-                alpha = golden_max(lambda a: at(a)[0], cfg.freq_alpha_min, cfg.freq_alpha_max, cfg.freq_alpha_tol, cfg.freq_alpha_max_iter)[0]
+                alpha = golden_max(lambda a: at(a)[0], cfg.colour_range[0], cfg.colour_range[1], cfg.colour_tol, cfg.colour_rounds)[0]
             delta, amp = at(alpha)
-            if delta >= cfg.delta_chi2_thresh and np.isfinite(amp) and (best is None or delta > best[4]):
+            if delta >= cfg.gain and np.isfinite(amp) and (best is None or delta > best[4]):
                 best = (int(i), kind, amp, alpha, delta)
         if best:
             out.append(best)
     return out
 
 
-def bump_events(df: DataFrame, keys: list[str], cfg: GaussianBumpConfig = GaussianBumpConfig(enabled=True), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
+def bump_events(df: DataFrame, keys: list[str], cfg: Options = options("bump", on=True), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
     """(keys, row_id, t0, duration, model, amp, alpha, delta_chi2, rank) of the kept bumps.
 
     Every duration is scanned in time buckets of that duration with the rows of
     both neighbours at hand.  Of bumps that share a row the stronger is kept.
     """
     ok = F.col(time).isNotNull() & F.col(resid).isNotNull() & (F.col(sigma) > 0)
-    if cfg.freq_dependence:
+    if cfg.colour:
         ok = ok & F.col(freq).isNotNull() & (F.col(freq) > 0)
     ok = ok if use is None else ok & use
-    lengths = [float(x) for x in np.linspace(cfg.min_duration_days, cfg.max_duration_days, cfg.n_durations)]
-    base = df.where(ok).select(*keys, F.col(row_id).alias("_id"), F.col(time).alias("_t"), F.col(resid).alias("_y"), (F.lit(1.0) / (F.col(sigma) * F.col(sigma))).alias("_w"), (F.col(freq) if cfg.freq_dependence else F.lit(1.0)).alias("_f"))
+    lengths = [float(x) for x in np.linspace(cfg.lengths[0], cfg.lengths[1], cfg.n_lengths)]
+    base = df.where(ok).select(*keys, F.col(row_id).alias("_id"), F.col(time).alias("_t"), F.col(resid).alias("_y"), (F.lit(1.0) / (F.col(sigma) * F.col(sigma))).alias("_w"), (F.col(freq) if cfg.colour else F.lit(1.0)).alias("_f"))
     place = lambda x: [F.struct(F.lit(x).alias("len"), (F.floor(F.col("_t") / F.lit(x)) + k).alias("b"), F.lit(k == 0).alias("own")) for k in (-1, 0, 1)]
     rows = base.withColumn("_p", F.explode(F.array(*[p for x in lengths for p in place(x)]))).select(*base.columns, F.col("_p.len").alias("_len"), F.col("_p.b").alias("_b"), F.col("_p.own").alias("_own"))
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -77,7 +77,7 @@ def bump_events(df: DataFrame, keys: list[str], cfg: GaussianBumpConfig = Gaussi
         length = float(pdf["_len"].iloc[0])
         t, y, w, f = (pdf[c].to_numpy(float) for c in ("_t", "_y", "_w", "_f"))
         mid = float(np.median(f))
-        got = chunk_bumps(t, y, w, np.log(f / mid) if cfg.freq_dependence else None, pdf["_own"].to_numpy(bool), length, cfg)
+        got = chunk_bumps(t, y, w, np.log(f / mid) if cfg.colour else None, pdf["_own"].to_numpy(bool), length, cfg)
         at = [g[0] for g in got]
         alpha = np.array([g[3] for g in got], float)
         out = pd.DataFrame({row_id: pdf["_id"].to_numpy()[at], "t0": t[at], "duration": length, "model": np.array([g[1] for g in got], object), "amp": np.array([g[2] for g in got], float) * (mid ** np.nan_to_num(alpha)), "alpha": alpha, "delta_chi2": [g[4] for g in got]})
@@ -94,7 +94,7 @@ def bump_events(df: DataFrame, keys: list[str], cfg: GaussianBumpConfig = Gaussi
         b = np.searchsorted(t, (cands["t0"] + cands["duration"] / 2).to_numpy(float), "right")
         taken, kept = np.zeros(len(t), bool), []
         for i in range(len(cands)):
-            if cfg.suppress_overlap and taken[a[i] : b[i]].any():
+            if cfg.exclusive and taken[a[i] : b[i]].any():
                 continue
             taken[a[i] : b[i]] = True
             kept.append(i)
@@ -106,7 +106,7 @@ def bump_events(df: DataFrame, keys: list[str], cfg: GaussianBumpConfig = Gaussi
     return both.groupBy(*keys).applyInPandas(choose, f"{cand}, rank int")
 
 
-def detect_bumps(df: DataFrame, keys: list[str], cfg: GaussianBumpConfig = GaussianBumpConfig(enabled=True), *, exclude: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
+def detect_bumps(df: DataFrame, keys: list[str], cfg: Options = options("bump", on=True), *, exclude: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
     """Adds gaussian_bump_id, _amp, _t0, _duration_days, _alpha, _delta_chi2, _model and gaussian_bump_member."""
     use = ~F.coalesce(exclude, F.lit(False)) if exclude is not None else None
     ev = bump_events(df, keys, cfg, use=use, resid=resid, sigma=sigma, freq=freq, time=time, row_id=row_id)
@@ -118,9 +118,9 @@ def detect_bumps(df: DataFrame, keys: list[str], cfg: GaussianBumpConfig = Gauss
         .when(F.col("_e_model") == "laplace", F.exp(-d / (length / 6)))
         .otherwise(F.exp(-F.greatest(F.lit(0.0), d - length / 6) / (length / 10)))
     )
-    if cfg.freq_dependence:
+    if cfg.colour:
         curve = curve * F.pow(F.when(F.col(freq) > 0, F.col(freq)), -F.col("_e_alpha"))
-    at = rows.join(ev, keys).where((d <= length / 2) & (F.abs(F.col("_e_amp")) * curve / F.col(sigma) >= cfg.member_eta))
+    at = rows.join(ev, keys).where((d <= length / 2) & (F.abs(F.col("_e_amp")) * curve / F.col(sigma) >= cfg.eta))
     p, cols = "gaussian_bump", {"id": "rank", "amp": "amp", "t0": "t0", "duration_days": "duration", "alpha": "alpha", "delta_chi2": "delta_chi2", "model": "model"}
     best = at.groupBy(row_id).agg(F.max(F.struct(*[F.col(f"_e_{c}").alias(n) for n, c in cols.items()])).alias("_m"))
     best = best.select(row_id, *[F.col(f"_m.{n}").alias(f"{p}_{n}") for n in cols], F.lit(True).alias(f"{p}_member"))

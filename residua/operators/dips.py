@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.config import ExpDipConfig
+from residua.options import Options, options
 from residua.functions.stats import golden_max
 from residua.operators.transients import event_rows, keep_best
 
@@ -22,16 +22,16 @@ def _dip(y: np.ndarray, w: np.ndarray, f: np.ndarray) -> tuple[float, float]:
     return (num * num / den, num / den) if num < 0 else (-np.inf, np.nan)
 
 
-def chunk_dips(t: np.ndarray, y: np.ndarray, w: np.ndarray, freq: np.ndarray, own: np.ndarray, cfg: ExpDipConfig) -> list[tuple[int, float, float, float]]:
+def chunk_dips(t: np.ndarray, y: np.ndarray, w: np.ndarray, freq: np.ndarray, own: np.ndarray, cfg: Options) -> list[tuple[int, float, float, float]]:
     """(row, amplitude, alpha, delta_chi2) of the own rows that start an accepted dip; rows sorted by time."""
-    tau, width = cfg.tau_rec_days, cfg.window_mult * cfg.tau_rec_days
+    tau, width = cfg.decay_days, cfg.reach * cfg.decay_days
     start = np.searchsorted(t, t, "left")
     stop = np.searchsorted(t, t + width, "right")
     null = np.r_[0.0, np.cumsum(w * y * y)]
-    log_f = np.log(freq / np.median(freq)) if cfg.freq_dependence else None
-    scale = float(np.median(freq)) if cfg.freq_dependence else 1.0
+    log_f = np.log(freq / np.median(freq)) if cfg.colour else None
+    scale = float(np.median(freq)) if cfg.colour else 1.0
     out = []
-    worth = own & (stop - start >= cfg.min_points) & (null[stop] - null[start] >= cfg.delta_chi2_thresh) & (t[stop - 1] - t >= cfg.min_duration_days)
+    worth = own & (stop - start >= cfg.points) & (null[stop] - null[start] >= cfg.gain) & (t[stop - 1] - t >= cfg.least_days)
     for i in np.flatnonzero(worth):
         s = slice(start[i], stop[i])
         yy, ww, base = y[s], w[s], np.exp(-(t[s] - t[i]) / tau)
@@ -39,28 +39,28 @@ def chunk_dips(t: np.ndarray, y: np.ndarray, w: np.ndarray, freq: np.ndarray, ow
             alpha, (delta, amp) = np.nan, _dip(yy, ww, base)
         else:
             lf = log_f[s]
-            alpha, delta = golden_max(lambda a: _dip(yy, ww, base * np.exp(-a * lf))[0], cfg.freq_alpha_min, cfg.freq_alpha_max, cfg.freq_alpha_tol, cfg.freq_alpha_max_iter)
+            alpha, delta = golden_max(lambda a: _dip(yy, ww, base * np.exp(-a * lf))[0], cfg.colour_range[0], cfg.colour_range[1], cfg.colour_tol, cfg.colour_rounds)
             amp = _dip(yy, ww, base * np.exp(-alpha * lf))[1] * scale**alpha
-        if delta >= cfg.delta_chi2_thresh and np.isfinite(amp):
+        if delta >= cfg.gain and np.isfinite(amp):
             out.append((int(i), amp, alpha, delta))
     return out
 
 
-def dip_events(df: DataFrame, keys: list[str], cfg: ExpDipConfig = ExpDipConfig(), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
+def dip_events(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
     """(keys, row_id, t0, amp, alpha, delta_chi2, rank) of the kept dips.
 
     Rows go to their time bucket of the window's length and, as followers, to
     the one before, so each bucket is scanned by itself.
     """
-    width = cfg.window_mult * cfg.tau_rec_days
+    width = cfg.reach * cfg.decay_days
     ok = F.col(time).isNotNull() & F.col(resid).isNotNull() & (F.col(sigma) > 0)
-    if cfg.freq_dependence:
+    if cfg.colour:
         ok = ok & F.col(freq).isNotNull() & (F.col(freq) > 0)
     ok = ok if use is None else ok & use
     b = F.floor(F.col(time) / F.lit(width))
     rows = df.where(ok).select(
         *keys, F.col(row_id).alias("_id"), F.col(time).alias("_t"), F.col(resid).alias("_y"), (F.lit(1.0) / (F.col(sigma) * F.col(sigma))).alias("_w"),
-        (F.col(freq) if cfg.freq_dependence else F.lit(1.0)).alias("_f"),
+        (F.col(freq) if cfg.colour else F.lit(1.0)).alias("_f"),
         F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b - 1).alias("b"), F.lit(False).alias("own")))).alias("_p"),
     ).select("*", F.col("_p.b").alias("_b"), F.col("_p.own").alias("_own")).drop("_p")
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -76,19 +76,19 @@ def dip_events(df: DataFrame, keys: list[str], cfg: ExpDipConfig = ExpDipConfig(
 
     found = rows.groupBy(*keys, "_b").applyInPandas(one, f"{fields}, _id {df.schema[row_id].dataType.simpleString()}, _t double, amp double, alpha double, delta_chi2 double")
     found = found.withColumnRenamed("_id", row_id).withColumnRenamed("_t", "t0").withColumn("alpha", F.nanvl("alpha", F.lit(None)))
-    return keep_best(found, keys, width, row_id=row_id, suppress=cfg.suppress_overlap)
+    return keep_best(found, keys, width, row_id=row_id, suppress=cfg.exclusive)
 
 
-def detect_dips(df: DataFrame, keys: list[str], cfg: ExpDipConfig = ExpDipConfig(), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id", prefix: str = "exp_dip_global", events: DataFrame | None = None) -> DataFrame:
+def detect_dips(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id", prefix: str = "exp_dip_global", events: DataFrame | None = None) -> DataFrame:
     """Adds <prefix>_id, _amp, _t0, _delta_chi2, _alpha and exp_dip_member; an event's own seed is always a member."""
     ev = events if events is not None else dip_events(df, keys, cfg, use=use, resid=resid, sigma=sigma, freq=freq, time=time, row_id=row_id)
     ev = ev.select(*keys, F.col("rank").cast("int").alias("_k"), F.col(row_id).alias("_seed"), "t0", F.col("amp").alias("_a"), F.col("alpha").alias("_al"), F.col("delta_chi2").alias("_d"))
-    width = cfg.window_mult * cfg.tau_rec_days
+    width = cfg.reach * cfg.decay_days
     at = event_rows(df if use is None else df.where(use), ev, keys, width, time=time)
-    size = F.abs("_a") * F.exp(-(F.col(time) - F.col("t0")) / F.lit(cfg.tau_rec_days))
-    if cfg.freq_dependence:
+    size = F.abs("_a") * F.exp(-(F.col(time) - F.col("t0")) / F.lit(cfg.decay_days))
+    if cfg.colour:
         size = size * F.pow(F.when(F.col(freq) > 0, F.col(freq)), -F.col("_al"))
-    at = at.where(((F.col(sigma) > 0) & (size / F.col(sigma) >= cfg.member_eta)) | (F.col(row_id) == F.col("_seed")))
+    at = at.where(((F.col(sigma) > 0) & (size / F.col(sigma) >= cfg.eta)) | (F.col(row_id) == F.col("_seed")))
     cols = {"id": "_k", "amp": "_a", "t0": "t0", "delta_chi2": "_d", "alpha": "_al"}
     best = at.groupBy(row_id).agg(F.max(F.struct(*[F.col(c).alias(n) for n, c in cols.items()])).alias("_m"))
     best = best.select(row_id, *[F.col(f"_m.{n}").alias(f"{prefix}_{n}") for n in cols], F.lit(True).alias("exp_dip_member"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.config import FeatureConfig
+from residua.options import Options, options
 from residua.functions.geometry import clip, geodetic, horizon, solar_elongation
-from residua.operators.blocks import small
+from residua.operators.blocks import ranked, small
 from residua.operators.outliers import with_group_value
 from residua.sources.par import ParFile, sky_position
 
@@ -46,35 +46,33 @@ def with_sites(df: DataFrame, sites: DataFrame, *, tel: str = "tel") -> DataFram
 def aligned_by_order(df: DataFrame, values: DataFrame, *, time: str = "mjd", row_id: str = "toa_id", value_time: str = "sat", value: str = "angle", out: str = "solar_elongation_deg") -> DataFrame:
     """Zips rows with values given in another order: the k-th in time takes the k-th value in time.
 
-    Raises if the counts differ.
+    Raises if the counts differ.  Places are counted within ranges of the order
+    and moved by the counts of the ranges before, so no task sees all rows.
     """
-    from pyspark.sql import Window
-
-    n, m = df.count(), values.count()
+    left, n = ranked(df, [time, row_id], "_k")
+    right, m = ranked(values.select(F.col(value_time), F.col(value).alias(out)), [value_time, out], "_k")
     if n != m:
         raise ValueError(f"{m} values for {n} rows")
-    left = df.withColumn("_k", F.row_number().over(Window.orderBy(time, row_id)))
-    right = values.select(F.row_number().over(Window.orderBy(value_time, value)).alias("_k"), F.col(value).alias(out))
-    return left.join(right, "_k").drop("_k")
+    return left.join(right.select("_k", out), "_k").drop("_k")
 
 
-def add_features(df: DataFrame, par: ParFile, cfg: FeatureConfig = FeatureConfig(), *, sites: DataFrame | None = None, series: list[str] | None = None, mjd: str = "mjd", tel: str = "tel") -> DataFrame:
+def add_features(df: DataFrame, par: ParFile, cfg: Options = options("covariates"), *, sites: DataFrame | None = None, series: list[str] | None = None, mjd: str = "mjd", tel: str = "tel") -> DataFrame:
     """Adds the covariates that ``cfg`` asks for; what the par file or the sites cannot give is null.
 
     A column solar_elongation_deg that is there already is kept, clipped to 0..180.
     """
     t, out = F.col(mjd), df
     none = F.lit(None).cast("double")
-    if cfg.add_orbital_phase:
+    if cfg.phase:
         out = out.withColumn("orbital_phase", orbital_phase(t, par.number("PB"), par.number("T0", "TASC")))
     position = sky_position(par)
-    if cfg.add_solar_elongation:
+    if cfg.elongation:
         if "solar_elongation_deg" in df.columns:
             angle = clip(F.col("solar_elongation_deg"), 0.0, 180.0)
         else:
             angle = solar_elongation(t, F.lit(position[0]), F.lit(position[1])) if position else none
         out = out.withColumn("solar_elongation_deg", angle)
-    wanted = {"elevation_deg": cfg.add_elevation, "airmass": cfg.add_airmass, "parallactic_angle_deg": cfg.add_parallactic_angle}
+    wanted = {"elevation_deg": cfg.elevation, "airmass": cfg.airmass, "parallactic_angle_deg": cfg.parallactic}
     if any(wanted.values()):
         if position and sites is not None and tel in df.columns:
             out = with_sites(out, sites, tel=tel)
@@ -83,6 +81,6 @@ def add_features(df: DataFrame, par: ParFile, cfg: FeatureConfig = FeatureConfig
             out = out.withColumns({n: made[n] for n, on in wanted.items() if on}).drop("site_x", "site_y", "site_z")
         else:
             out = out.withColumns({n: none for n, on in wanted.items() if on})
-    if cfg.add_freq_bin:
+    if cfg.freq_bins:
         out = freq_bins(out, series or [], bins=cfg.freq_bins)
     return out

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.config import GlitchConfig
+from residua.options import Options, options
 from residua.operators.blocks import small
 
 
@@ -81,40 +81,40 @@ def recovery_end(t: np.ndarray, y: np.ndarray, window: float) -> np.ndarray:
     return end
 
 
-def series_glitches(t: np.ndarray, y: np.ndarray, s: np.ndarray, good: np.ndarray, cfg: GlitchConfig) -> list[dict]:
+def series_glitches(t: np.ndarray, y: np.ndarray, s: np.ndarray, good: np.ndarray, cfg: Options) -> list[dict]:
     """Kept glitches of one series sorted by time; ``good`` marks rows that may be fitted."""
     at = np.flatnonzero(good)
-    if len(at) < cfg.min_points:
+    if len(at) < cfg.points:
         return []
     tg, yg = t[at], y[at]
-    fit = series_fits(tg, yg, 1.0 / s[at] ** 2, cfg.peak_tau_days)
+    fit = series_fits(tg, yg, 1.0 / s[at] ** 2, cfg.decay_days)
     first = np.searchsorted(tg, tg, "left")
     rows_after = len(at) - first
-    end = recovery_end(t, y, cfg.mean_window_days if cfg.mean_window_days > 0 else 1.0)
+    end = recovery_end(t, y, cfg.mean_days if cfg.mean_days > 0 else 1.0)
     best = np.maximum(fit["d1"], fit["d2"])
     kept: list[dict] = []
     for i in np.lexsort((np.arange(len(at)), -best)):
-        if not best[i] >= cfg.delta_chi2_thresh:
+        if not best[i] >= cfg.gain:
             break
-        if rows_after[i] < cfg.min_points or end[at[i]] - tg[i] < cfg.min_duration_days:
+        if rows_after[i] < cfg.points or end[at[i]] - tg[i] < cfg.least_days:
             continue
         win = y[np.searchsorted(t, tg[i], "right") : np.searchsorted(t, end[at[i]], "right")]
         if not len(win):
             continue
         mid = float(np.median(win))
-        if yg[i] <= mid + cfg.noise_k * 1.4826 * float(np.median(np.abs(win - mid))):
+        if yg[i] <= mid + cfg.noise * 1.4826 * float(np.median(np.abs(win - mid))):
             continue
         peak = fit["d2"][i] > fit["d1"][i]
         kept.append({
             "rank": len(kept), "t0": float(tg[i]), "amp": float(fit["a2" if peak else "a1"][i]), "slope": float(fit["b2" if peak else "b1"][i]),
-            "peak_tau_days": cfg.peak_tau_days if peak else None, "model": "peak_ramp" if peak else "step_ramp", "delta_chi2": float(best[i]),
+            "peak_tau_days": cfg.decay_days if peak else None, "model": "peak_ramp" if peak else "step_ramp", "delta_chi2": float(best[i]),
         })
-        if cfg.suppress_overlap:
+        if cfg.exclusive:
             break  # every window runs to the end of the series, so any two share rows
     return kept
 
 
-def detect_glitches(df: DataFrame, keys: list[str], cfg: GlitchConfig = GlitchConfig(enabled=True), *, exclude: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
+def detect_glitches(df: DataFrame, keys: list[str], cfg: Options = options("glitch", on=True), *, exclude: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
     """Adds glitch_id, _t0, _amp, _slope, _peak_tau_days, _delta_chi2, _model and glitch_member.
 
     All starts of a series are fitted from suffix sums, in O(n log n) for a
@@ -140,7 +140,7 @@ def detect_glitches(df: DataFrame, keys: list[str], cfg: GlitchConfig = GlitchCo
     named = ev.select(*keys, *[F.col(c).alias(f"_g_{c}") for c in ("id", *names[1:])])
     dt = F.col(time) - F.col("_g_t0")
     curve = F.when(F.col("_g_model") == "peak_ramp", F.col("_g_amp") * F.exp(-dt / F.col("_g_peak_tau_days"))).otherwise(F.col("_g_amp")) + F.col("_g_slope") * dt
-    at = df.where(~out_rows & (F.col(sigma) > 0) & F.col(resid).isNotNull()).join(named, keys).where((dt >= 0) & (F.abs(curve) / F.col(sigma) >= cfg.member_eta))
+    at = df.where(~out_rows & (F.col(sigma) > 0) & F.col(resid).isNotNull()).join(named, keys).where((dt >= 0) & (F.abs(curve) / F.col(sigma) >= cfg.eta))
     cols = ["id", "t0", "amp", "slope", "peak_tau_days", "delta_chi2", "model"]
     best = at.groupBy(row_id).agg(F.max(F.struct(*[F.col(f"_g_{c}").alias(c) for c in cols])).alias("_m"))
     best = best.select(row_id, *[F.col(f"_m.{c}").alias(f"glitch_{c}") for c in cols], F.lit(True).alias("glitch_member"))

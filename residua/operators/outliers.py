@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.config import OutlierGateConfig
+from residua.options import Options
 from residua.operators.blocks import exact_median, small
 
 
@@ -40,13 +40,13 @@ def hard_limit(df: DataFrame, keys: list[str], *, resid: str = "resid", sigma: s
     return out.withColumn("bad_dm_dvt_label", F.when(F.col("bad_dm_dvt"), F.lit(label)).otherwise(F.lit("")))
 
 
-def sigma_gate(df: DataFrame, cfg: OutlierGateConfig, *, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
+def sigma_gate(df: DataFrame, cfg: Options, *, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
     """Adds outlier_gate_* and bad_hard; rows inside the gate lose their OU and MAD flags, where they have them."""
-    r, s = cfg.resid_col or resid, cfg.sigma_col or sigma
+    r, s = cfg.value or resid, cfg.error or sigma
     valid = F.col(r).isNotNull() & F.col(s).isNotNull() & (F.col(s) > 0)
-    inside = F.coalesce(valid & (F.abs(F.col(r)) <= F.lit(cfg.sigma_thresh) * F.col(s)), F.lit(False))
+    inside = F.coalesce(valid & (F.abs(F.col(r)) <= F.lit(cfg.sigmas) * F.col(s)), F.lit(False))
     out = df.withColumns({
-        "outlier_gate_sigma": F.lit(float(cfg.sigma_thresh)),
+        "outlier_gate_sigma": F.lit(float(cfg.sigmas)),
         "outlier_gate_resid_col": F.lit(r),
         "outlier_gate_sigma_col": F.lit(s),
         "outlier_gate_inlier": inside,

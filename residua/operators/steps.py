@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.config import StepConfig
+from residua.options import Options, options
 from residua.operators.blocks import exact_median, previous_rows, running_sums, small
 
 
@@ -24,7 +24,7 @@ def usable(df: DataFrame, resid: str, sigma: str, time: str, scale: Column | Non
 
 
 def best_steps(
-    df: DataFrame, keys: list[str], cfg: StepConfig = StepConfig(), *, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", scale: Column | None = None
+    df: DataFrame, keys: list[str], cfg: Options = options("step"), *, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", scale: Column | None = None
 ) -> DataFrame:
     """(keys, t0, amp, delta_chi2) of the best split of each series that reaches the threshold.
 
@@ -37,21 +37,21 @@ def best_steps(
     n1, n2 = F.col("_n") - 1, F.col("_n_all") - F.col("_n") + 1
     w1, w2 = F.col("_sw") - F.col("_w"), F.col("_sw_all") - F.col("_sw") + F.col("_w")
     wy1 = F.col("_swy") - F.col("_w") * F.col("_y")
-    split = at.where((n1 >= cfg.min_points) & (n2 >= cfg.min_points)).withColumns({
+    split = at.where((n1 >= cfg.points) & (n2 >= cfg.points)).withColumns({
         "_w1": w1, "_w2": w2, "_amp": (F.col("_swy_all") - wy1) / w2 - wy1 / w1, "_t0": (F.col(f"prev_{time}") + F.col(time)) / 2,
     })
-    if cfg.min_span_days is not None:
+    if cfg.span_days is not None:
         ends = rows.groupBy(*keys).agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
         split = split.join(small(ends), keys)
-        end = F.col("_last") if cfg.member_tmax_days is None else F.least(F.col("_last"), F.col("_t0") + cfg.member_tmax_days)
-        split = split.where((F.col(f"prev_{time}") - F.col("_first") >= cfg.min_span_days) & (end - F.col(time) >= cfg.min_span_days))
+        end = F.col("_last") if cfg.horizon_days is None else F.least(F.col("_last"), F.col("_t0") + cfg.horizon_days)
+        split = split.where((F.col(f"prev_{time}") - F.col("_first") >= cfg.span_days) & (end - F.col(time) >= cfg.span_days))
     split = split.withColumn("_d", F.col("_amp") * F.col("_amp") / (1 / F.col("_w1") + 1 / F.col("_w2")))
     best = split.groupBy(*keys).agg(F.max_by(F.struct("_t0", "_amp", "_d"), F.struct(F.col("_d"), -F.col("_n"))).alias("_b"))
-    found = best.where(F.col("_b._d") >= cfg.delta_chi2_thresh)
+    found = best.where(F.col("_b._d") >= cfg.gain)
     return found.select(*keys, F.col("_b._t0").alias("t0"), F.col("_b._amp").alias("amp"), F.col("_b._d").alias("delta_chi2"))
 
 
-def step_members(df: DataFrame, events: DataFrame, keys: list[str], cfg: StepConfig, *, prefix: str, sigma: str = "sigma", time: str = "mjd", scale: Column | None = None, count_keys: list[str] | None = None) -> DataFrame:
+def step_members(df: DataFrame, events: DataFrame, keys: list[str], cfg: Options, *, prefix: str, sigma: str = "sigma", time: str = "mjd", scale: Column | None = None, count_keys: list[str] | None = None) -> DataFrame:
     """Adds the step columns: who is after the step within the horizon, and for whom it is larger than eta sigma.
 
     ``events`` has one row per ``keys``.  Counts are over ``count_keys``
@@ -61,13 +61,13 @@ def step_members(df: DataFrame, events: DataFrame, keys: list[str], cfg: StepCon
     out = df.join(small(ev), keys, "left")
     t0, t = F.col(f"{prefix}_t0"), F.col(time)
     inside = t >= t0
-    if cfg.member_tmax_days is not None:
-        inside = inside & (t <= t0 + F.lit(float(cfg.member_tmax_days)))
+    if cfg.horizon_days is not None:
+        inside = inside & (t <= t0 + F.lit(float(cfg.horizon_days)))
     known = F.col(f"{prefix}_amp").isNotNull()
     out = out.withColumn(f"{prefix}_applicable", F.coalesce(known & inside, F.lit(False)))
     effect = F.abs(f"{prefix}_amp") / (scale if scale is not None else F.lit(1.0))
     z = F.when(F.col(f"{prefix}_applicable") & (F.col(sigma) > 0), effect / F.col(sigma))
-    out = out.withColumn("_z", z).withColumn(f"{prefix}_informative", F.coalesce(F.col("_z") > cfg.member_eta, F.lit(False)))
+    out = out.withColumn("_z", z).withColumn(f"{prefix}_informative", F.coalesce(F.col("_z") > cfg.eta, F.lit(False)))
     out = out.withColumn(f"{prefix}_id", F.when(F.col(f"{prefix}_applicable"), F.lit(0)).otherwise(F.lit(-1)))
     zi = F.when(F.col(f"{prefix}_informative"), F.col("_z"))
     counted = count_keys or keys
@@ -86,17 +86,17 @@ def step_members(df: DataFrame, events: DataFrame, keys: list[str], cfg: StepCon
     return out.fillna(0, subset=zero)
 
 
-def detect_step(df: DataFrame, keys: list[str], cfg: StepConfig = StepConfig(), *, prefix: str = "step", resid: str = "resid", sigma: str = "sigma") -> DataFrame:
+def detect_step(df: DataFrame, keys: list[str], cfg: Options = options("step"), *, prefix: str = "step", resid: str = "resid", sigma: str = "sigma") -> DataFrame:
     return step_members(df, best_steps(df, keys, cfg, resid=resid, sigma=sigma), keys, cfg, prefix=prefix, sigma=sigma)
 
 
-def detect_dm_step(df: DataFrame, keys: list[str], cfg: StepConfig = StepConfig(), *, prefix: str = "dm_step", resid: str = "resid", sigma: str = "sigma", freq: str = "freq") -> DataFrame:
+def detect_dm_step(df: DataFrame, keys: list[str], cfg: Options = options("step"), *, prefix: str = "dm_step", resid: str = "resid", sigma: str = "sigma", freq: str = "freq") -> DataFrame:
     """The same on y freq^2; the effect on a row is amp / freq^2."""
     k = chromatic_scale(freq)
     return step_members(df, best_steps(df, keys, cfg, resid=resid, sigma=sigma, scale=k), keys, cfg, prefix=prefix, sigma=sigma, scale=k)
 
 
-def regroup_step(df: DataFrame, events: DataFrame, series: list[str], group: str, cfg: StepConfig, *, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", scale: Column | None = None) -> DataFrame:
+def regroup_step(df: DataFrame, events: DataFrame, series: list[str], group: str, cfg: Options, *, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", scale: Column | None = None) -> DataFrame:
     """(series, group, t0, amp, delta_chi2): the amplitude of each series' step estimated anew in every group.
 
     t0 and delta_chi2 stay those of the series.  Groups with fewer than
@@ -105,8 +105,8 @@ def regroup_step(df: DataFrame, events: DataFrame, series: list[str], group: str
     rows = usable(df, resid, sigma, time, scale).join(small(events.select(*series, "t0", "delta_chi2")), series)
     t = F.col(time)
     post = t >= F.col("t0")
-    if cfg.member_tmax_days is not None:
-        post = post & (t <= F.col("t0") + F.lit(float(cfg.member_tmax_days)))
+    if cfg.horizon_days is not None:
+        post = post & (t <= F.col("t0") + F.lit(float(cfg.horizon_days)))
     pre = t < F.col("t0")
     w, wy = F.col("_w"), F.col("_w") * F.col("_y")
     per = rows.groupBy(*series, group).agg(
@@ -115,11 +115,11 @@ def regroup_step(df: DataFrame, events: DataFrame, series: list[str], group: str
         F.sum(F.when(pre, w)).alias("_w1"), F.sum(F.when(pre, wy)).alias("_y1"),
         F.sum(F.when(post, w)).alias("_w2"), F.sum(F.when(post, wy)).alias("_y2"),
     )
-    ok = per.where((F.col("_n1") >= cfg.min_points) & (F.col("_n2") >= cfg.min_points))
+    ok = per.where((F.col("_n1") >= cfg.points) & (F.col("_n2") >= cfg.points))
     return ok.select(*series, group, "t0", (F.col("_y2") / F.col("_w2") - F.col("_y1") / F.col("_w1")).alias("amp"), "delta_chi2")
 
 
-def detect_global_step(df: DataFrame, series: list[str], group: str, cfg: StepConfig, *, prefix: str = "step_global", resid: str = "resid", sigma: str = "sigma", scale: Column | None = None) -> DataFrame:
+def detect_global_step(df: DataFrame, series: list[str], group: str, cfg: Options, *, prefix: str = "step_global", resid: str = "resid", sigma: str = "sigma", scale: Column | None = None) -> DataFrame:
     """A step found in the whole series, its amplitude and members per group."""
     found = small(best_steps(df, series, cfg, resid=resid, sigma=sigma, scale=scale))
     per = regroup_step(df, found, series, group, cfg, resid=resid, sigma=sigma, scale=scale)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.config import TransientConfig
+from residua.options import Options, options
 from residua.operators.blocks import exact_median, previous_rows, small
 
 
@@ -92,30 +92,30 @@ def event_rows(df: DataFrame, events: DataFrame, keys: list[str], width: float,
     return rows.join(small(ev), [*keys, "_b"]).where(F.col(time).between(F.col("t0"), F.col("t0") + F.lit(width))).drop("_b")
 
 
-def transient_events(df: DataFrame, keys: list[str], cfg: TransientConfig, *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
-    width = cfg.window_mult * cfg.tau_rec_days
-    found = scan_starts(df, keys, tau=cfg.tau_rec_days, width=width, min_points=cfg.min_points, threshold=cfg.delta_chi2_thresh, use=use, resid=resid, sigma=sigma)
-    return keep_best(found, keys, width, suppress=cfg.suppress_overlap)
+def transient_events(df: DataFrame, keys: list[str], cfg: Options, *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
+    width = cfg.reach * cfg.decay_days
+    found = scan_starts(df, keys, tau=cfg.decay_days, width=width, min_points=cfg.points, threshold=cfg.gain, use=use, resid=resid, sigma=sigma)
+    return keep_best(found, keys, width, suppress=cfg.exclusive)
 
 
-def detect_transients(df: DataFrame, keys: list[str], cfg: TransientConfig = TransientConfig(), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", prefix: str = "transient", events: DataFrame | None = None) -> DataFrame:
+def detect_transients(df: DataFrame, keys: list[str], cfg: Options = options("transient"), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", prefix: str = "transient", events: DataFrame | None = None) -> DataFrame:
     """Adds <prefix>_id (rank of the event, -1 for none), _amp, _t0, _delta_chi2 of members, |A f|/sigma >= eta."""
     ev = events if events is not None else transient_events(df, keys, cfg, use=use, resid=resid, sigma=sigma)
     ev = ev.select(*keys, F.col("rank").cast("int").alias(f"{prefix}_id"), F.col("amp").alias(f"{prefix}_amp"), "t0", F.col("delta_chi2").alias(f"{prefix}_delta_chi2"))
-    width = cfg.window_mult * cfg.tau_rec_days
+    width = cfg.reach * cfg.decay_days
     at = event_rows(df if use is None else df.where(use), ev, keys, width, time=time)
-    z = F.abs(f"{prefix}_amp") * F.exp(-(F.col(time) - F.col("t0")) / F.lit(cfg.tau_rec_days)) / F.col(sigma)
+    z = F.abs(f"{prefix}_amp") * F.exp(-(F.col(time) - F.col("t0")) / F.lit(cfg.decay_days)) / F.col(sigma)
     cols = [f"{prefix}_id", f"{prefix}_amp", f"{prefix}_t0", f"{prefix}_delta_chi2"]
-    members = at.where((F.col(sigma) > 0) & (z >= cfg.member_eta)).withColumnRenamed("t0", f"{prefix}_t0")
+    members = at.where((F.col(sigma) > 0) & (z >= cfg.eta)).withColumnRenamed("t0", f"{prefix}_t0")
     # without suppression a row may be in several events: the last written, of highest rank, holds
     best = members.groupBy(row_id).agg(F.max(F.struct(*cols)).alias("_m")).select(row_id, *[F.col(f"_m.{c}").alias(c) for c in cols])
     return df.join(best, row_id, "left").fillna(-1, subset=[f"{prefix}_id"])
 
 
-def detect_global_transients(df: DataFrame, series: list[str], group: str, cfg: TransientConfig = TransientConfig(), *, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", prefix: str = "transient_global") -> DataFrame:
+def detect_global_transients(df: DataFrame, series: list[str], group: str, cfg: Options = options("transient"), *, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", prefix: str = "transient_global") -> DataFrame:
     """Events of the whole series, amplitude and members (|A f|/sigma > eta) refitted in every group, with their z."""
     ev = transient_events(df, series, cfg, resid=resid, sigma=sigma).select(*series, F.col("rank").cast("int").alias("rank"), "t0", "delta_chi2")
-    width, tau = cfg.window_mult * cfg.tau_rec_days, cfg.tau_rec_days
+    width, tau = cfg.reach * cfg.decay_days, cfg.decay_days
     at = event_rows(df, ev, series, width, time=time).where(F.col(sigma) > 0)
     f = F.exp(-(F.col(time) - F.col("t0")) / F.lit(tau))
     at = at.withColumns({"_f": f, "_w": F.lit(1.0) / (F.col(sigma) * F.col(sigma))})
@@ -123,7 +123,7 @@ def detect_global_transients(df: DataFrame, series: list[str], group: str, cfg:
         F.count("*").alias("_n"), (F.sum(F.col("_w") * F.col("_f") * F.col(resid)) / F.sum(F.col("_w") * F.col("_f") * F.col("_f"))).alias("_amp")
     )
     at = at.join(small(fit.where(F.col("_n") >= 2).drop("_n")), [*series, group, "rank"])
-    at = at.withColumn("_z", F.abs(F.col("_amp") * F.col("_f")) / F.col(sigma)).where(F.col("_z") > cfg.member_eta)
+    at = at.withColumn("_z", F.abs(F.col("_amp") * F.col("_f")) / F.col(sigma)).where(F.col("_z") > cfg.eta)
     stats = at.groupBy(*series, group, "rank").agg(
         F.count("*").alias(f"{prefix}_n_members"), F.avg((F.col("_z") < 1).cast("double")).alias(f"{prefix}_frac_z_lt1"),
         F.min("_z").alias(f"{prefix}_z_min"), F.max("_z").alias(f"{prefix}_z_max"),

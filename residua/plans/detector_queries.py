@@ -11,7 +11,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.config import OutlierGateConfig, StepConfig, TransientConfig
+from residua.options import options
 from residua.functions.stats import erfc_sql
 from residua.operators.ou import bad_days, detect_bad, innovations
 from residua.operators.outliers import hard_limit, robust_outliers, sigma_gate
@@ -21,9 +21,9 @@ from residua.sources.tables import SERIES_SQL, View, all_series_rows, series_row
 
 BACKEND = ["series_id", "grp"]
 SERIES = ["series_id"]
-STEP = StepConfig()
-TRANSIENT = TransientConfig()
-WIDTH = TRANSIENT.window_mult * TRANSIENT.tau_rec_days
+STEP = options("step")
+TRANSIENT = options("transient")
+WIDTH = TRANSIENT.reach * TRANSIENT.decay_days
 CTE = f"with s as ({SERIES_SQL.format(toas='toas')})"
 
 
@@ -62,7 +62,7 @@ select toa_id, round(k, 6) as k, round(abs(resid) / sigma, 6) as score, abs(resi
 
 
 def gate(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = sigma_gate(view(spark, sf_dir), OutlierGateConfig(enabled=True))
+    out = sigma_gate(view(spark, sf_dir), options("gate", on=True))
     return out.select("toa_id", "outlier_gate_sigma", "outlier_gate_inlier", "bad_hard")
 
 

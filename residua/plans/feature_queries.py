@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.config import MergeConfig, OrbitalPhaseCutConfig, StructureConfig
+from residua.options import options
 from residua.functions.stats import erfc_sql, folded_distance, year_of_mjd
 from residua.operators.asof import merge_time_and_meta, nearest_asof
 from residua.operators.binned import detrend, orbital_cut, rescale, structure_test, with_orbital_cut
@@ -15,7 +15,7 @@ from residua.plans.detector_queries import BACKEND, CTE, SERIES, ps
 from residua.sources.tables import series_rows, table
 from residua.sources.tim import permissive_records
 
-TOL = MergeConfig().tol_days
+TOL = options("merge").tolerance_days
 
 
 def _asof(spark: SparkSession, sf_dir: str, right_on, by: dict) -> DataFrame:
@@ -124,7 +124,7 @@ select toa_id, cast(case when lo = hi then 0 else greatest(0, least(len(list_fil
 
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series_rows(spark, sf_dir)
-    parts = [structure_test(rows, BACKEND, f).withColumn("feature", F.lit(f)) for f in StructureConfig().structure_features]
+    parts = [structure_test(rows, BACKEND, f).withColumn("feature", F.lit(f)) for f in options("structure").test]
     return parts[0].unionByName(parts[1]).select(*BACKEND, "feature", F.round("chi2", 3).alias("chi2"), F.col("dof").cast("bigint").alias("dof"), F.round("p", 6).alias("p"), "present")
 
 
@@ -191,7 +191,7 @@ select toa_id, cast(round(resid / sc * 1e4) as bigint) as resid_proc_e4, round(s
 
 
 def orbital_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cfg = OrbitalPhaseCutConfig(enabled=True, sigma_thresh=5.0)
+    cfg = options("orbital", on=True, sigmas=5.0)
     out = orbital_cut(series_rows(spark, sf_dir), SERIES, cfg)
     return out.select("series_id", F.round("orbital_cut_phase", 6).alias("orbital_cut_phase"))
 
@@ -208,7 +208,7 @@ CUT_SQL = CTE + _CUT + "select series_id, round(cut, 6) as orbital_cut_phase fro
 
 
 def orbital_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_orbital_cut(series_rows(spark, sf_dir), SERIES, OrbitalPhaseCutConfig(enabled=True, sigma_thresh=5.0))
+    out = with_orbital_cut(series_rows(spark, sf_dir), SERIES, options("orbital", on=True, sigmas=5.0))
     return out.select("toa_id", "orbital_phase_bad")
 
 

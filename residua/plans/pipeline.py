@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.config import PipelineConfig
-from residua.operators.asof import auto_tolerance, merge_time_and_meta
+from residua.options import Settings
+from residua.operators.asof import auto_tolerance, merge_time_and_meta, unmatched_sample
 from residua.operators.binned import detrend, preprocess, with_orbital_cut, with_structure
 from residua.operators.bumps import detect_bumps
 from residua.operators.covariate_events import detect_eclipse, detect_solar
@@ -41,7 +41,7 @@ class QCResult:
     models: DataFrame | None
 
 
-def detection_stage(df: DataFrame, cfg: PipelineConfig = PipelineConfig(), *, series: list[str] | None = None, group: str = "grp", row_id: str = "toa_id") -> QCResult:
+def detection_stage(df: DataFrame, cfg: Settings = Settings(), *, series: list[str] | None = None, group: str = "grp", row_id: str = "toa_id") -> QCResult:
     """All detectors and the resolved flags over series rows.
 
     ``series`` are the keys of one object (a pulsar); "backend" scope means
@@ -53,16 +53,16 @@ def detection_stage(df: DataFrame, cfg: PipelineConfig = PipelineConfig(), *, se
     rows = df.withColumn(group, F.coalesce(F.col(group), F.lit("UNK")))
     base = "resid"
     struct = cfg.structure
-    by = [*series, *(struct.structure_group_cols or (group,))]
+    by = [*series, *(struct.by or (group,))]
     if struct.mode in ("detrend", "both"):
-        rows, _ = detrend(rows, by, struct.detrend_features, out="resid_detrended", nbins=struct.nbins, min_per_bin=struct.min_per_bin, circular=struct.circular_features)
+        rows, _ = detrend(rows, by, struct.detrend, out="resid_detrended", nbins=struct.bins, min_per_bin=struct.per_bin, circular=struct.circular)
         base = "resid_detrended"
     if struct.mode in ("test", "both"):
         rows = with_structure(rows, by, struct, resid=base)
     rows, made_r, made_s, models = preprocess(rows, _per_series(cfg, series), resid=base)
     rows = checkpointed(rows)
 
-    pick = lambda d: (made_r, made_s) if d in cfg.preproc.use_preproc_for and made_r else (base, "sigma")
+    pick = lambda d: (made_r, made_s) if d in cfg.preproc.used_by and made_r else (base, "sigma")
     used = {d: pick(d) for d in DETECTORS}
     out, had = rows, set(rows.columns)
     for d, (r, s) in used.items():
@@ -78,10 +78,10 @@ def detection_stage(df: DataFrame, cfg: PipelineConfig = PipelineConfig(), *, se
 
     both = lambda scope, which: scope in (which, "both")
     r, s = used["step"]
-    if cfg.step.enabled and both(cfg.step.scope, "global"):
+    if cfg.step.on and both(cfg.step.scope, "global"):
         annotate(detect_global_step(rows, series, group, cfg.step, resid=r, sigma=s))
     rd, sd = used["dmstep"]
-    if cfg.dm_step.enabled and both(cfg.dm_step.scope, "global"):
+    if cfg.dm_step.on and both(cfg.dm_step.scope, "global"):
         annotate(detect_global_step(rows, series, group, cfg.dm_step, prefix="dm_step_global", resid=rd, sigma=sd, scale=chromatic_scale()))
     rt, st = used["transient"]
     if both(cfg.transient.scope, "global"):
@@ -94,56 +94,52 @@ def detection_stage(df: DataFrame, cfg: PipelineConfig = PipelineConfig(), *, se
         found = found.withColumn("exp_dip_member", F.col("exp_dip_member") | F.col("_own")).drop("_own")
     dips = annotate(found, keep=True)
     claimed = rows.join(dips.select(row_id, F.col("exp_dip_member").alias("_taken")), row_id, "left")
-    if cfg.glitch.enabled:
+    if cfg.glitch.on:
         found = detect_glitches(claimed, series, cfg.glitch, exclude=F.col("_taken"), resid=rt, sigma=st).drop("_taken")
         glitches = annotate(found, keep=True)
         claimed = claimed.join(glitches.select(row_id, F.col("glitch_member").alias("_g")), row_id, "left")
         claimed = claimed.withColumn("_taken", F.col("_taken") | F.coalesce("_g", F.lit(False))).drop("_g")
     rm, sm = used["mad"]
-    if cfg.robust.enabled and both(cfg.robust.scope, "global"):
-        annotate(robust_outliers(rows, series, resid=rm, z_thresh=cfg.robust.z_thresh, prefix="robust_global"))
+    if cfg.robust.on and both(cfg.robust.scope, "global"):
+        annotate(robust_outliers(rows, series, resid=rm, z_thresh=cfg.robust.z, prefix="robust_global"))
     ro, so = used["ou"]
-    bad = annotate(detect_bad(rows, backend, cfg.bad, resid=ro, sigma=so), keep=True)
+    bad = annotate(detect_bad(rows, backend, cfg.noise, resid=ro, sigma=so), keep=True)
     if both(cfg.transient.scope, "backend"):
         flagged = rows.join(bad.select(row_id, F.col("bad").alias("_bad")), row_id, "left")
         annotate(detect_transients(flagged, backend, cfg.transient, use=~F.coalesce(F.col("_bad"), F.lit(False)), resid=rt, sigma=st).drop("_bad"))
-    if cfg.step.enabled and both(cfg.step.scope, "backend"):
+    if cfg.step.on and both(cfg.step.scope, "backend"):
         annotate(detect_step(rows, backend, cfg.step, resid=r, sigma=s))
-    if cfg.dm_step.enabled and both(cfg.dm_step.scope, "backend"):
+    if cfg.dm_step.on and both(cfg.dm_step.scope, "backend"):
         annotate(detect_dm_step(rows, backend, cfg.dm_step, resid=rd, sigma=sd))
-    if cfg.robust.enabled and both(cfg.robust.scope, "backend"):
-        annotate(robust_outliers(rows, backend, resid=rm, z_thresh=cfg.robust.z_thresh))
+    if cfg.robust.on and both(cfg.robust.scope, "backend"):
+        annotate(robust_outliers(rows, backend, resid=rm, z_thresh=cfg.robust.z))
     annotate(hard_limit(rows, series, resid=ro, sigma=so))
-    if cfg.solar.enabled:
+    if cfg.solar.on:
         annotate(detect_solar(rows, series, cfg.solar, resid=ro, sigma=so))
-    if cfg.eclipse.enabled:
+    if cfg.eclipse.on:
         annotate(detect_eclipse(rows, series, cfg.eclipse, resid=ro, sigma=so))
-    if cfg.bump.enabled:
+    if cfg.bump.on:
         annotate(detect_bumps(claimed, series, cfg.bump, exclude=F.col("_taken"), resid=ro, sigma=so).drop("_taken"))
     out = outlier_flags(out)
-    if cfg.gate.enabled:
+    if cfg.gate.on:
         out = sigma_gate(out, cfg.gate, resid=ro, sigma=so)
     out = clear_events(bad_points(out))
-    if cfg.orbital.enabled:
+    if cfg.orbital.on:
         out = with_orbital_cut(out, series, cfg.orbital, resid=ro, sigma=so)
     return QCResult(event_flags(out), models)
 
 
-def _per_series(cfg: PipelineConfig, series: list[str]):
+def _per_series(cfg: Settings, series: list[str]):
     """Preprocessing conditions hold within a series."""
-    from dataclasses import replace
+    return cfg.preproc.but(within=(*series, *[c for c in cfg.preproc.within if c not in series]))
 
-    return replace(cfg.preproc, condition_on=(*series, *[c for c in cfg.preproc.condition_on if c not in series]))
 
-
-def run_pipeline(spark: SparkSession, source: TimingSource, meta: DataFrame, *, par: ParFile | None = None, cfg: PipelineConfig = PipelineConfig(), series: list[str] | None = None, max_offset_sec: float = 0.0, sites: DataFrame | None = None, settings_out: str | None = None) -> QCResult:
+def run_pipeline(spark: SparkSession, source: TimingSource, meta: DataFrame, *, par: ParFile | None = None, cfg: Settings = Settings(), series: list[str] | None = None, max_offset_sec: float = 0.0, sites: DataFrame | None = None, settings_out: str | None = None) -> QCResult:
     """Timing rows, metadata, keys, covariates and detection in one.
 
     Rows without a metadata record raise an error, or are dropped where the
     configuration says so.
     """
-    from dataclasses import replace
-
     if settings_out:
         from residua.plans.settings import write_settings
 
@@ -152,14 +148,14 @@ def run_pipeline(spark: SparkSession, source: TimingSource, meta: DataFrame, *,
     series = series or (["psr"] if "psr" in toas.columns else [])
     if not series:
         toas, series = toas.withColumn("series_id", F.lit("all")), ["series_id"]
-    merge = replace(cfg.merge, tol_days=auto_tolerance(cfg.merge, max_offset_sec))
+    merge = cfg.merge.but(tolerance_days=auto_tolerance(cfg.merge, max_offset_sec))
     known = toas.drop(*[c for c in ("sys", "grp") if c in toas.columns and c in meta.columns])
     merged = checkpointed(merge_time_and_meta(known, meta, merge, entity=series[0] if series[0] in meta.columns else None))
     if not cfg.drop_unmatched:
-        lost = merged.where(F.col("filename").isNull()).select("toa_id", "mjd").limit(5).collect()
+        lost = unmatched_sample(merged).collect()
         if lost:
-            raise RuntimeError(f"rows without a metadata record, among them {[tuple(r) for r in lost]}")
+            raise RuntimeError(f"rows without a metadata record, among them {[r.asDict() for r in lost]}")
     keyed = ensure_sys_group(merged.where(F.col("filename").isNotNull()))
     if par is not None:
-        keyed = add_features(keyed, par, cfg.feature, sites=sites, series=series)
+        keyed = add_features(keyed, par, cfg.covariates, sites=sites, series=series)
     return detection_stage(keyed, cfg, series=series)

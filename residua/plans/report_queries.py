@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.config import EclipseConfig, ExpDipConfig, GaussianBumpConfig, GlitchConfig, SolarCutConfig, StructureConfig
+from residua.options import options
 from residua.operators.binned import with_structure
 from residua.operators.bumps import detect_bumps
 from residua.operators.covariate_events import detect_eclipse, detect_solar
@@ -24,7 +24,7 @@ from residua.plans.resolve import membership_mask, resolve
 from residua.session import checkpointed
 from residua.sources.tables import View, all_series_rows, series_rows, table
 
-PLAIN_DIP = ExpDipConfig(freq_dependence=False)
+PLAIN_DIP = options("dip", colour=False)
 
 
 def exp_dip_achromatic(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
@@ -53,30 +53,30 @@ select s.toa_id, coalesce(e[1], -1) as exp_dip_global_id, round(e[2], 6) as exp_
 
 
 def exp_dip_chromatic(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    ev = dip_events(view(spark, sf_dir), SERIES, ExpDipConfig())
+    ev = dip_events(view(spark, sf_dir), SERIES, options("dip"))
     return ev.select(*SERIES, "toa_id", F.round("t0", 6).alias("t0"), F.round("alpha", 2).alias("alpha"), F.round("delta_chi2", 1).alias("delta_chi2"), "rank")
 
 
 def solar_event(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = detect_solar(view(spark, sf_dir), SERIES, SolarCutConfig(enabled=True))
+    out = detect_solar(view(spark, sf_dir), SERIES, options("solar", on=True))
     p = "solar_event"
     return out.select("toa_id", f"{p}_year", F.round(f"{p}_tau", 2).alias(f"{p}_tau"), F.round(f"{p}_alpha", 2).alias(f"{p}_alpha"), F.round(f"{p}_delta_chi2", 1).alias(f"{p}_delta_chi2"), f"{p}_member")
 
 
 def eclipse_event(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = detect_eclipse(view(spark, sf_dir), SERIES, EclipseConfig(enabled=True))
+    out = detect_eclipse(view(spark, sf_dir), SERIES, options("eclipse", on=True))
     p = "eclipse_event"
     return out.select("toa_id", F.round(f"{p}_width", 3).alias(f"{p}_width"), F.round(f"{p}_alpha", 2).alias(f"{p}_alpha"), F.round(f"{p}_delta_chi2", 1).alias(f"{p}_delta_chi2"), f"{p}_member")
 
 
 def gaussian_bump(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = detect_bumps(view(spark, sf_dir), BACKEND, GaussianBumpConfig(enabled=True, freq_dependence=False))
+    out = detect_bumps(view(spark, sf_dir), BACKEND, options("bump", on=True, colour=False))
     p = "gaussian_bump"
     return out.select("toa_id", f"{p}_id", f"{p}_model", F.round(f"{p}_t0", 6).alias(f"{p}_t0"), f"{p}_duration_days", F.round(f"{p}_delta_chi2", 1).alias(f"{p}_delta_chi2"), f"{p}_member")
 
 
 def glitch(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = detect_glitches(view(spark, sf_dir), BACKEND, GlitchConfig(enabled=True, min_duration_days=100.0))
+    out = detect_glitches(view(spark, sf_dir), BACKEND, options("glitch", on=True, least_days=100.0))
     return out.select("toa_id", "glitch_id", "glitch_model", F.round("glitch_t0", 6).alias("glitch_t0"), F.round("glitch_delta_chi2", 1).alias("glitch_delta_chi2"), "glitch_member")
 
 
@@ -132,8 +132,8 @@ EVENT_TABLE_SQL = f"""{CTE} select series_id, grp, transient_id, min(transient_t
 
 
 def structures(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    cfg = StructureConfig(mode="test")
-    out = structure_table(checkpointed(with_structure(view(spark, sf_dir), BACKEND, cfg)), BACKEND, cfg.structure_features)
+    cfg = options("structure", mode="test")
+    out = structure_table(checkpointed(with_structure(view(spark, sf_dir), BACKEND, cfg)), BACKEND, cfg.test)
     return out.select(*BACKEND, "feature", F.round("chi2", 3).alias("chi2"), F.col("dof").cast("bigint").alias("dof"), F.round("p", 6).alias("p"), "present")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset, as in local tests, a temporary folder."""
+    """The session's spark.checkpoint.dir; where that is unset, on a local master only, a temporary folder.
+
+    Executors of a cluster do not share the driver's folders, so without the
+    setting there is no right place there, and that is an error.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.residua.localFolder", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="residua-")
         spark.conf.set("spark.residua.localFolder", found)
     return found

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from residua.config import MergeConfig
+from residua.options import options
 from residua.operators.asof import auto_tolerance, merge_time_and_meta, nearest_asof, unmatched_sample
 from residua.operators.keys import ensure_sys_group, file_triplet
 
@@ -43,12 +43,12 @@ def test_merge_falls_back_to_plain_time(spark):
     toas = spark.createDataFrame([(i, "p", 100.0 + i, 1400.0 + i, 1.0) for i in range(3)] + [(9, "p", 500.0, 1400.0, 1.0)], "toa_id long, psr string, mjd double, freq double, resid double")
     meta = spark.createDataFrame([(10 + i, "p", 100.0 + i, 200.0 if i == 2 else 100.0 + i, 1400.0 + i, f"f{i}", "t") for i in range(3)], "meta_id long, psr string, mjd double, sat_corr double, freq double, filename string, _timfile string")
     for by_freq in (False, True):
-        out = {r["toa_id"]: r for r in merge_time_and_meta(toas, meta, MergeConfig(by_freq=by_freq)).collect()}
+        out = {r["toa_id"]: r for r in merge_time_and_meta(toas, meta, options("merge", by_channel=by_freq)).collect()}
         assert [out[i]["filename"] for i in range(3)] == ["f0", "f1", "f2"] and out[9]["filename"] is None
         assert out[1]["freq_meta"] == 1401.0
     lost = unmatched_sample(merge_time_and_meta(toas, meta)).collect()
     assert [r["toa_id"] for r in lost] == [9]
-    assert auto_tolerance(MergeConfig(), 10.0) == 20.0 / 86400 and auto_tolerance(MergeConfig(), 0.1) == 2.0 / 86400
+    assert auto_tolerance(options("merge"), 10.0) == 20.0 / 86400 and auto_tolerance(options("merge"), 0.1) == 2.0 / 86400
 
 
 @pytest.mark.parametrize(

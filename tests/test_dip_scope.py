@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from residua.config import ExpDipConfig, GlitchConfig, PipelineConfig, TransientConfig
+from residua.options import Settings, options
 from residua.plans.pipeline import detection_stage
 
 
@@ -13,6 +13,6 @@ def test_dip_of_one_group(series, scope, wanted):
     after = (t >= 55040) & (grp == "a")
     y = np.where(after, -20e-6 * np.exp(-(t - 55040) / 30), 0.0)
     df = series(t, y, np.where(grp == "a", 1e-6, 1e-9), grp=grp)
-    cfg = PipelineConfig(dip=ExpDipConfig(freq_dependence=False, scope=scope), glitch=GlitchConfig(enabled=False), transient=TransientConfig(delta_chi2_thresh=1e12))
+    cfg = Settings(dip=options("dip", colour=False, scope=scope), glitch=options("glitch", on=False), transient=options("transient", gain=1e12))
     out = detection_stage(df, cfg).df.where("exp_dip_member").select("grp").distinct().collect()
     assert {r["grp"] for r in out} == wanted

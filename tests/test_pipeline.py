@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua.cli import build_parser, config_of, main
-from residua.config import BadMeasConfig, FeatureConfig, OrbitalPhaseCutConfig, OutlierGateConfig, PipelineConfig, PreprocConfig, RobustOutlierConfig, StepConfig, StructureConfig, TransientConfig
+from residua.options import Settings, options
 from residua.operators.binned import detrend, orbital_cut, rescale, structure_test
 from residua.operators.features import add_features, aligned_by_order, freq_bins
 from residua.plans.pipeline import detection_stage, run_pipeline
@@ -61,15 +61,15 @@ def test_orbital_cut(series):
     p = np.linspace(0, 1, 400, endpoint=False)
     d = np.minimum(np.abs(p - 0.25), 1 - np.abs(p - 0.25))
     df = series(59000.0 + np.arange(400), np.where(d < 0.1, 10.0, 0.5), 1.0, orbital_phase=p)
-    cut = orbital_cut(df, ["series_id"], OrbitalPhaseCutConfig(enabled=True)).first()["orbital_cut_phase"]
+    cut = orbital_cut(df, ["series_id"], options("orbital", on=True)).first()["orbital_cut_phase"]
     assert 0.1 < cut < 0.15
 
 
 # --- the stage --------------------------------------------------------------------------
 
-SMALL = PipelineConfig(
-    bad=BadMeasConfig(tau_corr_days=0.0, fdr_q=0.01), transient=TransientConfig(min_points=4, delta_chi2_thresh=0.1, member_eta=2.0, tau_rec_days=2.0),
-    step=StepConfig(min_points=3, member_tmax_days=5.0, scope="backend"), dm_step=StepConfig(min_points=3, member_tmax_days=5.0, scope="backend"), robust=RobustOutlierConfig(z_thresh=6.0, scope="backend"),
+SMALL = Settings(
+    noise=options("noise", tau_days=0.0, fdr=0.01), transient=options("transient", points=4, gain=0.1, eta=2.0, decay_days=2.0),
+    step=options("step", points=3, horizon_days=5.0, scope="backend"), dm_step=options("step", points=3, horizon_days=5.0, scope="backend"), robust=options("robust", z=6.0, scope="backend"),
 )
 
 
@@ -89,16 +89,16 @@ def test_preprocessing_changes_the_named_detectors(series):
     y = 6 * np.sin(2 * np.pi * phase) + 0.5 * rng.normal(size=240)
     y[72] += 25
     df = series(59000.0 + i, y, 1.0, orbital_phase=phase, solar_elongation_deg=i % 180.0)
-    quiet = dict(step=StepConfig(enabled=False), dm_step=StepConfig(enabled=False), transient=TransientConfig(delta_chi2_thresh=1e9), robust=RobustOutlierConfig(scope="backend"), bad=BadMeasConfig(tau_corr_days=0.0))
-    raw = by_id(detection_stage(df, PipelineConfig(**quiet)).df)
-    done = detection_stage(df, PipelineConfig(**quiet, preproc=PreprocConfig(detrend_features=("orbital_phase",), use_preproc_for=("ou", "mad"))))
+    quiet = dict(step=options("step", on=False), dm_step=options("step", on=False), transient=options("transient", gain=1e9), robust=options("robust", scope="backend"), noise=options("noise", tau_days=0.0))
+    raw = by_id(detection_stage(df, Settings(**quiet)).df)
+    done = detection_stage(df, Settings(**quiet, preproc=options("preproc", detrend=("orbital_phase",), used_by=("ou", "mad"))))
     proc = by_id(done.df)
     assert proc["robust_z"].iloc[72] > raw["robust_z"].iloc[72] and proc["robust_outlier"].iloc[72]
     assert proc["ou_used_resid_col"].iloc[0] == "resid_detr" and raw["ou_used_resid_col"].iloc[0] == "resid" and proc["step_used_resid_col"].iloc[0] == "resid"
     assert proc["preproc_tag"].iloc[0] == "detrend:orbital_phase" and done.models.count() > 0 and raw["preproc_tag"].iloc[0] == ""
-    tested = by_id(detection_stage(df, PipelineConfig(**quiet, structure=StructureConfig(mode="test"))).df)
+    tested = by_id(detection_stage(df, Settings(**quiet, structure=options("structure", mode="test"))).df)
     assert (tested["bad_point"] == raw["bad_point"]).all() and tested["structure_present_orbital_phase"].all()
-    table = structure_table(detection_stage(df, PipelineConfig(**quiet, structure=StructureConfig(mode="test"))).df, K, ("orbital_phase", "solar_elongation_deg"))
+    table = structure_table(detection_stage(df, Settings(**quiet, structure=options("structure", mode="test"))).df, K, ("orbital_phase", "solar_elongation_deg"))
     assert table.count() == 2
 
 
@@ -108,8 +108,8 @@ def test_every_stage_at_once(series):
     df = series(59000.0 + 7 * i, rng.normal(size=90), 1.0, freq=rng.uniform(400, 2000, 90), orbital_phase=(i % 10) / 10.0, solar_elongation_deg=2.0 * i)
     from dataclasses import replace
 
-    cfg = PipelineConfig(structure=StructureConfig(mode="both"), preproc=PreprocConfig(rescale_feature="solar_elongation_deg", use_preproc_for=("mad",)), gate=OutlierGateConfig(enabled=True), orbital=OrbitalPhaseCutConfig(enabled=True), transient=TransientConfig(scope="both"), robust=RobustOutlierConfig(scope="both"))
-    cfg = replace(cfg, solar=replace(cfg.solar, enabled=True), eclipse=replace(cfg.eclipse, enabled=True), glitch=replace(cfg.glitch, enabled=True), bump=replace(cfg.bump, enabled=True, freq_dependence=False))
+    cfg = Settings(structure=options("structure", mode="both"), preproc=options("preproc", rescale="solar_elongation_deg", used_by=("mad",)), gate=options("gate", on=True), orbital=options("orbital", on=True), transient=options("transient", scope="both"), robust=options("robust", scope="both"))
+    cfg = cfg.but(solar={"on": True}, eclipse={"on": True}, glitch={"on": True}, bump={"on": True, "colour": False})
     out = detection_stage(df, cfg).df
     need = {"bad_ou", "bad_hard", "resid_detrended", "glitch_member", "gaussian_bump_member", "solar_event_member", "eclipse_event_member", "orbital_phase_bad", "event_member"}
     assert need <= set(out.columns) and out.count() == 90
@@ -144,7 +144,7 @@ def test_par_and_phase(series, tmp_path):
     p.write_text("PSR J1\nPB 2.0D0\nT0 58000.0\nRAJ 12:00:00\nDECJ -30:30:00\n# note\n")
     par = read_par(p)
     assert par.number("PB") == 2.0 and sky_position(par) == (180.0, -30.5)
-    out = by_id(add_features(series([58000.0, 58001.0, 58002.0], [0.0] * 3, 1.0), par, FeatureConfig(add_freq_bin=True, add_elevation=True)))
+    out = by_id(add_features(series([58000.0, 58001.0, 58002.0], [0.0] * 3, 1.0), par, options("covariates", freq_bins=8, elevation=True)))
     assert out["orbital_phase"].tolist() == [0.0, 0.5, 0.0] and out["solar_elongation_deg"].between(0, 180).all() and out["elevation_deg"].isna().all() and (out["freq_bin"] == 0).all()
     assert by_id(add_features(series([1.0], [0.0], 1.0), ParFile({})))["orbital_phase"].isna().all()
     assert sky_position(ParFile({"ELONG": "0", "ELAT": "0"})) == pytest.approx((0, 0)) and sky_position(ParFile({"GL": "0", "GB": "0"})) == pytest.approx((266.405, -28.936), abs=0.01)
@@ -163,7 +163,7 @@ def test_sites_and_solar_text(spark, series, tmp_path):
     sites = read_sites(spark, str(p))
     assert {r["name"] for r in sites.collect()} == {"name", "ab", "other"}
     df = series([58000.0, 58000.5], [0.0, 0.0], 1.0, tel=["other", "zz"])
-    out = by_id(add_features(df, ParFile({"RAJ": "0:0:0", "DECJ": "0:0:0"}), FeatureConfig(add_elevation=True, add_airmass=True, add_parallactic_angle=True), sites=sites))
+    out = by_id(add_features(df, ParFile({"RAJ": "0:0:0", "DECJ": "0:0:0"}), options("covariates", elevation=True, airmass=True, parallactic=True), sites=sites))
     assert out["elevation_deg"].notna().tolist() == [True, False]
     text = parse_solar_text(spark, "noise\nSOLAR\t3.0\t200\nSOLAR\t1.0\t0\nSOLAR\t2.0\t45.0\n")
     zipped = by_id(aligned_by_order(series([2.0, 1.0, 3.0], [0.0] * 3, 1.0), text))
@@ -198,9 +198,9 @@ def test_whole_pipeline_settings_and_command_line(spark, series, tmp_path):
     assert res.df.count() == 60 and res.df.first()["grp"] == "EFF.PX.1400"
     with pytest.raises(RuntimeError, match="without a metadata record"):
         run_pipeline(spark, FrameSource(toas), meta.where("meta_id > 0"))
-    assert run_pipeline(spark, FrameSource(toas), meta.where("meta_id > 0"), cfg=PipelineConfig(drop_unmatched=True)).df.count() == 59
-    cfg = config_of(build_parser().parse_args(["--toas", "x", "--out", "y", "--step-min-points", "7", "--gate-enabled", "true", "--preproc-detrend-features", "a,b", "--step-min-span-days", "3"]))
-    assert cfg.step.min_points == 7 and cfg.gate.enabled and cfg.preproc.detrend_features == ("a", "b") and cfg.step.min_span_days == 3.0
+    assert run_pipeline(spark, FrameSource(toas), meta.where("meta_id > 0"), cfg=Settings(drop_unmatched=True)).df.count() == 59
+    cfg = config_of(build_parser().parse_args(["--toas", "x", "--out", "y", "--step-points", "7", "--gate-on", "true", "--preproc-detrend", "a,b", "--step-span-days", "3"]))
+    assert cfg.step.points == 7 and cfg.gate.on and cfg.preproc.detrend == ("a", "b") and cfg.step.span_days == 3.0
     write_settings(cfg, tmp_path / "t.toml")
     assert read_settings(tmp_path / "t.toml") == cfg and "[step]" in settings_text(cfg)
     toas.write.parquet(str(tmp_path / "toas.parquet"))
