@@ -17,7 +17,7 @@ from residua.operators.ou import bad_days, detect_bad, innovations
 from residua.operators.outliers import hard_limit, robust_outliers, sigma_gate
 from residua.operators.steps import best_steps, chromatic_scale, detect_dm_step, detect_global_step, detect_step
 from residua.operators.transients import detect_global_transients, detect_transients, scan_starts, transient_events
-from residua.sources.tables import SERIES_SQL, View, all_series_rows, series_rows
+from residua.sources.tables import SERIES_SQL, View, all_series_rows, over_all_rows, series_rows
 
 BACKEND = ["series_id", "grp"]
 SERIES = ["series_id"]
@@ -56,7 +56,7 @@ def hard_detector(spark: SparkSession, sf_dir: str, view: View = series_rows) ->
 
 HARD_SQL = """{cte},
 k as (select series_id, greatest(1.0::double, avg(abs(resid) / sigma)) as k from s group by series_id)
-select toa_id, round(k, 6) as k, round(abs(resid) / sigma, 6) as score, abs(resid) / sigma > 4 * k as bad_dm_dvt,
+select toa_id, round(k, 6) as k, round(abs(resid) / sigma, 6) as score, coalesce(abs(resid) / sigma > 4 * k, false) as bad_dm_dvt,
   case when abs(resid) / sigma > 4 * k then 'BAD_DM_DVT+20' else '' end as bad_dm_dvt_label from s join k using (series_id)
 """
 
@@ -66,7 +66,7 @@ def gate(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFram
     return out.select("toa_id", "outlier_gate_sigma", "outlier_gate_inlier", "bad_hard")
 
 
-GATE_SQL = "{cte} select toa_id, 3.0::double as outlier_gate_sigma, abs(resid) <= 3 * sigma as outlier_gate_inlier, not abs(resid) <= 3 * sigma as bad_hard from s"
+GATE_SQL = "{cte} select toa_id, 3.0::double as outlier_gate_sigma, coalesce(abs(resid) <= 3 * sigma, false) as outlier_gate_inlier, coalesce(not abs(resid) <= 3 * sigma, false) as bad_hard from s"
 
 
 def ou_innovations(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
@@ -75,11 +75,11 @@ def ou_innovations(spark: SparkSession, sf_dir: str, view: View = series_rows) -
 
 
 _OU = """{cte},
-l as (select *, lag(mjd) over w as pt, lag(resid) over w as py, lag(sigma) over w as psig from s window w as (partition by series_id, grp order by mjd, toa_id)),
+l as (select *, lag(mjd) over w as pt, lag(resid) over w as py, lag(sigma) over w as psig from s where mjd is not null and resid is not null and sigma is not null window w as (partition by series_id, grp order by mjd, toa_id)),
 f as (select *, case when pt is null then 0 else exp(-(mjd - pt) / 0.02) end as phi from l),
 v as (select toa_id, series_id, grp, mjd, day, resid - phi * coalesce(py, 0) as e, sigma * sigma + phi * phi * coalesce(psig, 0) * coalesce(psig, 0) as a, 1 - phi * phi as b from f)
 """
-OU_SQL = _OU + "select toa_id, cast(round(e * 1e12) as bigint) as e_ps, round(b, 6) as b, cast(round(sqrt(a) * 1e12) as bigint) as root_a_ps from v"
+OU_SQL = _OU + "select s.toa_id, cast(round(e * 1e12) as bigint) as e_ps, round(b, 6) as b, cast(round(sqrt(a) * 1e12) as bigint) as root_a_ps from s left join v using (toa_id)"
 
 
 def ou_bad_days(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
@@ -95,7 +95,7 @@ t as (select series_id, grp, day, max(az) as tmax, arg_min(toa_id, (-az, mjd, to
 p as (select *, {erfc_sql("tmax / sqrt(2e0)")} as p from t),
 k as (select *, row_number() over (partition by series_id, grp order by p) as k, count(*) over (partition by series_id, grp) as m from p),
 c as (select *, max(case when p <= 0.01 * k / m then p end) over (partition by series_id, grp) as cut from k)
-select z.toa_id, true as bad_day, z.toa_id = c.row_id as bad from z join c on z.series_id = c.series_id and z.grp = c.grp and z.day = c.day where c.p <= c.cut
+select s.toa_id, true as bad_day, s.toa_id = c.row_id as bad from s join c on s.series_id = c.series_id and s.grp = c.grp and s.day = c.day where c.p <= c.cut
 """
 
 
@@ -116,7 +116,7 @@ def dm_step_scan_group(spark: SparkSession, sf_dir: str, view: View = series_row
 
 
 _SCAN = """
-r{n} as (select *, resid * {f} as y, 1 / (sigma * {f} * sigma * {f}) as w from s),
+r{n} as (select *, resid * {f} as y, 1 / (sigma * {f} * sigma * {f}) as w from s where mjd is not null and resid is not null and sigma is not null and {f} is not null),
 c{n} as (select *, row_number() over o as i, count(*) over g as n, sum(w) over o - w as w1, sum(w * y) over o - w * y as y1, sum(w) over g as wa, sum(w * y) over g as ya, lag(mjd) over o as pt
   from r{n} window o as (partition by {k} order by mjd, toa_id), g as (partition by {k})),
 d{n} as (select *, (pt + mjd) / 2 as t0, (ya - y1) / (wa - w1) - y1 / w1 as amp from c{n} where i > 20 and n - i + 1 >= 20),
@@ -180,8 +180,9 @@ def transient_scan_candidates(spark: SparkSession, sf_dir: str, view: View = ser
 
 
 _CANDS = """
+k0 as (select * from s where mjd is not null and resid is not null and sigma is not null),
 c as (select a.toa_id, a.series_id, a.grp, a.mjd as t0, count(*) as n, sum(exp(-(b.mjd - a.mjd) / 7) * b.resid / (b.sigma * b.sigma)) as p, sum(exp(-2 * (b.mjd - a.mjd) / 7) / (b.sigma * b.sigma)) as q
-  from s a join s b on {on} and b.mjd between a.mjd and a.mjd + 35 group by all),
+  from k0 a join k0 b on {on} and b.mjd between a.mjd and a.mjd + 35 group by all),
 k as (select *, p / q as amp, p * p / q as delta_chi2 from c where n >= 6 and p * p / q >= 25)
 """
 _ON_BACKEND = "a.series_id = b.series_id and a.grp = b.grp"
@@ -230,8 +231,8 @@ GLOBAL_TRANSIENT_SQL = (
     "{rcte}," + _CANDS.format(on="a.series_id = b.series_id").replace("a.series_id, a.grp,", "a.series_id,")
     + _GREEDY.format(k="series_id", rk="series_id", gk="g.series_id", join="r.series_id = g.series_id", vk="r.series_id")
     + """,
-w as (select s.toa_id, s.series_id, s.grp, v.rank, v.t0, resid, sigma, exp(-(mjd - v.t0) / 7) as f from s join v on s.series_id = v.series_id and s.mjd between v.t0 and v.t0 + 35),
-a as (select series_id, grp, rank, sum(f * resid / (sigma * sigma)) / sum(f * f / (sigma * sigma)) as amp from w group by all having count(*) >= 2),
+w as (select s.toa_id, s.series_id, s.grp, v.rank, v.t0, resid, sigma, exp(-(mjd - v.t0) / 7) as f from s join v on s.series_id = v.series_id and s.mjd between v.t0 and v.t0 + 35 where sigma is not null),
+a as (select series_id, grp, rank, sum(f * resid / (sigma * sigma)) / sum(f * f / (sigma * sigma)) filter (where resid is not null) as amp from w group by all having count(resid) >= 2),
 m as (select w.*, amp, abs(amp * f) / sigma as z from w join a using (series_id, grp, rank) where abs(amp * f) / sigma > 1),
 n as (select series_id, grp, rank, count(*) as n, median(z) as zm from m group by all),
 x as (select toa_id, max((m.rank, amp, t0, n.n, zm)) as e from m join n using (series_id, grp, rank) group by toa_id)
@@ -252,7 +253,7 @@ QUERIES = {
         dm_step_membership, global_step_regroup, global_dm_step_regroup, transient_scan_candidates, transient_found, transient_membership, global_transient_regroup,
     )
 }
-#: the same over every row; without SQL, as the SQL of each query holds the filter of ``series_rows``
+#: the same over every row
 QUERIES |= {f"{k}_all_rows": partial(f, view=all_series_rows) for k, f in QUERIES.items()}
 SQL = {
     "robust_mad_group": _MAD.replace("{k}", _K).replace("{p}", "robust"),
@@ -273,3 +274,4 @@ SQL = {
     "global_transient_regroup": GLOBAL_TRANSIENT_SQL,
 }
 SQL = {k: _fill(v) for k, v in SQL.items()}
+SQL |= {f"{k}_all_rows": over_all_rows(v) for k, v in SQL.items() if f"{k}_all_rows" in QUERIES}

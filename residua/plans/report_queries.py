@@ -22,7 +22,7 @@ from residua.plans.feature_queries import STRUCTURE_SQL
 from residua.plans.report import backend_rates, dataset_summary, event_table, structure_table, top_groups
 from residua.plans.resolve import membership_mask, resolve
 from residua.session import checkpointed
-from residua.sources.tables import View, all_series_rows, series_rows, table
+from residua.sources.tables import View, all_series_rows, over_all_rows, series_rows, table
 
 PLAIN_DIP = options("dip", colour=False)
 
@@ -33,8 +33,9 @@ def exp_dip_achromatic(spark: SparkSession, sf_dir: str, view: View = series_row
 
 
 _DIPS = """
+k0 as (select * from s where mjd is not null and resid is not null and sigma is not null),
 c as (select a.toa_id, a.series_id, a.grp, a.mjd as t0, count(*) as n, max(b.mjd) as tl, sum(exp(-(b.mjd - a.mjd) / 30) * b.resid / (b.sigma * b.sigma)) as p, sum(exp(-2 * (b.mjd - a.mjd) / 30) / (b.sigma * b.sigma)) as q
-  from s a join s b on a.series_id = b.series_id and a.grp = b.grp and b.mjd between a.mjd and a.mjd + 150 group by all),
+  from k0 a join k0 b on a.series_id = b.series_id and a.grp = b.grp and b.mjd between a.mjd and a.mjd + 150 group by all),
 k as (select *, p / q as amp, p * p / q as delta_chi2 from c where n >= 6 and p < 0 and tl - t0 >= 21 and p * p / q >= 25)
 """
 _DIP_EVENTS = "{rcte}," + _DIPS + d._GREEDY_BACKEND.replace("35", "150")
@@ -168,3 +169,4 @@ SQL = {
     "exp_dip_achromatic": DIP_SQL, "exp_dip_membership": DIP_MEMBER_SQL, "flag_resolution": FLAG_SQL, "event_mask": MASK_SQL, "rates": RATES_SQL,
     "events": EVENT_TABLE_SQL, "structures": STRUCTURE_TABLE_SQL, "summary": SUMMARY_SQL, "largest_groups": LARGEST_SQL,
 }
+SQL |= {f"{k}_all_rows": over_all_rows(v) for k, v in SQL.items() if f"{k}_all_rows" in QUERIES}

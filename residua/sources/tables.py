@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 View = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +21,15 @@ from {toas} where mjd between 40000 and 70000 and abs(resid) < 1 and sigma > 0 a
 """
 
 
+#: every row, with unusable values as null; operators and queries leave out the rows that lack what they read
+ALL_SERIES_SQL = """
+select toa_id, psr as series_id, case when grp is null or upper(grp) like 'UNK%' then 'UNK' else grp end as grp, case when mjd between 40000 and 70000 then mjd end as mjd,
+  cast(floor(case when mjd between 40000 and 70000 then mjd end) as bigint) as day, case when freq > 0 and freq <= 100000 then freq end as freq,
+  case when sigma > 0 and sigma < 1 then sigma end as sigma, case when abs(resid) < 1 then resid end as resid,
+  case when orbital_phase between 0 and 1 then orbital_phase end as orbital_phase, solar_elongation_deg from {toas}
+"""
+
+
 def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """toas with usable measurements: one series per pulsar, groups within it."""
     return spark.sql(SERIES_SQL.format(toas="{src}"), src=table(spark, sf_dir, "toas"))
@@ -29,11 +37,12 @@ def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of toas with unusable values as null; each operator leaves out the rows that lack a column it reads."""
-    rows = table(spark, sf_dir, "toas")
-    known = {
-        "mjd": F.col("mjd").between(40000, 70000), "freq": (F.col("freq") > 0) & (F.col("freq") <= 100000), "sigma": (F.col("sigma") > 0) & (F.col("sigma") < 1),
-        "resid": F.abs("resid") < 1, "orbital_phase": F.col("orbital_phase").between(0, 1),
-    }
-    rows = rows.withColumns({c: F.when(ok, F.col(c)) for c, ok in known.items()})
-    grp = F.when(F.col("grp").isNull() | F.upper("grp").startswith("UNK"), F.lit("UNK")).otherwise(F.col("grp"))
-    return rows.select("toa_id", F.col("psr").alias("series_id"), grp.alias("grp"), "mjd", F.floor("mjd").alias("day"), "freq", "sigma", "resid", "orbital_phase", "solar_elongation_deg")
+    return spark.sql(ALL_SERIES_SQL.format(toas="{src}"), src=table(spark, sf_dir, "toas"))
+
+
+def over_all_rows(sql: str) -> str:
+    """The SQL of a query on ``series_rows``, over every row instead."""
+    narrow = SERIES_SQL.format(toas="toas")
+    if narrow not in sql:
+        raise ValueError("no series rows in the query")
+    return sql.replace(narrow, ALL_SERIES_SQL.format(toas="toas"))
