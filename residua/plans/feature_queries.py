@@ -119,7 +119,7 @@ def freq_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EDGES = "list_transform(range(0, {nb} + 1), lambda i: case when i = {nb} then hi else i * ((hi - lo) / {nb}) + lo end)"
 FREQ_BIN_SQL = CTE + f""", r as (select *, min(freq) over w as lo, max(freq) over w as hi from s window w as (partition by series_id))
-select toa_id, cast(case when lo = hi then 0 else greatest(0, least(len(list_filter({_EDGES.format(nb=8)}, lambda e: e <= freq)) - 1, 7)) end as integer) as freq_bin from r"""
+select toa_id, cast(case when lo is null then null when lo = hi then 0 when freq is null then 7 else greatest(0, least(len(list_filter({_EDGES.format(nb=8)}, lambda e: e <= freq)) - 1, 7)) end as integer) as freq_bin from r"""
 
 
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,14 +130,14 @@ def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _binned_sql(feature: str, circular: bool, k: str, nmin: int, n: str = "", y: str = "resid", src: str = "s") -> str:
     x = f"({feature} - floor({feature}))" if circular else feature
-    lo, hi = ("0e0", "1e0") if circular else ("min(x) over g", "max(x) over g")
+    lo, hi = ("0e0", "1e0") if circular else ("min(gx) over g", "max(gx) over g")
     nb = f"cast(case when lo = hi then 1 else least(12, greatest(3, n // {nmin})) end as bigint)"
     return f"""
-x{n} as (select *, {x} as x from {src}),
-g{n} as (select *, case when x is not null then {lo} end as lo, case when x is not null then {hi} end as hi, count(x) over g as n from x{n} window g as (partition by {k})),
+x{n} as (select *, {x} as x, case when {y} is not null and sigma is not null then {x} end as gx from {src}),
+g{n} as (select *, case when count(gx) over g > 0 then {lo} end as lo, case when count(gx) over g > 0 then {hi} end as hi, count(gx) over g as n from x{n} window g as (partition by {k})),
 e{n} as (select *, {nb} as nb from g{n}),
-t{n} as (select *, case when x is not null then greatest(0, least(len(list_filter({_EDGES.format(nb="nb")}, lambda e: e <= x)) - 1, nb - 1)) end as bin from e{n}),
-m{n} as (select {k}, bin, count(*) as c, sum({y} / (sigma * sigma)) / sum(1 / (sigma * sigma)) as mean, sum(1 / (sigma * sigma)) as w from t{n} where bin is not null group by all having count(*) >= {nmin})"""
+t{n} as (select *, case when x is not null and n > 0 then greatest(0, least(len(list_filter({_EDGES.format(nb="nb")}, lambda e: e <= x)) - 1, nb - 1)) end as bin from e{n}),
+m{n} as (select {k}, bin, count(*) as c, sum({y} / (sigma * sigma)) / sum(1 / (sigma * sigma)) as mean, sum(1 / (sigma * sigma)) as w from t{n} where bin is not null and gx is not null group by all having count(*) >= {nmin})"""
 
 
 def _tail_sql() -> str:
@@ -184,8 +184,8 @@ def preproc_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RESCALE_SQL = CTE + "," + _binned_sql("solar_elongation_deg", False, "series_id, grp", 5, "1") + """,
-d as (select *, case when bin is not null then median(resid) over (partition by series_id, grp, bin) end as med from t1),
-a as (select *, case when bin is not null then median(abs(resid - med)) over (partition by series_id, grp, bin) end as mad, count(*) over (partition by series_id, grp, bin) as c from d),
+d as (select *, case when bin is not null then median(case when gx is not null then resid end) over (partition by series_id, grp, bin) end as med from t1),
+a as (select *, case when bin is not null then median(case when gx is not null then abs(resid - med) end) over (partition by series_id, grp, bin) end as mad, count(gx) over (partition by series_id, grp, bin) as c from d),
 f as (select *, case when bin is not null and c >= 5 and mad > 0 then 1.4826 * mad else 1 end as sc from a)
 select toa_id, cast(round(resid / sc * 1e4) as bigint) as resid_proc_e4, round(sigma / sc, 4) as sigma_proc from f"""
 
@@ -197,7 +197,7 @@ def orbital_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CUT = """,
-d as (select *, least(abs(orbital_phase - 0.25), 1 - abs(orbital_phase - 0.25)) as d, abs(resid) / sigma as z from s where orbital_phase is not null),
+d as (select *, least(abs(orbital_phase - 0.25), 1 - abs(orbital_phase - 0.25)) as d, abs(resid) / sigma as z from s where orbital_phase is not null and resid is not null and sigma is not null),
 e as (select *, len(list_filter(list_transform(range(0, 19), lambda i: case when i = 18 then 0.5 else i * (0.5 / 18) end), lambda e: e <= d)) - 1 as bin from d),
 n as (select series_id from e group by 1 having count(*) >= 20),
 m as (select series_id, bin, median(z) as med, 0.5 * (bin * (0.5 / 18) + case when bin = 17 then 0.5 else (bin + 1) * (0.5 / 18) end) as c from e where bin < 18 group by all),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +20,13 @@ from residua.plans.feature_queries import STRUCTURE_SQL
 from residua.plans.report import backend_rates, dataset_summary, event_table, structure_table, top_groups
 from residua.plans.resolve import membership_mask, resolve
 from residua.session import checkpointed
-from residua.sources.tables import View, all_series_rows, over_all_rows, series_rows, table
+from residua.sources.tables import series_rows, table
 
 PLAIN_DIP = options("dip", colour=False)
 
 
-def exp_dip_achromatic(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    ev = dip_events(view(spark, sf_dir), BACKEND, PLAIN_DIP)
+def exp_dip_achromatic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = dip_events(series_rows(spark, sf_dir), BACKEND, PLAIN_DIP)
     return ev.select(*BACKEND, "toa_id", F.round("t0", 6).alias("t0"), ps("amp").alias("amp_ps"), F.round("delta_chi2", 2).alias("delta_chi2"), "rank")
 
 
@@ -42,8 +40,8 @@ _DIP_EVENTS = "{rcte}," + _DIPS + d._GREEDY_BACKEND.replace("35", "150")
 DIP_SQL = d._fill(_DIP_EVENTS + "select series_id, grp, toa_id, round(t0, 6) as t0, cast(round(amp * 1e12) as bigint) as amp_ps, round(delta_chi2, 2) as delta_chi2, rank from v")
 
 
-def exp_dip_membership(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = detect_dips(view(spark, sf_dir), BACKEND, PLAIN_DIP)
+def exp_dip_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = detect_dips(series_rows(spark, sf_dir), BACKEND, PLAIN_DIP)
     return out.select("toa_id", "exp_dip_global_id", F.round("exp_dip_global_t0", 6).alias("exp_dip_global_t0"), "exp_dip_member")
 
 
@@ -53,37 +51,37 @@ m as (select s.toa_id, max((v.rank, v.t0)) as e from s join v on s.series_id = v
 select s.toa_id, coalesce(e[1], -1) as exp_dip_global_id, round(e[2], 6) as exp_dip_global_t0, e is not null as exp_dip_member from s left join m using (toa_id)""")
 
 
-def exp_dip_chromatic(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    ev = dip_events(view(spark, sf_dir), SERIES, options("dip"))
+def exp_dip_chromatic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = dip_events(series_rows(spark, sf_dir), SERIES, options("dip"))
     return ev.select(*SERIES, "toa_id", F.round("t0", 6).alias("t0"), F.round("alpha", 2).alias("alpha"), F.round("delta_chi2", 1).alias("delta_chi2"), "rank")
 
 
-def solar_event(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = detect_solar(view(spark, sf_dir), SERIES, options("solar", on=True))
+def solar_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = detect_solar(series_rows(spark, sf_dir), SERIES, options("solar", on=True))
     p = "solar_event"
     return out.select("toa_id", f"{p}_year", F.round(f"{p}_tau", 2).alias(f"{p}_tau"), F.round(f"{p}_alpha", 2).alias(f"{p}_alpha"), F.round(f"{p}_delta_chi2", 1).alias(f"{p}_delta_chi2"), f"{p}_member")
 
 
-def eclipse_event(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = detect_eclipse(view(spark, sf_dir), SERIES, options("eclipse", on=True))
+def eclipse_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = detect_eclipse(series_rows(spark, sf_dir), SERIES, options("eclipse", on=True))
     p = "eclipse_event"
     return out.select("toa_id", F.round(f"{p}_width", 3).alias(f"{p}_width"), F.round(f"{p}_alpha", 2).alias(f"{p}_alpha"), F.round(f"{p}_delta_chi2", 1).alias(f"{p}_delta_chi2"), f"{p}_member")
 
 
-def gaussian_bump(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = detect_bumps(view(spark, sf_dir), BACKEND, options("bump", on=True, colour=False))
+def gaussian_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = detect_bumps(series_rows(spark, sf_dir), BACKEND, options("bump", on=True, colour=False))
     p = "gaussian_bump"
     return out.select("toa_id", f"{p}_id", f"{p}_model", F.round(f"{p}_t0", 6).alias(f"{p}_t0"), f"{p}_duration_days", F.round(f"{p}_delta_chi2", 1).alias(f"{p}_delta_chi2"), f"{p}_member")
 
 
-def glitch(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = detect_glitches(view(spark, sf_dir), BACKEND, options("glitch", on=True, least_days=100.0))
+def glitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = detect_glitches(series_rows(spark, sf_dir), BACKEND, options("glitch", on=True, least_days=100.0))
     return out.select("toa_id", "glitch_id", "glitch_model", F.round("glitch_t0", 6).alias("glitch_t0"), F.round("glitch_delta_chi2", 1).alias("glitch_delta_chi2"), "glitch_member")
 
 
-def _annotated(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust and hard outliers, steps and transients of each group, resolved."""
-    rows = view(spark, sf_dir)
+    rows = series_rows(spark, sf_dir)
     had = set(rows.columns)
     out = rows
     for made in (robust_outliers(rows, BACKEND), hard_limit(rows, SERIES), detect_step(rows, BACKEND), detect_transients(rows, BACKEND)):
@@ -91,8 +89,8 @@ def _annotated(spark: SparkSession, sf_dir: str, view: View = series_rows) -> Da
     return resolve(out)
 
 
-def flag_resolution(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    return _annotated(spark, sf_dir, view).select("toa_id", "bad_mad", "bad_dm_dvt", "bad_point", "event_member", "outlier_any")
+def flag_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _annotated(spark, sf_dir).select("toa_id", "bad_mad", "bad_dm_dvt", "bad_point", "event_member", "outlier_any")
 
 
 _FLAGS = f"""
@@ -105,8 +103,8 @@ fl as (select toa_id, bad_mad, bad_dm_dvt, bad_point, ev and not bad_point as ev
 FLAG_SQL = "with" + _FLAGS + "select toa_id, bad_mad, bad_dm_dvt, bad_point, event_member, outlier_any from fl"
 
 
-def event_mask(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    rows = view(spark, sf_dir)
+def event_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series_rows(spark, sf_dir)
     out = detect_step(rows, BACKEND).join(detect_transients(rows, BACKEND).select("toa_id", "transient_id"), "toa_id")
     return out.select("toa_id", membership_mask(out).alias("member"), membership_mask(out, use_applicable=True).alias("member_or_applicable"))
 
@@ -115,8 +113,8 @@ MASK_SQL = f"""select toa_id, step_informative or transient_id >= 0 as member, s
 from ({d.SQL["step_membership"]}) st join ({d.SQL["transient_membership"]}) t using (toa_id)"""
 
 
-def rates(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = backend_rates(_annotated(spark, sf_dir, view), BACKEND)
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backend_rates(_annotated(spark, sf_dir), BACKEND)
     return out.select(*BACKEND, "n", "n_bad_point", "n_event_member", F.round("rate_outlier_any", 6).alias("rate_outlier_any"))
 
 
@@ -124,17 +122,17 @@ RATES_SQL = CTE + "," + _FLAGS + """select series_id, grp, count(*) as n, count(
 round(avg(case when outlier_any then 1e0 else 0e0 end), 6) as rate_outlier_any from s join fl using (toa_id) group by all"""
 
 
-def events(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
-    out = event_table(detect_transients(view(spark, sf_dir), BACKEND), BACKEND)
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = event_table(detect_transients(series_rows(spark, sf_dir), BACKEND), BACKEND)
     return out.select(*BACKEND, "transient_id", F.round("transient_t0", 6).alias("transient_t0"), "n_members")
 
 
 EVENT_TABLE_SQL = f"""{CTE} select series_id, grp, transient_id, min(transient_t0) as transient_t0, count(*) as n_members from s join ({d.SQL["transient_membership"]}) t using (toa_id) where transient_id >= 0 group by all"""
 
 
-def structures(spark: SparkSession, sf_dir: str, view: View = series_rows) -> DataFrame:
+def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = options("structure", mode="test")
-    out = structure_table(checkpointed(with_structure(view(spark, sf_dir), BACKEND, cfg)), BACKEND, cfg.test)
+    out = structure_table(checkpointed(with_structure(series_rows(spark, sf_dir), BACKEND, cfg)), BACKEND, cfg.test)
     return out.select(*BACKEND, "feature", F.round("chi2", 3).alias("chi2"), F.col("dof").cast("bigint").alias("dof"), F.round("p", 6).alias("p"), "present")
 
 
@@ -164,9 +162,7 @@ QUERIES = {
         structures, summary, largest_groups,
     )
 }
-QUERIES |= {f"{k}_all_rows": partial(f, view=all_series_rows) for k, f in QUERIES.items() if k not in ("summary", "largest_groups")}
 SQL = {
     "exp_dip_achromatic": DIP_SQL, "exp_dip_membership": DIP_MEMBER_SQL, "flag_resolution": FLAG_SQL, "event_mask": MASK_SQL, "rates": RATES_SQL,
     "events": EVENT_TABLE_SQL, "structures": STRUCTURE_TABLE_SQL, "summary": SUMMARY_SQL, "largest_groups": LARGEST_SQL,
 }
-SQL |= {f"{k}_all_rows": over_all_rows(v) for k, v in SQL.items() if f"{k}_all_rows" in QUERIES}

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-View = Callable[[SparkSession, str], DataFrame]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: the timing rows as a clean series, in SQL that Spark and other engines read alike
+#: every timing row as a row of a series, with unusable values as null, in SQL that Spark and other engines read alike;
+#: operators and queries leave out only the rows that lack what they read
 SERIES_SQL = """
-select toa_id, psr as series_id, case when grp is null or upper(grp) like 'UNK%' then 'UNK' else grp end as grp, mjd, cast(floor(mjd) as bigint) as day,
-  freq, sigma, resid, case when orbital_phase between 0 and 1 then orbital_phase end as orbital_phase, solar_elongation_deg
-from {toas} where mjd between 40000 and 70000 and abs(resid) < 1 and sigma > 0 and sigma < 1 and freq > 0 and freq <= 100000
-"""
-
-
-#: every row, with unusable values as null; operators and queries leave out the rows that lack what they read
-ALL_SERIES_SQL = """
 select toa_id, psr as series_id, case when grp is null or upper(grp) like 'UNK%' then 'UNK' else grp end as grp, case when mjd between 40000 and 70000 then mjd end as mjd,
   cast(floor(case when mjd between 40000 and 70000 then mjd end) as bigint) as day, case when freq > 0 and freq <= 100000 then freq end as freq,
   case when sigma > 0 and sigma < 1 then sigma end as sigma, case when abs(resid) < 1 then resid end as resid,
@@ -31,18 +19,5 @@ select toa_id, psr as series_id, case when grp is null or upper(grp) like 'UNK%'
 
 
 def series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """toas with usable measurements: one series per pulsar, groups within it."""
+    """toas as one series per pulsar, groups within it."""
     return spark.sql(SERIES_SQL.format(toas="{src}"), src=table(spark, sf_dir, "toas"))
-
-
-def all_series_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of toas with unusable values as null; each operator leaves out the rows that lack a column it reads."""
-    return spark.sql(ALL_SERIES_SQL.format(toas="{src}"), src=table(spark, sf_dir, "toas"))
-
-
-def over_all_rows(sql: str) -> str:
-    """The SQL of a query on ``series_rows``, over every row instead."""
-    narrow = SERIES_SQL.format(toas="toas")
-    if narrow not in sql:
-        raise ValueError("no series rows in the query")
-    return sql.replace(narrow, ALL_SERIES_SQL.format(toas="toas"))

@@ -26,7 +26,7 @@ def by_id(df):
 
 def test_robust_mad_uses_every_resid(spark, toas):
     path, pdf = toas
-    got = by_id(queries()["robust_mad_group_all_rows"](spark, path))
+    got = by_id(queries()["robust_mad_group"](spark, path))
     y = pdf["resid"].to_numpy()
     dev = y - np.nanmedian(y)
     z = 0.6745 * dev / np.nanmedian(np.abs(dev))
@@ -37,12 +37,12 @@ def test_robust_mad_uses_every_resid(spark, toas):
 def test_each_operator_leaves_out_only_what_it_lacks(spark, toas):
     path, _ = toas
     q = queries()
-    hard = by_id(q["hard_detector_all_rows"](spark, path))
+    hard = by_id(q["hard_detector"](spark, path))
     assert hard[6]["bad_dm_dvt"] and hard[5]["score"] is not None and hard[7]["score"] is None and hard[9]["score"] is not None
-    assert by_id(q["gate_all_rows"](spark, path))[6]["bad_hard"]
-    ou = by_id(q["ou_innovations_all_rows"](spark, path))
+    assert by_id(q["gate"](spark, path))[6]["bad_hard"]
+    ou = by_id(q["ou_innovations"](spark, path))
     assert len(ou) == N and {i for i in ou if ou[i]["e_ps"] is None} == {7, 8, 9}
-    assert q["step_membership_all_rows"](spark, path).count() == q["flag_resolution_all_rows"](spark, path).count() == N
+    assert q["step_membership"](spark, path).count() == q["flag_resolution"](spark, path).count() == N
 
 
 def test_a_row_without_value_is_no_predecessor(series):
