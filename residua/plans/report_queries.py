@@ -79,7 +79,7 @@ def glitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("toa_id", "glitch_id", "glitch_model", F.round("glitch_t0", 6).alias("glitch_t0"), F.round("glitch_delta_chi2", 1).alias("glitch_delta_chi2"), "glitch_member")
 
 
-def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust and hard outliers, steps and transients of each group, resolved."""
     rows = series_rows(spark, sf_dir)
     had = set(rows.columns)
@@ -90,17 +90,17 @@ def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flag_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _annotated(spark, sf_dir).select("toa_id", "bad_mad", "bad_dm_dvt", "bad_point", "event_member", "outlier_any")
+    return annotated(spark, sf_dir).select("toa_id", "bad_mad", "bad_dm_dvt", "bad_point", "event_member", "outlier_any")
 
 
-_FLAGS = f"""
+FLAGS = f"""
 a as (select r.toa_id, robust_outlier, h.bad_dm_dvt, step_applicable, step_informative, transient_id >= 0 as tr
   from ({d.SQL["robust_mad_group"]}) r join ({d.SQL["hard_detector"]}) h using (toa_id) join ({d.SQL["step_membership"]}) st using (toa_id) join ({d.SQL["transient_membership"]}) t using (toa_id)),
 f as (select *, step_applicable or tr as claimed from a),
 g as (select toa_id, robust_outlier and not claimed as bad_mad, bad_dm_dvt, (robust_outlier or bad_dm_dvt) and not claimed as bad_point, step_informative or tr as ev, tr from f),
 fl as (select toa_id, bad_mad, bad_dm_dvt, bad_point, ev and not bad_point as event_member, bad_point or (ev and not bad_point) as outlier_any, tr from g)
 """
-FLAG_SQL = "with" + _FLAGS + "select toa_id, bad_mad, bad_dm_dvt, bad_point, event_member, outlier_any from fl"
+FLAG_SQL = "with" + FLAGS + "select toa_id, bad_mad, bad_dm_dvt, bad_point, event_member, outlier_any from fl"
 
 
 def event_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +114,11 @@ from ({d.SQL["step_membership"]}) st join ({d.SQL["transient_membership"]}) t us
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = backend_rates(_annotated(spark, sf_dir), BACKEND)
+    out = backend_rates(annotated(spark, sf_dir), BACKEND)
     return out.select(*BACKEND, "n", "n_bad_point", "n_event_member", F.round("rate_outlier_any", 6).alias("rate_outlier_any"))
 
 
-RATES_SQL = CTE + "," + _FLAGS + """select series_id, grp, count(*) as n, count(*) filter (where bad_point) as n_bad_point, count(*) filter (where event_member) as n_event_member,
+RATES_SQL = CTE + "," + FLAGS + """select series_id, grp, count(*) as n, count(*) filter (where bad_point) as n_bad_point, count(*) filter (where event_member) as n_event_member,
 round(avg(case when outlier_any then 1e0 else 0e0 end), 6) as rate_outlier_any from s join fl using (toa_id) group by all"""
 
 
