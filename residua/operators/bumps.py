@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,27 +85,26 @@ def bump_events(df: DataFrame, keys: list[str], cfg: Options = options("bump", o
         out = pd.DataFrame({row_id: pdf["_id"].to_numpy()[at], "t0": t[at], "duration": length, "model": np.array([g[1] for g in got], object), "amp": np.array([g[2] for g in got], float) * (mid ** np.nan_to_num(alpha)), "alpha": alpha, "delta_chi2": [g[4] for g in got]})
         for k in keys:
             out[k] = np.full(len(out), pdf[k].iloc[0])
-        return out[[*keys, *names]]
-
-    found = rows.groupBy(*keys, "_len", "_b").applyInPandas(scan, cand)
-
-    def choose(both: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(both["_t"].dropna().to_numpy(float))
-        cands = both[both["_t"].isna()].sort_values(["delta_chi2", "t0", row_id, "duration"], ascending=[False, True, True, True], kind="stable")
-        a = np.searchsorted(t, (cands["t0"] - cands["duration"] / 2).to_numpy(float), "left")
-        b = np.searchsorted(t, (cands["t0"] + cands["duration"] / 2).to_numpy(float), "right")
-        taken, kept = np.zeros(len(t), bool), []
-        for i in range(len(cands)):
-            if cfg.exclusive and taken[a[i] : b[i]].any():
-                continue
-            taken[a[i] : b[i]] = True
+        out["_a"], out["_z"] = t[np.searchsorted(t, t[at] - length / 2, "left")], t[np.searchsorted(t, t[at] + length / 2, "right") - 1]
+        return out[[*keys, *names, "_a", "_z"]]
+
+    found = rows.groupBy(*keys, "_len", "_b").applyInPandas(scan, f"{cand}, _a double, _z double")
+
+    def choose(cands: pd.DataFrame) -> pd.DataFrame:
+        cands = cands.sort_values(["delta_chi2", "t0", row_id, "duration"], ascending=[False, True, True, True], kind="stable")
+        kept, begins, ends = [], [], []  # kept windows share no row, so they are in order
+        for i, (a, z) in enumerate(zip(cands["_a"].tolist(), cands["_z"].tolist())):
+            if cfg.exclusive:
+                k = bisect.bisect_left(ends, a)
+                if k < len(begins) and begins[k] <= z:
+                    continue
+                begins.insert(k, a)
+                ends.insert(k, z)
             kept.append(i)
-        out = {c: cands[c].to_numpy()[kept] for c in (*keys, *names)}
-        return pd.DataFrame({**out, "rank": np.arange(len(kept), dtype=np.int32)})
+        return cands.iloc[kept].drop(columns=["_a", "_z"]).assign(rank=np.arange(len(kept), dtype=np.int32))
 
-    # candidates and row times of a series in one group
-    both = found.unionByName(base.select(*keys, "_t"), allowMissingColumns=True)
-    return both.groupBy(*keys).applyInPandas(choose, f"{cand}, rank int")
+    # accepted candidates only: two windows share a row if their first and last rows overlap
+    return found.groupBy(*keys).applyInPandas(choose, f"{cand}, rank int")
 
 
 def detect_bumps(df: DataFrame, keys: list[str], cfg: Options = options("bump", on=True), *, exclude: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:

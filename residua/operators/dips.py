@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from residua.options import Options, options
 from residua.functions.stats import golden_max
-from residua.operators.transients import event_rows, keep_best
+from residua.operators.transients import event_rows, keep_best, scan_starts
 
 
 def _dip(y: np.ndarray, w: np.ndarray, f: np.ndarray) -> tuple[float, float]:
@@ -49,10 +49,15 @@ def chunk_dips(t: np.ndarray, y: np.ndarray, w: np.ndarray, freq: np.ndarray, ow
 def dip_events(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
     """(keys, row_id, t0, amp, alpha, delta_chi2, rank) of the kept dips.
 
-    Rows go to their time bucket of the window's length and, as followers, to
-    the one before, so each bucket is scanned by itself.
+    Without a frequency dependence all starts are scanned with running sums.
+    Else rows go to their time bucket of the window's length and, as followers,
+    to the one before, and each bucket is searched by itself.
     """
     width = cfg.reach * cfg.decay_days
+    if not cfg.colour:  # the template splits into a factor of the row and one of the start
+        found = scan_starts(df, keys, tau=cfg.decay_days, width=width, min_points=cfg.points, threshold=cfg.gain, use=use, resid=resid, sigma=sigma, time=time, row_id=row_id)
+        found = found.where((F.col("amp") < 0) & (F.col("last") - F.col("t0") >= cfg.least_days)).drop("n", "last").withColumn("alpha", F.lit(None).cast("double"))
+        return keep_best(found.select(*keys, row_id, "t0", "amp", "alpha", "delta_chi2"), keys, width, row_id=row_id, suppress=cfg.exclusive)
     ok = F.col(time).isNotNull() & F.col(resid).isNotNull() & (F.col(sigma) > 0)
     if cfg.colour:
         ok = ok & F.col(freq).isNotNull() & (F.col(freq) > 0)

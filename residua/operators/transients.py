@@ -12,18 +12,20 @@ from __future__ import annotations
 
 import bisect
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from residua.options import Options, options
-from residua.operators.blocks import exact_median, previous_rows, small
+from residua.operators.blocks import exact_median, small
 
 
 def scan_starts(df: DataFrame, keys: list[str], *, tau: float, width: float, min_points: int, threshold: float, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
-    """(keys, row_id, t0, amp, delta_chi2, n) of each used row whose window [t0, t0 + width] reaches the threshold.
+    """(keys, row_id, t0, amp, delta_chi2, n, last) of each used row whose window [t0, t0 + width] reaches the threshold.
 
-    amp = sum(w f y)/sum(w f^2), delta_chi2 = (sum w f y)^2 / sum(w f^2).
+    amp = sum(w f y)/sum(w f^2), delta_chi2 = (sum w f y)^2 / sum(w f^2); last is
+    the time of the window's last row.
     Rows with a null time or value, or without a positive sigma, are not used.
     """
     s = F.col(sigma)
@@ -39,49 +41,90 @@ def scan_starts(df: DataFrame, keys: list[str], *, tau: float, width: float, min
     data = F.col("_kind") == 1
     w = Window.partitionBy(*keys, "_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     run = placed.withColumns({
+        "_l": F.max(F.when(data, F.col("_t"))).over(w),
         "_c": F.sum(F.when(data, F.lit(1)).otherwise(0)).over(w),
         "_p": F.sum(F.when(data, F.col("_w") * F.col("_y") * F.exp(-x)).otherwise(0.0)).over(w),
         "_q": F.sum(F.when(data, F.col("_w") * F.exp(-2 * x)).otherwise(0.0)).over(w),
     })
     sign = F.col("_kind") - 1
-    got = run.where(~data).groupBy(*keys, "_b", "_id", "_t").agg(*[F.sum(sign * F.col(c)).alias(c) for c in ("_c", "_p", "_q")])
+    got = run.where(~data).groupBy(*keys, "_b", "_id", "_t").agg(*[F.sum(sign * F.col(c)).alias(c) for c in ("_c", "_p", "_q")], F.max("_l").alias("_l"))
     shift = F.exp((F.col("_t") - F.col("_b") * F.lit(width)) / F.lit(tau))
     num, den = shift * F.col("_p"), shift * shift * F.col("_q")
     out = got.where((F.col("_c") >= min_points) & (F.col("_q") > 0)).select(
-        *keys, F.col("_id").alias(row_id), F.col("_t").alias("t0"), (num / den).alias("amp"), (num * num / den).alias("delta_chi2"), F.col("_c").alias("n")
+        *keys, F.col("_id").alias(row_id), F.col("_t").alias("t0"), (num / den).alias("amp"), (num * num / den).alias("delta_chi2"), F.col("_c").alias("n"), F.col("_l").alias("last")
     )
     return out.where(F.col("delta_chi2") >= threshold)
 
 
+#: windows that a bucket of the choice among candidates spans
+BUCKET_WINDOWS = 16
+
+
+def settle(t: list[float], score: list[float], ident: list, kept: list[bool], width: float, low: float | None = None, high: float | None = None) -> list[bool | None]:
+    """Greedy choice by falling score (then time, id) among candidates that are no further apart than ``width``.
+
+    Gives for each candidate True (kept), False (dropped) or None (not known
+    yet): candidates outside [low, high) may be there that are not seen.
+    ``kept`` marks those that are kept already.
+    """
+    state: list[bool | None] = [True if k else None for k in kept]
+    sure = sorted(x for x, k in zip(t, kept) if k)
+    open_: list[float] = []
+
+    def near(times: list[float], x: float) -> bool:
+        k = bisect.bisect_left(times, x - width)
+        return k < len(times) and times[k] <= x + width
+
+    for i in sorted((i for i, k in enumerate(kept) if not k), key=lambda i: (-score[i], t[i], ident[i])):
+        x = t[i]
+        if near(sure, x):
+            state[i] = False
+        elif near(open_, x) or (low is not None and (x - width < low or x + width >= high)):
+            bisect.insort(open_, x)
+        else:
+            state[i] = True
+            bisect.insort(sure, x)
+    return state
+
+
 def keep_best(cands: DataFrame, keys: list[str], width: float, *, row_id: str = "toa_id", suppress: bool = True) -> DataFrame:
     """Greedy choice by falling delta_chi2 (then t0, row id) of candidates whose windows share no start; adds ``rank`` from 0.
 
-    Candidates further apart than the window never meet, so each chain of
-    nearer ones is settled by itself, in parallel.
+    Candidates are settled in time buckets, where all but those that depend on
+    what lies beyond a bucket's ends are decided; these are looked at again in
+    buckets shifted by half, and what then is left, with the kept ones, per
+    series.  The result is that of one pass over the whole series, but no task
+    sees all its candidates.
     """
-    if suppress:
-        at = previous_rows(cands, keys, "t0", row_id, ["t0"], days=max(width * 8, 1.0))
-        new = (F.col("prev_t0").isNull() | (F.col("t0") - F.col("prev_t0") > width)).cast("int")
-        chains = at.withColumn("_new", new)
-        chain = F.sum("_new").over(Window.partitionBy(*keys).orderBy("t0", row_id).rowsBetween(Window.unboundedPreceding, 0))
-        chains = chains.withColumn("_chain", chain).drop("prev_t0", "_new")
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["delta_chi2", "t0", row_id], ascending=[False, True, True], kind="stable")
-            kept, times = [], []
-            for i, t in enumerate(pdf["t0"].tolist()):
-                k = bisect.bisect_left(times, t - width)
-                if k < len(times) and times[k] <= t + width:
-                    continue
-                bisect.insort(times, t)
-                kept.append(i)
-            return pdf.iloc[kept].drop(columns="_g")
-
-        spread = chains.withColumn("_g", F.pmod("_chain", F.lit(64))).drop("_chain")
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema.fields if f.name != "_g")
-        cands = spread.groupBy(*keys, "_g").applyInPandas(one, fields)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("delta_chi2"), "t0", row_id)) - 1
-    return cands.withColumn("rank", rank)
+    if not suppress:
+        return cands.withColumn("rank", rank)
+    span = width * BUCKET_WINDOWS
+    schema = T.StructType([*cands.schema.fields, T.StructField("_kept", T.BooleanType())])
+    ranked = T.StructType([*cands.schema.fields, T.StructField("rank", T.IntegerType())])
+
+    def in_bucket(shift: float):
+        def one(key, table):
+            low = key[-1].as_py() * span + shift
+            return settled(table.drop_columns(["_b"]), low, low + span)
+
+        return one
+
+    def settled(table, low=None, high=None):
+        state = settle(*(table.column(c).to_pylist() for c in ("t0", "delta_chi2", row_id, "_kept")), width, low, high)
+        at = pa.array([i for i, s in enumerate(state) if s is not False], pa.int64())
+        return table.take(at).set_column(table.column_names.index("_kept"), "_kept", pa.array([bool(s) for s in state if s is not False], pa.bool_()))
+
+    def in_series(key, table):
+        done = settled(table)
+        score, t0, ident = (done.column(c).to_pylist() for c in ("delta_chi2", "t0", row_id))
+        order = sorted(range(done.num_rows), key=lambda i: (-score[i], t0[i], ident[i]))
+        return done.take(pa.array(order, pa.int64())).set_column(done.column_names.index("_kept"), "rank", pa.array(range(done.num_rows), pa.int32()))
+
+    out = cands.withColumn("_kept", F.lit(False))
+    for shift in (0.0, span / 2):
+        out = out.withColumn("_b", F.floor((F.col("t0") - F.lit(shift)) / F.lit(span))).groupBy(*keys, "_b").applyInArrow(in_bucket(shift), schema)
+    return out.groupBy(*keys).applyInArrow(in_series, ranked)
 
 
 def event_rows(df: DataFrame, events: DataFrame, keys: list[str], width: float, *, time: str = "mjd") -> DataFrame:

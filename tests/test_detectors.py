@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from residua.options import options
@@ -302,3 +303,23 @@ def test_bump(series, chromatic):
         assert ev["alpha"] == pytest.approx(2, abs=0.1)
     out = by_id(detect_bumps(series(t, y, 0.1, freq=f), ["series_id"], cfg))
     assert out.loc[np.abs(t - ev["t0"]) < 10, "gaussian_bump_member"].all()
+
+
+# --- choice among overlapping candidates -----------------------------------------------
+
+
+@pytest.mark.parametrize("width", [3.0, 11.0])
+def test_choice_in_buckets_is_that_of_one_pass(spark, width):
+    """Unbroken chains of candidates over many buckets, with ties in score and time."""
+    rng = np.random.default_rng(int(width))
+    n = 3000
+    t = np.sort(rng.choice(np.round(np.linspace(0, 1500, 1800), 2), n))
+    score = rng.choice([rng.uniform(25, 99, n).round(0), 25 + 40 * np.abs(np.sin(t / 17)).round(2)])
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "s", "toa_id": np.arange(n), "t0": t, "delta_chi2": score}))
+    kept = []
+    for i in sorted(range(n), key=lambda i: (-score[i], t[i], i)):
+        if all(abs(t[i] - t[j]) > width for j in kept):
+            kept.append(i)
+    got = keep_best(df, ["series_id"], width).collect()
+    assert [r["toa_id"] for r in sorted(got, key=lambda r: r["rank"])] == kept
+    assert keep_best(df, ["series_id"], width, suppress=False).count() == n
