@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from residua.options import options
 from residua.functions.stats import erfc_sql
+from residua.operators.blocks import exact_median
 from residua.operators.ou import bad_days, detect_bad, innovations
 from residua.operators.outliers import hard_limit, robust_outliers, sigma_gate
 from residua.operators.steps import best_steps, chromatic_scale, detect_dm_step, detect_global_step, detect_step
@@ -103,6 +104,23 @@ def ou_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("toa_id", F.round("z", 4).alias("z"), F.round(F.sqrt("_q_hat") * 1e12).cast("bigint").alias("root_q_ps"), "bad_day", "bad")
 
 
+def ou_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per group how its noise came out: none, fitted (the robust spread of the innovations is 1) or at the bound of the search (above 1)."""
+    made = detect_bad(series_rows(spark, sf_dir), BACKEND).where("z is not null").withColumn("_s2", F.col("sigma") * F.col("sigma"))
+    off = made.join(exact_median(made, BACKEND, "z", "_m"), BACKEND).withColumn("_off", F.abs(F.col("z") - F.col("_m")))
+    per = made.groupBy(*BACKEND).agg(F.max("_q_hat").alias("_q")).join(exact_median(off, BACKEND, "_off", "_mad"), BACKEND).join(exact_median(made, BACKEND, "_s2", "_top"), BACKEND)
+    spread = 1.4826 * F.col("_mad")
+    at_bound = (F.abs(F.col("_q") / (100 * F.col("_top")) - 1) < 1e-9) & (spread > 1)
+    state = F.when(F.col("_q") == 0, "none").when(F.abs(spread - 1) < 1e-6, "fitted").when(at_bound, "bound").otherwise("off")
+    return per.select(*BACKEND, state.alias("noise"))
+
+
+NOISE_SQL = _OU.replace("1 - phi * phi as b from f", "1 - phi * phi as b, sigma from f") + """,
+t as (select series_id, grp, 100 * median(sigma * sigma) as top, count(*) as n from v group by all),
+m as (select series_id, grp, any_value(n) as n, 1.4826 * mad(e / sqrt(a)) as low, 1.4826 * mad(e / sqrt(a + top * b)) as high from v join t using (series_id, grp) group by all)
+select series_id, grp, case when n < 10 or low <= 1 then 'none' when high > 1 then 'bound' else 'fitted' end as noise from m"""
+
+
 def step_scan_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = best_steps(series_rows(spark, sf_dir), BACKEND, STEP)
     return ev.select(*BACKEND, F.round("t0", 6).alias("t0"), ps("amp").alias("amp_ps"), F.round("delta_chi2", 3).alias("delta_chi2"))
@@ -247,7 +265,7 @@ def _fill(sql: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        robust_mad_group, robust_mad_global, hard_detector, gate, ou_innovations, ou_bad_days, ou_detect, step_scan_group, dm_step_scan_group, step_membership,
+        robust_mad_group, robust_mad_global, hard_detector, gate, ou_innovations, ou_bad_days, ou_detect, ou_noise, step_scan_group, dm_step_scan_group, step_membership,
         dm_step_membership, global_step_regroup, global_dm_step_regroup, transient_scan_candidates, transient_found, transient_membership, global_transient_regroup,
     )
 }
@@ -258,6 +276,7 @@ SQL = {
     "gate": GATE_SQL,
     "ou_innovations": OU_SQL,
     "ou_bad_days": OU_BAD_SQL,
+    "ou_noise": NOISE_SQL,
     "step_scan_group": STEP_SQL,
     "dm_step_scan_group": DM_STEP_SQL,
     "step_membership": STEP_MEMBERS_SQL,

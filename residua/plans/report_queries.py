@@ -68,17 +68,92 @@ def eclipse_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("toa_id", F.round(f"{p}_width", 3).alias(f"{p}_width"), F.round(f"{p}_alpha", 2).alias(f"{p}_alpha"), F.round(f"{p}_delta_chi2", 1).alias(f"{p}_delta_chi2"), f"{p}_member")
 
 
-def gaussian_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = detect_bumps(series_rows(spark, sf_dir), BACKEND, options("bump", on=True, colour=False))
+def _bump_out(out: DataFrame) -> DataFrame:
     p = "gaussian_bump"
     return out.select("toa_id", f"{p}_id", f"{p}_model", F.round(f"{p}_t0", 6).alias(f"{p}_t0"), f"{p}_duration_days", F.round(f"{p}_delta_chi2", 1).alias(f"{p}_delta_chi2"), f"{p}_member")
 
 
-def glitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = detect_glitches(series_rows(spark, sf_dir), BACKEND, options("glitch", on=True, least_days=100.0))
+def gaussian_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bumps of each group without a frequency dependence."""
+    return _bump_out(detect_bumps(series_rows(spark, sf_dir), BACKEND, options("bump", on=True, colour=False)))
+
+
+_TIMES = ", ".join(f"{60 + i * (1500 - 60) / 5!r}e0" for i in range(6))
+_SHAPE = {
+    "gaussian": "exp(-0.5 * pow(abs({t} - {c}) / ({l} / 6), 2))", "laplace": "exp(-abs({t} - {c}) / ({l} / 6))", "plateau": "exp(-greatest(0, abs({t} - {c}) - {l} / 6) / ({l} / 10))",
+}
+_shape_sums = ", ".join(f"sum({f} * b.resid / (b.sigma * b.sigma)) as p_{k}, sum({f} * {f} / (b.sigma * b.sigma)) as q_{k}" for k, f in ((k, v.format(t="b.mjd", c="a.mjd", l="l")) for k, v in _SHAPE.items()))
+_gain = {k: f"p_{k} * p_{k} / q_{k}" for k in _SHAPE}
+BUMP_SQL = CTE.replace("with s as", "with recursive s as", 1) + f""",
+k0 as (select * from s where mjd is not null and resid is not null and sigma is not null),
+w as (select a.toa_id, a.series_id, a.grp, a.mjd as t0, l, count(*) as n, sum(b.resid * b.resid / (b.sigma * b.sigma)) as null_chi2, min(b.mjd) as first, max(b.mjd) as last, {_shape_sums}
+  from k0 a cross join (select unnest([{_TIMES}]) as l) d join k0 b on a.series_id = b.series_id and a.grp = b.grp and b.mjd between a.mjd - l / 2 and a.mjd + l / 2 group by all),
+m as (select *, case when {_gain["gaussian"]} >= {_gain["laplace"]} and {_gain["gaussian"]} >= {_gain["plateau"]} then 'gaussian' when {_gain["laplace"]} >= {_gain["plateau"]} then 'laplace' else 'plateau' end as model from w where n >= 20 and null_chi2 >= 25),
+k as (select toa_id, series_id, grp, t0, l, first, last, model, case model {" ".join(f"when '{x}' then p_{x} / q_{x}" for x in _SHAPE)} end as amp, case model {" ".join(f"when '{x}' then {_gain[x]}" for x in _SHAPE)} end as delta from m),
+r as (select *, row_number() over (partition by series_id, grp order by delta desc, t0, toa_id, l) as o from k where delta >= 25),
+g as (select series_id, grp, o, [{{'a': first, 'z': last, 'o': o}}] as kept from r where o = 1
+  union all select g.series_id, g.grp, r.o, case when len(list_filter(g.kept, lambda x: x.a <= r.last and x.z >= r.first)) > 0 then g.kept else list_append(g.kept, {{'a': r.first, 'z': r.last, 'o': r.o}}) end
+  from g join r on r.series_id = g.series_id and r.grp = g.grp and r.o = g.o + 1),
+f as (select series_id, grp, unnest(arg_max(kept, o)).o as o from g group by series_id, grp),
+v as (select r.*, cast(row_number() over (partition by r.series_id, r.grp order by r.o) - 1 as integer) as rank from r join f using (series_id, grp, o)),
+c as (select s.toa_id, max((v.rank, v.t0, v.l, v.delta, v.model)) as e from s join v on s.series_id = v.series_id and s.grp = v.grp and s.sigma is not null and s.mjd between v.t0 - l / 2 and v.t0 + l / 2
+  where abs(amp) * case model {" ".join(f"when '{x}' then {f.format(t='s.mjd', c='v.t0', l='l')}" for x, f in _SHAPE.items())} end / s.sigma >= 1 group by s.toa_id)
+select s.toa_id, coalesce(e[1], -1) as gaussian_bump_id, e[5] as gaussian_bump_model, round(e[2], 6) as gaussian_bump_t0, e[3] as gaussian_bump_duration_days, round(e[4], 1) as gaussian_bump_delta_chi2,
+  e is not null as gaussian_bump_member from s left join c using (toa_id)"""
+
+
+def gaussian_bump_chromatic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bumps of each series with a fitted power of frequency, the defaults."""
+    return _bump_out(detect_bumps(series_rows(spark, sf_dir), SERIES, options("bump", on=True)))
+
+
+def _glitch_out(out: DataFrame) -> DataFrame:
     return out.select("toa_id", "glitch_id", "glitch_model", F.round("glitch_t0", 6).alias("glitch_t0"), F.round("glitch_delta_chi2", 1).alias("glitch_delta_chi2"), "glitch_member")
 
 
+def glitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glitches of at least 100 days in each group."""
+    return _glitch_out(detect_glitches(series_rows(spark, sf_dir), BACKEND, options("glitch", on=True, least_days=100.0)))
+
+
+def glitch_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glitches of each series, the defaults."""
+    return _glitch_out(detect_glitches(series_rows(spark, sf_dir), SERIES, options("glitch", on=True)))
+
+
+def _glitch_sql(keys: str, least: str) -> str:
+    on = " and ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    fit = lambda aa, ab, bb, ay, by: (
+        f"({bb} * {ay} - {ab} * {by}) / ({aa} * {bb} - {ab} * {ab})", f"({aa} * {by} - {ab} * {ay}) / ({aa} * {bb} - {ab} * {ab})", f"{aa} * {bb} - {ab} * {ab} > 1e-12 * abs({aa} * {bb})",
+    )
+    a1, b1, ok1 = fit("w", "wt", "wtt", "y", "ty")
+    a2, b2, ok2 = fit("hh", "ht", "wtt", "hy", "ty")
+    return CTE + f""",
+k0 as (select * from s where mjd is not null and resid is not null),
+c0 as (select *, row_number() over o as i, sum(resid) over o as cum, count(*) over (partition by {keys} order by mjd range between 180 preceding and current row) as back, count(*) over (partition by {keys} order by mjd) as upto,
+  max(mjd) over (partition by {keys}) as t_last from k0 window o as (partition by {keys} order by mjd, toa_id rows unbounded preceding)),
+p as (select a.toa_id, {", ".join("a." + k for k in keys.split(", "))}, a.mjd as t0, a.resid as y0, a.i, any_value(a.t_last) as t_last, count(*) as n, sum(1 / (b.sigma * b.sigma)) as w, sum((b.mjd - a.mjd) / (b.sigma * b.sigma)) as wt,
+  sum(pow(b.mjd - a.mjd, 2) / (b.sigma * b.sigma)) as wtt, sum(b.resid / (b.sigma * b.sigma)) as y, sum((b.mjd - a.mjd) * b.resid / (b.sigma * b.sigma)) as ty,
+  sum(exp(-2 * (b.mjd - a.mjd) / 30) / (b.sigma * b.sigma)) as hh, sum(exp(-(b.mjd - a.mjd) / 30) * (b.mjd - a.mjd) / (b.sigma * b.sigma)) as ht, sum(exp(-(b.mjd - a.mjd) / 30) * b.resid / (b.sigma * b.sigma)) as hy
+  from c0 a join c0 b on {on} and b.mjd >= a.mjd where a.sigma is not null and b.sigma is not null group by all),
+f as (select *, case when {ok1} then {a1} * y + {b1} * ty else -1 end as d1, case when {ok2} then {a2} * hy + {b2} * ty else -1 end as d2, {a1} as a1, {b1} as b1, {a2} as a2, {b2} as b2 from p where n >= 30),
+q as (select * from f where greatest(d1, d2) >= 25),
+z as (select q.toa_id, coalesce(min(b.mjd) filter (where b.cum - coalesce(g.cum, 0) >= 0), any_value(q.t_last)) as t_end from q
+  left join c0 b on {on.replace("a.", "q.")} and b.mjd > q.t0
+  left join c0 g on {on.replace("a.", "q.").replace("b.", "g.")} and g.i = greatest((select max(h.i) from c0 h where {on.replace("a.", "h.").replace("b.", "q.")} and h.mjd <= q.t0), b.upto - b.back) group by q.toa_id),
+e as (select q.*, t_end from q join z using (toa_id) where t_end - t0 >= {least}),
+x as (select e.toa_id, median(b.resid) as mid, mad(b.resid) as dev from e join c0 b on {on.replace("a.", "e.")} and b.mjd > e.t0 and b.mjd <= e.t_end group by e.toa_id),
+o as (select e.*, row_number() over (partition by {keys} order by greatest(d1, d2) desc, i) as rk from e join x using (toa_id) where y0 > mid + 1.4826 * dev),
+v as (select * from o where rk = 1)
+select s.toa_id, case when m then 0 else -1 end as glitch_id, case when m then model end as glitch_model, case when m then round(t0, 6) end as glitch_t0, case when m then round(delta, 1) end as glitch_delta_chi2, m as glitch_member from (
+  select s.toa_id, v.t0, case when d2 > d1 then 'peak_ramp' else 'step_ramp' end as model, greatest(d1, d2) as delta,
+    coalesce(s.resid is not null and s.mjd >= v.t0 and abs(case when d2 > d1 then a2 * exp(-(s.mjd - v.t0) / 30) + b2 * (s.mjd - v.t0) else a1 + b1 * (s.mjd - v.t0) end) / s.sigma >= 1, false) as m
+  from s left join v on {on.replace("a.", "s.").replace("b.", "v.")}) s"""
+
+
+GLITCH_SQL, GLITCH_SERIES_SQL = _glitch_sql("series_id, grp", "100"), _glitch_sql("series_id", "1000")
+
+
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust and hard outliers, steps and transients of each group, resolved."""
     rows = series_rows(spark, sf_dir)
@@ -158,11 +233,12 @@ LARGEST_SQL = "select grp, count(*) as n from toas group by grp order by n desc,
 QUERIES = {
     f.__name__: f
     for f in (
-        exp_dip_achromatic, exp_dip_membership, exp_dip_chromatic, solar_event, eclipse_event, gaussian_bump, glitch, flag_resolution, event_mask, rates, events,
+        exp_dip_achromatic, exp_dip_membership, exp_dip_chromatic, solar_event, eclipse_event, gaussian_bump, gaussian_bump_chromatic, glitch, glitch_series, flag_resolution, event_mask, rates, events,
         structures, summary, largest_groups,
     )
 }
 SQL = {
+    "gaussian_bump": BUMP_SQL, "glitch": GLITCH_SQL, "glitch_series": GLITCH_SERIES_SQL,
     "exp_dip_achromatic": DIP_SQL, "exp_dip_membership": DIP_MEMBER_SQL, "flag_resolution": FLAG_SQL, "event_mask": MASK_SQL, "rates": RATES_SQL,
     "events": EVENT_TABLE_SQL, "structures": STRUCTURE_TABLE_SQL, "summary": SUMMARY_SQL, "largest_groups": LARGEST_SQL,
 }
