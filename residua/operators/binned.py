@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from residua.options import Options, options
 from residua.functions.stats import chi2_tail, folded_distance
-from residua.operators.blocks import exact_median, small
+from residua.operators.blocks import exact_median, largest_group, small
 from residua.operators.outliers import with_group_value
 
 
@@ -101,10 +101,11 @@ def rescale(df: DataFrame, keys: list[str], feature: str, *, resid: str = "resid
     rows = with_bins(df, keys, feature, good, nbins=nbins, min_per_bin=min_per_bin, circular=circular)
     by = [*keys, "_bin"]
     used = rows.where("_good").select(*by, F.col(resid).alias("_r"))
-    med = small(exact_median(used, by, "_r", "_med"))
+    largest = largest_group(used, by)
+    med = small(exact_median(used, by, "_r", "_med", largest=largest))
     dev = used.join(med, by).withColumn("_d", F.abs(F.col("_r") - F.col("_med")))
     counts = used.groupBy(*by).agg(F.count("*").alias("_c"))
-    scale = exact_median(dev, by, "_d", "_mad").join(counts, by).where((F.col("_c") >= min_per_bin) & (F.col("_mad") > 0))
+    scale = exact_median(dev, by, "_d", "_mad", largest=largest).join(counts, by).where((F.col("_c") >= min_per_bin) & (F.col("_mad") > 0))
     scale = small(scale.select(*by, (F.lit(1.4826) * F.col("_mad")).alias("_scale")))
     out = rows.join(scale, by, "left").withColumn("_scale", F.coalesce("_scale", F.lit(1.0)))
     out = out.withColumn(out_resid, F.col(resid) / F.col("_scale")).withColumn(out_sigma, F.col(sigma) / F.col("_scale"))

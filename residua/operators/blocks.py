@@ -57,17 +57,22 @@ def small(df: DataFrame, *, most: int = 4_000_000) -> DataFrame:
     return F.broadcast(kept) if size <= most else kept
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str, *, direct_rows: int = 2_000_000) -> DataFrame:
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str, *, direct_rows: int = 2_000_000, largest: int | None = None) -> DataFrame:
     """keys and the exact median (mean of the middle two) of the non-null values.
 
     The built-in aggregate keeps all distinct values of a group in one task, so
     it is used only while the largest group is at most ``direct_rows``.  Beyond
     that a mergeable sketch brackets the middle ranks, and only the rows in the
-    bracket, about one in 500, are ranked exactly.
+    bracket, about one in 500, are ranked exactly.  ``largest`` is a bound on
+    the rows of a group where it is known; else they are counted.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    largest = known.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= direct_rows:
+    if (largest_group(known, keys) if largest is None else largest) <= direct_rows:
         return known.groupBy(*keys).agg(F.median("_v").alias(name))
     share = 1 / 1000
     near = small(

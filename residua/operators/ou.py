@@ -79,18 +79,19 @@ def noise_strength(with_innovations: DataFrame, keys: list[str], *, sigma: str =
     if long.isEmpty():
         return short
     rows = src.join(long.drop("_n"), keys, "left_semi")
+    largest = long.agg(F.max("_n")).first()[0]
 
     def spreads(grid: DataFrame) -> DataFrame:
         """keys, _i, _q and the exact spread at it."""
         by = [*keys, "_i"]
         z = rows.join(grid, keys).select(*by, "_q", (F.col("ou_e") / F.sqrt(F.greatest(F.col("ou_a") + F.col("_q") * F.col("ou_b"), F.lit(1e-300)))).alias("_z"))
-        mid = small(exact_median(z, by, "_z", "_m", direct_rows=rows_in_task))
+        mid = small(exact_median(z, by, "_z", "_m", direct_rows=rows_in_task, largest=largest))
         off = z.join(mid, by).withColumn("_d", F.abs(F.col("_z") - F.col("_m")))
-        mad = exact_median(off, by, "_d", "_mad", direct_rows=rows_in_task)
+        mad = exact_median(off, by, "_d", "_mad", direct_rows=rows_in_task, largest=largest)
         flat = z.groupBy(*by, "_q").agg(F.stddev_pop("_z").alias("_sd"))
         return small(flat.join(mad, by).select(*by, "_q", F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd")).alias("_s")))
 
-    top = exact_median(rows, keys, "_s2", "_m2", direct_rows=rows_in_task).select(*keys, (100.0 * F.col("_m2")).alias("_hi"))
+    top = exact_median(rows, keys, "_s2", "_m2", direct_rows=rows_in_task, largest=largest).select(*keys, (100.0 * F.col("_m2")).alias("_hi"))
     ends = small(top.withColumn("_lo", F.lit(0.0)))
     at_ends = spreads(small(ends.select(*keys, F.posexplode(F.array("_lo", "_hi")).alias("_i", "_q"))))
     edge = at_ends.groupBy(*keys).agg(F.max(F.when(F.col("_i") == 0, F.col("_s"))).alias("_s0"), F.max(F.when(F.col("_i") == 1, F.col("_s"))).alias("_s1"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.options import Options
-from residua.operators.blocks import exact_median, small
+from residua.operators.blocks import exact_median, largest_group, small
 
 
 def with_group_value(df: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,9 +19,10 @@ def robust_outliers(df: DataFrame, keys: list[str], *, resid: str = "resid", z_t
 
     Groups with MAD 0 and rows without a value have a null z and no outlier.
     """
-    med = exact_median(df, keys, resid, "_med")
+    largest = largest_group(df.where(F.col(resid).isNotNull()), keys)
+    med = exact_median(df, keys, resid, "_med", largest=largest)
     at = with_group_value(df, med, keys).withColumn("_dev", F.abs(F.col(resid) - F.col("_med")))
-    mad = exact_median(at, keys, "_dev", "_mad")
+    mad = exact_median(at, keys, "_dev", "_mad", largest=largest)
     out = with_group_value(at, mad, keys)
     z = F.lit(0.6745) * (F.col(resid) - F.col("_med")) / F.nullif(F.col("_mad"), F.lit(0.0))
     return (

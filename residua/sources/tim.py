@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from residua.operators.blocks import small
+
 from residua.operators.line_grammar import CONTROL_HEADS
 
 #: a number as the permissive reader takes it, with d exponents and commas
@@ -94,7 +96,8 @@ class TimParseResult:
 def _walk(spark: SparkSession, top: str) -> list[tuple[str, str, float]]:
     """(visit, path, base offset) of the file and all it includes; a file may be visited more than once.
 
-    Only TIME and INCLUDE lines come to the driver, level by level.
+    Only INCLUDE lines, one for each file to read, come to the driver, level by
+    level, each with the sum of the offsets before it.
     """
     visits, level = [], [("0", top, 0.0)]
     for depth in range(64):
@@ -105,25 +108,26 @@ def _walk(spark: SparkSession, top: str) -> list[tuple[str, str, float]]:
         text = _lines(spark, sorted({p for _, p, _ in level}))
         moves = src.join(text, "path").withColumn("_t", F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "))
         head = F.upper(F.get("_t", F.lit(0)))
-        moves = moves.where(head.isin("TIME", "INCLUDE")).select("visit", "line_no", head.alias("head"), F.get("_t", F.lit(1)).alias("arg"), number(F.get("_t", F.lit(1))).alias("num"))
-        by: dict[str, list] = {}
-        for r in moves.orderBy("visit", "line_no").toLocalIterator():
-            by.setdefault(r["visit"], []).append(r)
-        nxt = []
-        for visit, path, base in level:
-            offset = base
-            for k, r in enumerate(by.get(visit, [])):
-                if r["head"] == "TIME":
-                    offset += r["num"] or 0.0
-                elif r["arg"]:
-                    nxt.append((f"{visit}.{k}", posixpath.join(posixpath.dirname(path), r["arg"].strip('"')), offset))
-        level = nxt
+        moves = moves.where(head.isin("TIME", "INCLUDE")).select("visit", "line_no", head.alias("head"), F.get("_t", F.lit(1)).alias("arg"))
+        moved = F.sum(F.when(F.col("head") == "TIME", F.coalesce(number(F.col("arg")), F.lit(0.0))).otherwise(0.0)).over(Window.partitionBy("visit").orderBy("line_no"))
+        found = moves.withColumn("moved", moved).where("head = 'INCLUDE' and arg <> ''").orderBy("visit", "line_no")
+        of = {v: (p, base) for v, p, base in level}
+        level = []
+        for r in found.toLocalIterator():
+            path, base = of[r["visit"]]
+            level.append((f"{r['visit']}.{r['line_no']}", posixpath.join(posixpath.dirname(path), r["arg"].strip('"')), base + r["moved"]))
     raise ValueError("INCLUDE lines nest deeper than 64 levels")
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    whole = spark.read.text(paths, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), F.split("value", "\r\n|\n|\r").alias("v"))
-    return whole.select("path", F.posexplode("v").alias("n", "line")).select("path", (F.col("n") + 1).alias("line_no"), "line")
+    """Numbered lines; a file of any size is read in blocks, whose lines are counted to number those of the next."""
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    rows = spark.read.text(paths).select(path.alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"))
+    per = rows.groupBy("path", "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = rows.join(small(per.select("path", "_b", before.alias("_before"))), ["path", "_b"])
+    place = F.row_number().over(Window.partitionBy("path", "_b").orderBy("_i"))
+    return at.select("path", (F.col("_before") + place).cast("int").alias("line_no"), "line")
 
 
 def parse_all_timfiles(spark: SparkSession, top: str, *, extra_control: tuple[str, ...] = ()) -> TimParseResult:
