@@ -13,11 +13,13 @@ down to the least permitted capacity that holds it.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,8 +51,13 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType())])
 
+    # the file goes to every executor with the job; it need not be there
+    if os.path.exists(vocabulary):
+        docs.sparkSession.sparkContext.addFile(vocabulary)
+
     def run(batches):
-        enc = _encoder(vocabulary)
+        shipped = SparkFiles.get(os.path.basename(vocabulary))
+        enc = _encoder(shipped if os.path.exists(shipped) else vocabulary)
         for b in batches:
             texts = b.column(1)
             n = [len(enc.encode_ordinary(s)) if (s := texts[i].as_py()) else 0 for i in range(b.num_rows)]
