@@ -132,7 +132,7 @@ def _glitch_sql(keys: str, least: str) -> str:
 k0 as (select * from s where mjd is not null and resid is not null),
 c0 as (select *, row_number() over o as i, sum(resid) over o as cum, count(*) over (partition by {keys} order by mjd range between 180 preceding and current row) as back, count(*) over (partition by {keys} order by mjd) as upto,
   max(mjd) over (partition by {keys}) as t_last from k0 window o as (partition by {keys} order by mjd, toa_id rows unbounded preceding)),
-p as (select a.toa_id, {", ".join("a." + k for k in keys.split(", "))}, a.mjd as t0, a.resid as y0, a.i, any_value(a.t_last) as t_last, count(*) as n, sum(1 / (b.sigma * b.sigma)) as w, sum((b.mjd - a.mjd) / (b.sigma * b.sigma)) as wt,
+p as (select a.toa_id, {", ".join("a." + k for k in keys.split(", "))}, a.mjd as t0, a.resid as y0, a.i, any_value(a.t_last) as t_last, any_value(a.upto) as own, count(*) as n, sum(1 / (b.sigma * b.sigma)) as w, sum((b.mjd - a.mjd) / (b.sigma * b.sigma)) as wt,
   sum(pow(b.mjd - a.mjd, 2) / (b.sigma * b.sigma)) as wtt, sum(b.resid / (b.sigma * b.sigma)) as y, sum((b.mjd - a.mjd) * b.resid / (b.sigma * b.sigma)) as ty,
   sum(exp(-2 * (b.mjd - a.mjd) / 30) / (b.sigma * b.sigma)) as hh, sum(exp(-(b.mjd - a.mjd) / 30) * (b.mjd - a.mjd) / (b.sigma * b.sigma)) as ht, sum(exp(-(b.mjd - a.mjd) / 30) * b.resid / (b.sigma * b.sigma)) as hy
   from c0 a join c0 b on {on} and b.mjd >= a.mjd where a.sigma is not null and b.sigma is not null group by all),
@@ -140,7 +140,7 @@ f as (select *, case when {ok1} then {a1} * y + {b1} * ty else -1 end as d1, cas
 q as (select * from f where greatest(d1, d2) >= 25),
 z as (select q.toa_id, coalesce(min(b.mjd) filter (where b.cum - coalesce(g.cum, 0) >= 0), any_value(q.t_last)) as t_end from q
   left join c0 b on {on.replace("a.", "q.")} and b.mjd > q.t0
-  left join c0 g on {on.replace("a.", "q.").replace("b.", "g.")} and g.i = greatest((select max(h.i) from c0 h where {on.replace("a.", "h.").replace("b.", "q.")} and h.mjd <= q.t0), b.upto - b.back) group by q.toa_id),
+  left join c0 g on {on.replace("a.", "q.").replace("b.", "g.")} and g.i = greatest(q.own, b.upto - b.back) group by q.toa_id),
 e as (select q.*, t_end from q join z using (toa_id) where t_end - t0 >= {least}),
 x as (select e.toa_id, median(b.resid) as mid, mad(b.resid) as dev from e join c0 b on {on.replace("a.", "e.")} and b.mjd > e.t0 and b.mjd <= e.t_end group by e.toa_id),
 o as (select e.*, row_number() over (partition by {keys} order by greatest(d1, d2) desc, i) as rk from e join x using (toa_id) where y0 > mid + 1.4826 * dev),
