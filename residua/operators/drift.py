@@ -64,7 +64,7 @@ def numeric_value(text: Column, kind: Column) -> Column:
 
 
 def json_fields(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
-    """keys, name, kind (JSON type or null), text, num and inner (schema of an object) of each field; a record without fields has one row of null name.
+    """keys, name, kind (JSON type or null), text of all but numbers, num and inner (schema of an object) of each field; a record without fields has one row of null name.
 
     A record that is no JSON object, or has one name twice, has no fields.
     """
@@ -79,9 +79,10 @@ def json_fields(df: DataFrame, record: str, keys: list[str]) -> DataFrame:
         .when(raw.startswith("ARRAY"), "array")
         .otherwise("number")
     )
-    text = F.col("value").cast("string")
-    out = each.select(*keys, F.col("key").alias("name"), kind.alias("kind"), text.alias("text"), F.when(kind == "object", raw).alias("inner"))
-    return out.withColumn("num", numeric_value(F.col("text"), F.col("kind")))
+    out = each.select(*keys, F.col("key").alias("name"), kind.alias("kind"), F.when(kind == "object", raw).alias("inner"), "value")
+    # a number is taken as it is; only other values are read as text
+    out = out.withColumns({"text": F.when(F.col("kind") != "number", F.col("value").cast("string")), "_plain": F.when(F.col("kind") == "number", F.try_variant_get("value", "$", "double"))})
+    return out.select(*keys, "name", "kind", "text", F.coalesce("_plain", numeric_value(F.col("text"), F.col("kind"))).alias("num"), "inner")
 
 
 def field_profiles(df: DataFrame, *, record: str, campaign: str, dump_no: str, dump_id: str) -> DataFrame:
@@ -90,7 +91,8 @@ def field_profiles(df: DataFrame, *, record: str, campaign: str, dump_no: str, d
     each = json_fields(df, record, keys)
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "9")
     worded = F.col("num").isNull() & (F.col("kind") == "string")
-    return each.groupBy(*keys, "name").agg(
+    # the most telling keys first, as what does not fit the hash map is sorted by them
+    return each.groupBy(dump_id, "name", dump_no, campaign).agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("kind") == t).alias(f"n_{t}") for t in TYPES],
         F.count("num").alias("n_num"),
