@@ -222,7 +222,7 @@ def tim_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NUM = r"^[+-]?([0-9][0-9,]*\.?[0-9]*|\.[0-9]+)([eEdD][+-]?[0-9]+)?$"
-TIM_SQL = rf"""
+_TIM = rf"""
 with k as (select line_id, _timfile, line_no, list_filter(regexp_split_to_array(trim(regexp_replace(line, '\s+', ' ', 'g')), ' '), lambda x: x <> '') as t from tim_lines),
 n as (select *, list_transform(t, lambda x: case when regexp_matches(x, '{_NUM}') then try_cast(regexp_replace(replace(x, ',', ''), '[dD]', 'e') as double) end) as v, len(t) as z from k),
 a as (select *, case when z < 4 then null when z >= 5 and v[1] is not null and v[3] is not null and v[4] is not null and v[5] is not null then 3
@@ -233,20 +233,48 @@ c as (select *, case when z = 0 then 'blank' when t[1] in ('C', '#') then 'comme
   when p is not null then 'toa' else 'dropped' end as kind from a),
 o as (select *, sum(case when kind = 'time' then v[2] else 0 end) over (partition by _timfile order by line_no rows unbounded preceding) as off,
   list_filter(range(1, z + 1), lambda i: i >= p + 3 and t[i][1] = '-' and v[i] is null) as fl from c)
+"""
+TIM_SQL = _TIM + """
 select line_id, kind, case when kind = 'toa' then t[p - 1] end as filename, case when kind = 'toa' then v[p] end as freq, case when kind = 'toa' then v[p + 1] end as mjd,
   case when kind = 'toa' then v[p + 2] end as toaerr_tim, case when kind = 'toa' and not (t[p + 3][1] = '-' and v[p + 3] is null) then t[p + 3] end as tel, round(off, 6) as offset_sec,
   cast(case when kind = 'toa' then len(list_distinct(list_transform(fl, lambda i: t[i]))) else 0 end as integer) as n_flags from o
 """
 
+
+def tim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per flag of a TOA line of the permissive reader: the last of equal names holds, one without a value is 'true'."""
+    out = permissive_records(table(spark, sf_dir, "tim_lines")).where("kind = 'toa'")
+    # explode_outer: a filter on the flags' number would be pushed down as one expression of all steps
+    return out.select("line_id", F.explode_outer("flags").alias("name", "value")).where("name is not null")
+
+
+TIM_FLAGS_SQL = _TIM + """,
+f as (select line_id, t, v, z, unnest(fl) as i from o where kind = 'toa'),
+g as (select line_id, i, t[i][2:] as name, case when i = z or (t[i + 1][1] = '-' and v[i + 1] is null) then 'true' else t[i + 1] end as value from f)
+select line_id, name, arg_max(value, i) as value from g group by line_id, name"""
+
+
+def coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centre frequency and bandwidth of each line's flags as numbers, backend, system and group as text."""
+    flags = F.col("flags")
+    out = permissive_records(table(spark, sf_dir, "tim_lines")).where("kind = 'toa'")
+    return out.select("line_id", *[flags[c].try_cast("double").alias(c) for c in ("cenfreq", "bw")], *[flags[c].alias(c) for c in ("be", "sys")], flags["group"].alias("grp"))
+
+
+COERCED_SQL = f"""with fl as ({TIM_FLAGS_SQL}), toa as (select line_id from ({TIM_SQL}) x where kind = 'toa')
+select line_id, max(try_cast(value as double)) filter (where name = 'cenfreq') as cenfreq, max(try_cast(value as double)) filter (where name = 'bw') as bw,
+  max(value) filter (where name = 'be') as be, max(value) filter (where name = 'sys') as sys, max(value) filter (where name = 'group') as grp from toa left join fl using (line_id) group by line_id"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         asof_nearest, asof_by_key, merge_meta, triplet_parse, sys_group_keys, projections, freq_bin, structure, structure_detrend, preproc_detrend,
-        preproc_rescale, orbital_cuts, orbital_bad, tim_parse,
+        preproc_rescale, orbital_cuts, orbital_bad, tim_parse, tim_flags, coerced,
     )
 }
 SQL = {
     "asof_nearest": ASOF_SQL, "asof_by_key": ASOF_BY_SQL, "merge_meta": MERGE_SQL, "triplet_parse": TRIPLET_SQL, "sys_group_keys": KEYS_SQL,
     "projections": PROJECTION_SQL, "freq_bin": FREQ_BIN_SQL, "structure": STRUCTURE_SQL, "structure_detrend": STRUCTURE_DETREND_SQL,
     "preproc_detrend": PREPROC_SQL, "preproc_rescale": RESCALE_SQL, "orbital_cuts": CUT_SQL, "orbital_bad": ORBITAL_BAD_SQL, "tim_parse": TIM_SQL,
+    "tim_flags": TIM_FLAGS_SQL, "coerced": COERCED_SQL,
 }

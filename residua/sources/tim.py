@@ -68,8 +68,9 @@ def permissive_records(lines: DataFrame, *, line: str = "line", file: str = "_ti
     sat = F.when(a, num(0)).otherwise(F.get("_num", at + 1))
     flag_names = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i >= at + 3) & first_flag(i))
     entry = lambda i: F.struct(F.substring(F.get("_tok", i), F.lit(2), F.length(F.get("_tok", i))), F.when(F.get("_tok", i + 1).isNull() | first_flag(i + 1), F.lit("true")).otherwise(F.get("_tok", i + 1)))
-    pairs = F.transform(flag_names, entry)
-    names = F.transform(pairs, lambda p: p["col1"])
+    # step by step, so that no step's arrays are made once per use
+    out = out.withColumn("_pairs", F.transform(flag_names, entry)).withColumn("_names", F.transform("_pairs", lambda p: p["col1"]))
+    pairs, names = F.col("_pairs"), F.col("_names")
     last = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.array_position(F.slice(names, i + 2, F.size(names) + 1), F.get(names, i)) == 0)
     flags = F.when(F.size(pairs) > 0, F.map_from_entries(F.transform(last, lambda i: F.get(pairs, i)))).otherwise(F.create_map().cast("map<string,string>"))
     out = out.withColumns({
@@ -82,7 +83,7 @@ def permissive_records(lines: DataFrame, *, line: str = "line", file: str = "_ti
         "tel": toa(F.when(~first_flag(at + 3), F.get("_tok", at + 3))),
         "flags": toa(flags),
     })
-    return out.drop("_tok", "_num", "_at")
+    return out.drop("_tok", "_num", "_at", "_pairs", "_names")
 
 
 @dataclass(frozen=True)
