@@ -8,42 +8,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.options import Options, options
-from residua.functions.stats import golden_max
+from residua.functions.windows import Powers, blocks, golden_max_all, straddling
 from residua.operators.transients import event_rows, keep_best, scan_starts
 
 
-def _dip(y: np.ndarray, w: np.ndarray, f: np.ndarray) -> tuple[float, float]:
-    """(delta_chi2, amplitude) of template f; -inf unless the amplitude is negative."""
-    wf = w * f
-    den = float(wf @ f)
-    if not den > 0:
-        return -np.inf, np.nan
-    num = float(wf @ y)
-    return (num * num / den, num / den) if num < 0 else (-np.inf, np.nan)
-
-
 def chunk_dips(t: np.ndarray, y: np.ndarray, w: np.ndarray, freq: np.ndarray, own: np.ndarray, cfg: Options) -> list[tuple[int, float, float, float]]:
-    """(row, amplitude, alpha, delta_chi2) of the own rows that start an accepted dip; rows sorted by time."""
+    """(row, amplitude, alpha, delta_chi2) of the own rows that start an accepted dip; rows sorted by time.
+
+    The powers of all starts are searched at once, on window sums.
+    """
     tau, width = cfg.decay_days, cfg.reach * cfg.decay_days
     start = np.searchsorted(t, t, "left")
     stop = np.searchsorted(t, t + width, "right")
     null = np.r_[0.0, np.cumsum(w * y * y)]
-    log_f = np.log(freq / np.median(freq)) if cfg.colour else None
-    scale = float(np.median(freq)) if cfg.colour else 1.0
-    out = []
     worth = own & (stop - start >= cfg.points) & (null[stop] - null[start] >= cfg.gain) & (t[stop - 1] - t >= cfg.least_days)
-    for i in np.flatnonzero(worth):
-        s = slice(start[i], stop[i])
-        yy, ww, base = y[s], w[s], np.exp(-(t[s] - t[i]) / tau)
-        if log_f is None:
-            alpha, (delta, amp) = np.nan, _dip(yy, ww, base)
+    at = np.flatnonzero(worth)
+    if not len(at):
+        return []
+    t0, back = np.unique(t[at], return_inverse=True)  # equal times have equal windows
+    first, end = np.searchsorted(t, t0, "left"), np.searchsorted(t, t0 + width, "right")
+    lf = np.log(freq / np.median(freq)) if cfg.colour else None
+    scale = float(np.median(freq)) if cfg.colour else 1.0
+    powers = Powers(lf, *cfg.colour_range), Powers(lf, *cfg.colour_range, factor=2.0)
+    terms = powers[0].at_nodes() * (w * y), powers[1].at_nodes() * w
+    amp, alpha, delta = np.full((3, len(t0)), np.nan)
+    for k in blocks(t0, width, [(first, end)]):
+        lo, hi, near = first[k], end[k], slice(first[k][0], end[k][-1])
+        fade = np.exp(-(t[near] - t0[k][-1]) / tau)
+        rise = np.exp((t0[k] - t0[k][-1]) / tau)
+        num = powers[0].function(straddling(terms[0][:, near] * fade, near.start, lo, hi) * rise)
+        den = powers[1].function(straddling(terms[1][:, near] * (fade * fade), near.start, lo, hi) * (rise * rise))
+
+        def gain(a: np.ndarray) -> np.ndarray:
+            p, q = num(a), den(a)
+            good = (q > 0) & (p < 0)
+            return np.where(good, p * p / np.where(good, q, 1.0), -np.inf)
+
+        if lf is None:
+            a = np.zeros(len(lo))
+            delta[k] = gain(a)
         else:
-            lf = log_f[s]
-            alpha, delta = golden_max(lambda a: _dip(yy, ww, base * np.exp(-a * lf))[0], cfg.colour_range[0], cfg.colour_range[1], cfg.colour_tol, cfg.colour_rounds)
-            amp = _dip(yy, ww, base * np.exp(-alpha * lf))[1] * scale**alpha
-        if delta >= cfg.gain and np.isfinite(amp):
-            out.append((int(i), amp, alpha, delta))
-    return out
+            a, delta[k] = golden_max_all(gain, len(lo), *cfg.colour_range, cfg.colour_tol, cfg.colour_rounds)
+            alpha[k] = a
+        with np.errstate(divide="ignore", invalid="ignore"):
+            amp[k] = num(a) / den(a) * scale**a
+    kept = (delta[back] >= cfg.gain) & np.isfinite(amp[back])
+    return [(int(i), float(amp[j]), float(alpha[j]), float(delta[j])) for i, j in zip(at[kept], back[kept])]
 
 
 def dip_events(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
