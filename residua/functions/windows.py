@@ -71,13 +71,20 @@ class Powers:
         return lambda a: sum(np.exp(-a * c) * np.polynomial.chebyshev.chebval(shift(a), p, tensor=False) for c, p in parts)
 
 
-def blocks(times: np.ndarray, longest: float, spans: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[slice]:
-    """Runs of starts no longer than ``longest`` in which all windows of each kind, rows first to end, have a row or a gap in common."""
+def blocks(times: np.ndarray, longest: float, spans: list[tuple[np.ndarray, np.ndarray]], few: Callable[[int, int], bool] | None = None) -> Iterator[slice]:
+    """Runs of starts no longer than ``longest`` in which all windows of each kind, rows first to end, have a row or a gap in common.
+
+    Or of 128 starts, wherever they are, if ``few`` says so of the first and the end of the run.
+    """
     i = 0
     while i < len(times):
+        if few is not None and few(i, end := min(i + 128, len(times))):
+            yield slice(i, end)
+            i = end
+            continue
         k = np.searchsorted(times, times[i] + longest, "right")
-        for first, end in spans:
-            k = min(k, np.searchsorted(first, end[i], "right"))
+        for first, stop in spans:
+            k = min(k, np.searchsorted(first, stop[i], "right"))
         k = max(int(k), i + 1)
         yield slice(i, k)
         i = k
@@ -85,10 +92,13 @@ def blocks(times: np.ndarray, longest: float, spans: list[tuple[np.ndarray, np.n
 
 def straddling(terms: np.ndarray, origin: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Sums of terms (kinds, rows from ``origin`` on) over rows first to end of each start of a block."""
-    p, zero = int(first[-1]) - origin, np.zeros((len(terms), 1))
-    before = np.concatenate([zero, np.cumsum(terms[:, p - 1 :: -1] if p else terms[:, :0], axis=1)], axis=1)
-    after = np.concatenate([zero, np.cumsum(terms[:, p : int(end[-1]) - origin], axis=1)], axis=1)
-    return before[:, p + origin - first] + after[:, end - origin - p]
+    p, last = int(first[-1]) - origin, int(end[-1]) - origin
+    before, after = np.zeros((len(terms), p + 1)), np.zeros((len(terms), last - p + 1))
+    np.cumsum(terms[:, :p][:, ::-1], axis=1, out=before[:, 1:])
+    np.cumsum(terms[:, p:last], axis=1, out=after[:, 1:])
+    got = np.take(before, p + origin - first, axis=1)
+    got += np.take(after, end - origin - p, axis=1)
+    return got
 
 
 def golden_max_all(f: Callable[[np.ndarray], np.ndarray], n: int, low: float, high: float, tol: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
