@@ -84,3 +84,10 @@ def test_bumps_of_dense_rows():
     own, began = np.floor((t - t[0]) / 1500) == 1, time.process_time()
     assert chunk_bumps(t, y, w, None, own, 1500.0, options("bump", colour=False))
     assert time.process_time() - began < 2
+
+
+def test_bumps_with_frequency_of_dense_rows():
+    t, y, w, f = rows(20_000, 4500.0, 5)
+    own, began = np.floor((t - t[0]) / 1500) == 1, time.process_time()
+    assert chunk_bumps(t, y, w, np.log(f / 1400), own, 1500.0, options("bump"))
+    assert time.process_time() - began < 8
