@@ -53,11 +53,15 @@ class Powers:
             self.bands.append((rows, centre, self.mid + self.half * x, turn))
             left = left[len(inside) :]
 
-    def at_nodes(self) -> np.ndarray:
+    def size(self) -> int:
+        """Nodes of all bands."""
+        return 1 if self.bands[0][0] is None else sum(len(a) for _, _, a, _ in self.bands)
+
+    def at_nodes(self, near: slice = slice(None)) -> np.ndarray:
         """(nodes of all bands, rows): the row's power at each node of its band, else 0."""
         if self.bands[0][0] is None:
             return np.ones((1, 1))
-        return np.concatenate([np.nan_to_num(np.exp(-a[:, None] * rows)) for rows, _, a, _ in self.bands])
+        return np.concatenate([np.nan_to_num(np.exp(-a[:, None] * rows[near])) for rows, _, a, _ in self.bands])
 
     def function(self, sums: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
         """The sums of starts as a function of a (one for each start), from those at the nodes (nodes of all bands, starts)."""

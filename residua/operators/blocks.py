@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from residua.session import stored
 
 BLOCK_DAYS = 32.0
+#: stored bytes of a side that is broadcast, and rows of a group whose median is taken by the built-in aggregate
+SMALL, DIRECT_ROWS = 4_000_000, 2_000_000
 
 
 def in_blocks(df: DataFrame, time: str, days: float = BLOCK_DAYS) -> DataFrame:
@@ -51,7 +53,7 @@ def previous_rows(df: DataFrame, keys: list[str], time: str, row_id: str, cols:
     return out.withColumns({f"prev_{c}": got[c] for c in cols}).drop("_prev", "_carry", "_block")
 
 
-def small(df: DataFrame, *, most: int = 4_000_000) -> DataFrame:
+def small(df: DataFrame, *, most: int = SMALL) -> DataFrame:
     """``df`` written to the shared folder, marked for broadcast only if the files take at most ``most`` bytes."""
     kept, size = stored(df)
     return F.broadcast(kept) if size <= most else kept
@@ -62,7 +64,7 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str, *, direct_rows: int = 2_000_000, largest: int | None = None) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str, *, direct_rows: int = DIRECT_ROWS, largest: int | None = None) -> DataFrame:
     """keys and the exact median (mean of the middle two) of the non-null values.
 
     The built-in aggregate keeps all distinct values of a group in one task, so

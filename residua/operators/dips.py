@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from residua.options import Options, options
 from residua.functions.windows import Powers, blocks, golden_max_all, straddling
-from residua.operators.transients import event_rows, keep_best, scan_starts
+from residua.operators.transients import BUCKET_WINDOWS, event_rows, keep_best, scan_starts
+
+#: windows that a bucket of the search spans, and starts that are searched at once
+CHUNK_WINDOWS, AT_ONCE = 4, 2048
 
 
 def chunk_dips(t: np.ndarray, y: np.ndarray, w: np.ndarray, freq: np.ndarray, own: np.ndarray, cfg: Options) -> list[tuple[int, float, float, float]]:
@@ -30,25 +33,28 @@ def chunk_dips(t: np.ndarray, y: np.ndarray, w: np.ndarray, freq: np.ndarray, ow
     lf = np.log(freq / np.median(freq)) if cfg.colour else None
     scale = float(np.median(freq)) if cfg.colour else 1.0
     powers = Powers(lf, *cfg.colour_range), Powers(lf, *cfg.colour_range, factor=2.0)
-    terms = powers[0].at_nodes() * (w * y), powers[1].at_nodes() * w
-    amp, alpha, delta = np.full((3, len(t0)), np.nan)
+    sums = [np.empty((p.size(), len(t0))) for p in powers]
     for k in blocks(t0, width, [(first, end)]):
         lo, hi, near = first[k], end[k], slice(first[k][0], end[k][-1])
         fade = np.exp(-(t[near] - t0[k][-1]) / tau)
         rise = np.exp((t0[k] - t0[k][-1]) / tau)
-        num = powers[0].function(straddling(terms[0][:, near] * fade, near.start, lo, hi) * rise)
-        den = powers[1].function(straddling(terms[1][:, near] * (fade * fade), near.start, lo, hi) * (rise * rise))
+        sums[0][:, k] = straddling(powers[0].at_nodes(near) * (w[near] * y[near] * fade), near.start, lo, hi) * rise
+        sums[1][:, k] = straddling(powers[1].at_nodes(near) * (w[near] * fade * fade), near.start, lo, hi) * (rise * rise)
+    amp, alpha, delta = np.full((3, len(t0)), np.nan)
+    for k in (slice(j, j + AT_ONCE) for j in range(0, len(t0), AT_ONCE)):
+        num, den = powers[0].function(sums[0][:, k]), powers[1].function(sums[1][:, k])
 
         def gain(a: np.ndarray) -> np.ndarray:
             p, q = num(a), den(a)
             good = (q > 0) & (p < 0)
             return np.where(good, p * p / np.where(good, q, 1.0), -np.inf)
 
+        n = len(t0[k])
         if lf is None:
-            a = np.zeros(len(lo))
+            a = np.zeros(n)
             delta[k] = gain(a)
         else:
-            a, delta[k] = golden_max_all(gain, len(lo), *cfg.colour_range, cfg.colour_tol, cfg.colour_rounds)
+            a, delta[k] = golden_max_all(gain, n, *cfg.colour_range, cfg.colour_tol, cfg.colour_rounds)
             alpha[k] = a
         with np.errstate(divide="ignore", invalid="ignore"):
             amp[k] = num(a) / den(a) * scale**a
@@ -60,23 +66,27 @@ def dip_events(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *,
     """(keys, row_id, t0, amp, alpha, delta_chi2, rank) of the kept dips.
 
     Without a frequency dependence all starts are scanned with running sums.
-    Else rows go to their time bucket of the window's length and, as followers,
-    to the one before, and each bucket is searched by itself.
+    Else rows go to their time bucket of a few windows' length and, those that
+    follow within a window, to the one before, and each bucket is searched by
+    itself.
     """
     width = cfg.reach * cfg.decay_days
     if not cfg.colour:  # the template splits into a factor of the row and one of the start
-        found = scan_starts(df, keys, tau=cfg.decay_days, width=width, min_points=cfg.points, threshold=cfg.gain, use=use, resid=resid, sigma=sigma, time=time, row_id=row_id)
-        found = found.where((F.col("amp") < 0) & (F.col("last") - F.col("t0") >= cfg.least_days)).drop("n", "last").withColumn("alpha", F.lit(None).cast("double"))
-        return keep_best(found.select(*keys, row_id, "t0", "amp", "alpha", "delta_chi2"), keys, width, row_id=row_id, suppress=cfg.exclusive)
+        deep = lambda amp, t0, last: (amp < 0) & (last - t0 >= cfg.least_days)
+        found = scan_starts(df, keys, tau=cfg.decay_days, width=width, min_points=cfg.points, threshold=cfg.gain, use=use, resid=resid, sigma=sigma, time=time, row_id=row_id, accept=deep, settle_them=cfg.exclusive)
+        found = found.select(*keys, row_id, "t0", "amp", F.lit(None).cast("double").alias("alpha"), "delta_chi2", *["_kept"] * cfg.exclusive)
+        return keep_best(found, keys, width, row_id=row_id, suppress=cfg.exclusive, settled_in=width * BUCKET_WINDOWS)
     ok = F.col(time).isNotNull() & F.col(resid).isNotNull() & (F.col(sigma) > 0)
     if cfg.colour:
         ok = ok & F.col(freq).isNotNull() & (F.col(freq) > 0)
     ok = ok if use is None else ok & use
-    b = F.floor(F.col(time) / F.lit(width))
+    span = width * CHUNK_WINDOWS
+    b = F.floor(F.col(time) / F.lit(span))
+    follows = F.when(F.col(time) - b * F.lit(span) <= F.lit(width), F.struct((b - 1).alias("b"), F.lit(False).alias("own")))
     rows = df.where(ok).select(
         *keys, F.col(row_id).alias("_id"), F.col(time).alias("_t"), F.col(resid).alias("_y"), (F.lit(1.0) / (F.col(sigma) * F.col(sigma))).alias("_w"),
         (F.col(freq) if cfg.colour else F.lit(1.0)).alias("_f"),
-        F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b - 1).alias("b"), F.lit(False).alias("own")))).alias("_p"),
+        F.explode(F.array_compact(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), follows))).alias("_p"),
     ).select("*", F.col("_p.b").alias("_b"), F.col("_p.own").alias("_own")).drop("_p")
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -94,8 +104,8 @@ def dip_events(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *,
     return keep_best(found, keys, width, row_id=row_id, suppress=cfg.exclusive)
 
 
-def detect_dips(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id", prefix: str = "exp_dip_global", events: DataFrame | None = None) -> DataFrame:
-    """Adds <prefix>_id, _amp, _t0, _delta_chi2, _alpha and exp_dip_member; an event's own seed is always a member."""
+def dip_members(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", freq: str = "freq", time: str = "mjd", row_id: str = "toa_id", prefix: str = "exp_dip_global", events: DataFrame | None = None) -> DataFrame:
+    """(row_id, <prefix>_id, _amp, _t0, _delta_chi2, _alpha, exp_dip_member) of the members; an event's own seed is always one."""
     ev = events if events is not None else dip_events(df, keys, cfg, use=use, resid=resid, sigma=sigma, freq=freq, time=time, row_id=row_id)
     ev = ev.select(*keys, F.col("rank").cast("int").alias("_k"), F.col(row_id).alias("_seed"), "t0", F.col("amp").alias("_a"), F.col("alpha").alias("_al"), F.col("delta_chi2").alias("_d"))
     width = cfg.reach * cfg.decay_days
@@ -106,5 +116,14 @@ def detect_dips(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *
     at = at.where(((F.col(sigma) > 0) & (size / F.col(sigma) >= cfg.eta)) | (F.col(row_id) == F.col("_seed")))
     cols = {"id": "_k", "amp": "_a", "t0": "t0", "delta_chi2": "_d", "alpha": "_al"}
     best = at.groupBy(row_id).agg(F.max(F.struct(*[F.col(c).alias(n) for n, c in cols.items()])).alias("_m"))
-    best = best.select(row_id, *[F.col(f"_m.{n}").alias(f"{prefix}_{n}") for n in cols], F.lit(True).alias("exp_dip_member"))
-    return df.join(best, row_id, "left").fillna(-1, subset=[f"{prefix}_id"]).fillna(False, subset=["exp_dip_member"])
+    return best.select(row_id, *[F.col(f"_m.{n}").alias(f"{prefix}_{n}") for n in cols], F.lit(True).alias("exp_dip_member"))
+
+
+def with_dips(df: DataFrame, members: DataFrame, *, row_id: str = "toa_id", prefix: str = "exp_dip_global") -> DataFrame:
+    """``df`` with the columns of ``dip_members``."""
+    return df.join(members, row_id, "left").fillna(-1, subset=[f"{prefix}_id"]).fillna(False, subset=["exp_dip_member"])
+
+
+def detect_dips(df: DataFrame, keys: list[str], cfg: Options = options("dip"), *, row_id: str = "toa_id", prefix: str = "exp_dip_global", **how) -> DataFrame:
+    """Adds the columns of ``dip_members``; other arguments are those of it."""
+    return with_dips(df, dip_members(df, keys, cfg, row_id=row_id, prefix=prefix, **how), row_id=row_id, prefix=prefix)

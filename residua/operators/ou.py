@@ -121,10 +121,10 @@ def bad_days(df: DataFrame, keys: list[str], *, z: Column | str, fdr_q: float, o
     return out.withColumn("bad_day", bad).withColumn("bad", bad & (F.col("_row") == F.col(row_id)) if only_worst else bad).drop("_az", "_row").withColumn("bad", F.coalesce("bad", F.lit(False)))
 
 
-def detect_bad(df: DataFrame, keys: list[str], cfg: Options = options("noise"), *, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
-    """Adds z, _q_hat, bad_day and bad."""
-    made = innovations(df, keys, tau=cfg.tau_days, resid=resid, sigma=sigma)
-    made = checkpointed(made)  # read for the sizes, the fit and the result
+def detect_bad(df: DataFrame, keys: list[str], cfg: Options = options("noise"), *, resid: str = "resid", sigma: str = "sigma", made: DataFrame | None = None) -> DataFrame:
+    """Adds z, _q_hat, bad_day and bad; ``made``: the stored rows with their innovations, where these are there already."""
+    if made is None:
+        made = checkpointed(innovations(df, keys, tau=cfg.tau_days, resid=resid, sigma=sigma))  # read for the sizes, the fit and the result
     q = noise_strength(made, keys, sigma=sigma)
     out = made.join(small(q), keys, "left").withColumnRenamed("q_hat", "_q_hat")
     out = out.withColumn("z", F.col("ou_e") / F.nullif(F.sqrt(F.col("ou_a") + F.coalesce("_q_hat", F.lit(0.0)) * F.col("ou_b")), F.lit(0.0)))

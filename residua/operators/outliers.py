@@ -11,19 +11,27 @@ from residua.operators.blocks import exact_median, largest_group, small
 
 def with_group_value(df: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of one row per group, broadcast when it is counted to be small."""
-    return df.join(small(values), keys, "left") if keys else df.crossJoin(F.broadcast(values.limit(1)))
+    return with_value(df, small(values) if keys else values, keys)
 
 
-def robust_outliers(df: DataFrame, keys: list[str], *, resid: str = "resid", z_thresh: float = 5.0, prefix: str = "robust") -> DataFrame:
+def with_value(df: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for values that are written already."""
+    return df.join(values, keys, "left") if keys else df.crossJoin(F.broadcast(values.limit(1)))
+
+
+def robust_outliers(df: DataFrame, keys: list[str], *, resid: str = "resid", z_thresh: float = 5.0, prefix: str = "robust", into: DataFrame | None = None, largest: int | None = None) -> DataFrame:
     """Adds <prefix>_z = 0.6745 (y - median)/MAD of the group and <prefix>_outlier = |z| >= z_thresh.
 
     Groups with MAD 0 and rows without a value have a null z and no outlier.
+    The columns go to ``into``, the same rows with further columns, where it is
+    given.  ``largest`` is a bound on the rows of a group where it is known.
     """
-    largest = largest_group(df.where(F.col(resid).isNotNull()), keys)
+    largest = largest_group(df.where(F.col(resid).isNotNull()), keys) if largest is None else largest
     med = exact_median(df, keys, resid, "_med", largest=largest)
-    at = with_group_value(df, med, keys).withColumn("_dev", F.abs(F.col(resid) - F.col("_med")))
+    med = small(med) if keys else med
+    at = with_value(df, med, keys).withColumn("_dev", F.abs(F.col(resid) - F.col("_med")))
     mad = exact_median(at, keys, "_dev", "_mad", largest=largest)
-    out = with_group_value(at, mad, keys)
+    out = with_group_value(at if into is None else with_value(into, med, keys), mad, keys)
     z = F.lit(0.6745) * (F.col(resid) - F.col("_med")) / F.nullif(F.col("_mad"), F.lit(0.0))
     return (
         out.withColumn(f"{prefix}_z", z)
@@ -32,11 +40,11 @@ def robust_outliers(df: DataFrame, keys: list[str], *, resid: str = "resid", z_t
     )
 
 
-def hard_limit(df: DataFrame, keys: list[str], *, resid: str = "resid", sigma: str = "sigma", factor: float = 4.0, label: str = "BAD_DM_DVT+20") -> DataFrame:
+def hard_limit(df: DataFrame, keys: list[str], *, resid: str = "resid", sigma: str = "sigma", factor: float = 4.0, label: str = "BAD_DM_DVT+20", into: DataFrame | None = None) -> DataFrame:
     """Adds bad_dm_dvt with its k, score and label: |r|/s above factor * max(1, mean score of the keys)."""
-    scored = df.withColumn("bad_dm_dvt_score", F.abs(F.col(resid)) / F.when(F.col(sigma) > 0, F.col(sigma)))
-    mean = scored.groupBy(*keys).agg(F.greatest(F.lit(1.0), F.coalesce(F.avg("bad_dm_dvt_score"), F.lit(1.0))).alias("bad_dm_dvt_k"))
-    out = with_group_value(scored, mean, keys)
+    scored = lambda rows: rows.withColumn("bad_dm_dvt_score", F.abs(F.col(resid)) / F.when(F.col(sigma) > 0, F.col(sigma)))
+    mean = scored(df).groupBy(*keys).agg(F.greatest(F.lit(1.0), F.coalesce(F.avg("bad_dm_dvt_score"), F.lit(1.0))).alias("bad_dm_dvt_k"))
+    out = with_group_value(scored(df if into is None else into), mean, keys)
     out = out.withColumn("bad_dm_dvt", F.coalesce(F.col("bad_dm_dvt_score") > factor * F.col("bad_dm_dvt_k"), F.lit(False)))
     return out.withColumn("bad_dm_dvt_label", F.when(F.col("bad_dm_dvt"), F.lit(label)).otherwise(F.lit("")))
 

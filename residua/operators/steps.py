@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.options import Options, options
-from residua.operators.blocks import exact_median, previous_rows, running_sums, small
+from residua.operators.blocks import DIRECT_ROWS, SMALL, exact_median, in_blocks, largest_group, small
+from residua.session import stored
 
 
 def chromatic_scale(freq: str = "freq") -> Column:
@@ -15,12 +18,17 @@ def chromatic_scale(freq: str = "freq") -> Column:
     return F.when(f.isNotNull() & (f != 0), f * f)
 
 
-def usable(df: DataFrame, resid: str, sigma: str, time: str, scale: Column | None) -> DataFrame:
-    """Adds _y and _w of rows that can be fitted; other rows are left out."""
+def fitted(resid: str, sigma: str, time: str, scale: Column | None) -> tuple[Column, Column]:
+    """Value and weight of a row; either is null where the row cannot be fitted."""
     k = scale if scale is not None else F.lit(1.0)
     y, s = F.col(resid) * k, F.col(sigma) * k
-    made = df.withColumns({"_y": y, "_w": F.when(s > 0, F.lit(1.0) / (s * s))})
-    return made.where(F.col(time).isNotNull() & F.col("_y").isNotNull() & F.col("_w").isNotNull())
+    return y, F.when(s > 0, F.lit(1.0) / (s * s))
+
+
+def usable(df: DataFrame, resid: str, sigma: str, time: str, scale: Column | None) -> DataFrame:
+    """Adds _y and _w of rows that can be fitted; other rows are left out."""
+    y, w = fitted(resid, sigma, time, scale)
+    return df.withColumns({"_y": y, "_w": w}).where(F.col(time).isNotNull() & F.col("_y").isNotNull() & F.col("_w").isNotNull())
 
 
 def best_steps(
@@ -31,47 +39,93 @@ def best_steps(
     Splits are scanned by running sums of weights; the earliest of equal splits
     wins.  A series without an accepted split has no row.
     """
-    rows = usable(df, resid, sigma, time, scale).select(*keys, row_id, time, "_y", "_w")
-    sums = {"_n": F.lit(1), "_sw": F.col("_w"), "_swy": F.col("_w") * F.col("_y")}
-    at = running_sums(previous_rows(rows, keys, time, row_id, [time]), keys, time, row_id, sums)
-    n1, n2 = F.col("_n") - 1, F.col("_n_all") - F.col("_n") + 1
-    w1, w2 = F.col("_sw") - F.col("_w"), F.col("_sw_all") - F.col("_sw") + F.col("_w")
-    wy1 = F.col("_swy") - F.col("_w") * F.col("_y")
-    split = at.where((n1 >= cfg.points) & (n2 >= cfg.points)).withColumns({
-        "_w1": w1, "_w2": w2, "_amp": (F.col("_swy_all") - wy1) / w2 - wy1 / w1, "_t0": (F.col(f"prev_{time}") + F.col(time)) / 2,
-    })
-    if cfg.span_days is not None:
-        ends = rows.groupBy(*keys).agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
-        split = split.join(small(ends), keys)
-        end = F.col("_last") if cfg.horizon_days is None else F.least(F.col("_last"), F.col("_t0") + cfg.horizon_days)
-        split = split.where((F.col(f"prev_{time}") - F.col("_first") >= cfg.span_days) & (end - F.col(time) >= cfg.span_days))
-    split = split.withColumn("_d", F.col("_amp") * F.col("_amp") / (1 / F.col("_w1") + 1 / F.col("_w2")))
-    best = split.groupBy(*keys).agg(F.max_by(F.struct("_t0", "_amp", "_d"), F.struct(F.col("_d"), -F.col("_n"))).alias("_b"))
-    found = best.where(F.col("_b._d") >= cfg.gain)
-    return found.select(*keys, F.col("_b._t0").alias("t0"), F.col("_b._amp").alias("amp"), F.col("_b._d").alias("delta_chi2"))
-
-
-def step_members(df: DataFrame, events: DataFrame, keys: list[str], cfg: Options, *, prefix: str, sigma: str = "sigma", time: str = "mjd", scale: Column | None = None, count_keys: list[str] | None = None) -> DataFrame:
+    return best_steps_of(df, keys, {"one": Scan(cfg, resid, sigma, scale)}, time=time, row_id=row_id)["one"]
+
+
+class Scan(NamedTuple):
+    """One of the scans that share a pass over the rows."""
+
+    cfg: Options
+    resid: str = "resid"
+    sigma: str = "sigma"
+    scale: Column | None = None
+
+
+def best_steps_of(df: DataFrame, keys: list[str], scans: dict[str, Scan], *, time: str = "mjd", row_id: str = "toa_id") -> dict[str, DataFrame]:
+    """``best_steps`` of several values of the same rows, which are sorted once.
+
+    Sums run within (series, time block); what earlier blocks contribute comes
+    from a table of one row per block.
+    """
+    fits = {}
+    for i, c in scans.items():
+        y, w = fitted(c.resid, c.sigma, time, c.scale)
+        ok = y.isNotNull() & w.isNotNull()
+        fits |= {f"_y_{i}": F.when(ok, y), f"_w_{i}": F.when(ok, w)}
+    rows = in_blocks(df.where(F.col(time).isNotNull()).select(*keys, row_id, F.col(time).alias("_t"), *[c.alias(n) for n, c in fits.items()]), "_t")
+    t = lambda i: F.when(F.col(f"_w_{i}").isNotNull(), F.col("_t"))
+    sums = {f"{k}_{i}": c for i in scans for k, c in (("n", F.when(F.col(f"_w_{i}").isNotNull(), F.lit(1))), ("sw", F.col(f"_w_{i}")), ("swy", F.col(f"_w_{i}") * F.col(f"_y_{i}")))}
+    per = rows.groupBy(*keys, "_block").agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[f(t(i)).alias(f"{k}_{i}") for i in scans for k, f in (("first", F.min), ("last", F.max))])
+    series = Window.partitionBy(*keys)
+    before = series.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = small(per.select(
+        *keys, "_block",
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
+        *[F.sum(n).over(series).alias(f"_all_{n}") for n in sums],
+        *[c.alias(f"_{k}_{i}") for i in scans for k, c in (("carry", F.max(f"last_{i}").over(before)), ("first", F.min(f"first_{i}").over(series)), ("last", F.max(f"last_{i}").over(series)))],
+    ))
+    order = Window.partitionBy(*keys, "_block").orderBy("_t", row_id)
+    local, above = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    run = rows.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in sums.items()} | {f"_prev_{i}": F.max(t(i)).over(above) for i in scans})
+    run = run.join(per, [*keys, "_block"])
+    best = []
+    for i, c in scans.items():
+        n, sw, swy = (F.coalesce(F.col(f"_l_{k}_{i}"), F.lit(0)) + F.col(f"_b_{k}_{i}") for k in ("n", "sw", "swy"))
+        all_n, all_w, all_wy = (F.col(f"_all_{k}_{i}") for k in ("n", "sw", "swy"))
+        w, y, prev = F.col(f"_w_{i}"), F.col(f"_y_{i}"), F.coalesce(f"_prev_{i}", f"_carry_{i}")
+        w1, wy1 = sw - w, swy - w * y
+        w2 = all_w - sw + w
+        amp = (all_wy - wy1) / w2 - wy1 / w1
+        t0 = (prev + F.col("_t")) / 2
+        ok = w.isNotNull() & (n - 1 >= c.cfg.points) & (all_n - n + 1 >= c.cfg.points)
+        if c.cfg.span_days is not None:
+            end = F.col(f"_last_{i}") if c.cfg.horizon_days is None else F.least(F.col(f"_last_{i}"), t0 + c.cfg.horizon_days)
+            ok = ok & (prev - F.col(f"_first_{i}") >= c.cfg.span_days) & (end - F.col("_t") >= c.cfg.span_days)
+        split = F.when(ok, F.struct((amp * amp / (1 / w1 + 1 / w2)).alias("d"), (-n).alias("n"), t0.alias("t0"), amp.alias("amp")))
+        best.append(F.max(split).alias(f"_best_{i}"))
+    found = small(run.groupBy(*keys).agg(*best))
+    at = lambda i, f: F.col(f"_best_{i}.{f}")
+    return {i: found.where(at(i, "d") >= c.cfg.gain).select(*keys, at(i, "t0").alias("t0"), at(i, "amp").alias("amp"), at(i, "d").alias("delta_chi2")) for i, c in scans.items()}
+
+
+def step_members(df: DataFrame, events: DataFrame, keys: list[str], cfg: Options, *, prefix: str, sigma: str = "sigma", time: str = "mjd", scale: Column | None = None, count_keys: list[str] | None = None, into: DataFrame | None = None, largest: int | None = None) -> DataFrame:
     """Adds the step columns: who is after the step within the horizon, and for whom it is larger than eta sigma.
 
     ``events`` has one row per ``keys``.  Counts are over ``count_keys``
-    (default ``keys``).
+    (default ``keys``); they are made only where they are read.  The columns go
+    to ``into``, the same rows with further columns, where it is given.
+    ``largest`` is a bound on the rows of a group where it is known.
     """
-    ev = events.select(*keys, F.col("t0").alias(f"{prefix}_t0"), F.col("amp").alias(f"{prefix}_amp"), F.col("delta_chi2").alias(f"{prefix}_delta_chi2"))
-    out = df.join(small(ev), keys, "left")
+    ev, size = stored(events.select(*keys, F.col("t0").alias(f"{prefix}_t0"), F.col("amp").alias(f"{prefix}_amp"), F.col("delta_chi2").alias(f"{prefix}_delta_chi2")))
+    counted = count_keys or keys
     t0, t = F.col(f"{prefix}_t0"), F.col(time)
     inside = t >= t0
     if cfg.horizon_days is not None:
         inside = inside & (t <= t0 + F.lit(float(cfg.horizon_days)))
     known = F.col(f"{prefix}_amp").isNotNull()
-    out = out.withColumn(f"{prefix}_applicable", F.coalesce(known & inside, F.lit(False)))
     effect = F.abs(f"{prefix}_amp") / (scale if scale is not None else F.lit(1.0))
     z = F.when(F.col(f"{prefix}_applicable") & (F.col(sigma) > 0), effect / F.col(sigma))
-    out = out.withColumn("_z", z).withColumn(f"{prefix}_informative", F.coalesce(F.col("_z") > cfg.eta, F.lit(False)))
-    out = out.withColumn(f"{prefix}_id", F.when(F.col(f"{prefix}_applicable"), F.lit(0)).otherwise(F.lit(-1)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        at = rows.join(F.broadcast(ev) if size <= SMALL else ev, keys, "left")
+        at = at.withColumn(f"{prefix}_applicable", F.coalesce(known & inside, F.lit(False)))
+        at = at.withColumn("_z", z).withColumn(f"{prefix}_informative", F.coalesce(F.col("_z") > cfg.eta, F.lit(False)))
+        return at.withColumn(f"{prefix}_id", F.when(F.col(f"{prefix}_applicable"), F.lit(0)).otherwise(F.lit(-1)))
+
+    rows = placed(df).where(F.col(f"{prefix}_applicable"))
     zi = F.when(F.col(f"{prefix}_informative"), F.col("_z"))
-    counted = count_keys or keys
-    stats = out.where(F.col(f"{prefix}_applicable")).groupBy(*counted).agg(
+    direct = (largest_group(df, counted) if largest is None else largest) <= DIRECT_ROWS
+    stats = rows.groupBy(*counted).agg(
         F.count("*").alias(f"{prefix}_n_applicable"),
         F.count(zi).alias(f"{prefix}_n_informative"),
         F.count(zi).alias(f"{prefix}_n_members"),
@@ -79,9 +133,13 @@ def step_members(df: DataFrame, events: DataFrame, keys: list[str], cfg: Options
         F.coalesce(F.avg((zi < 1).cast("double")), F.lit(0.0)).alias(f"{prefix}_frac_z_lt1"),
         F.min(zi).alias(f"{prefix}_z_min"),
         F.max(zi).alias(f"{prefix}_z_max"),
+        *[F.median(zi).alias(f"{prefix}_z_med")] * direct,
     )
-    med = exact_median(out.where(F.col(f"{prefix}_informative")), counted, "_z", f"{prefix}_z_med")
-    out = out.drop("_z").join(small(stats.join(med, counted, "left")), counted, "left")
+    if not direct:
+        stats = small(stats.join(exact_median(rows.where(F.col(f"{prefix}_informative")), counted, "_z", f"{prefix}_z_med", largest=largest), counted, "left"))
+    elif counted == keys and size <= SMALL / 8:  # at most a row for each event
+        stats = F.broadcast(stats)
+    out = placed(df if into is None else into).drop("_z").join(stats, counted, "left")
     zero = [f"{prefix}_n_applicable", f"{prefix}_n_informative", f"{prefix}_n_members", f"{prefix}_frac_informative_z_lt1", f"{prefix}_frac_z_lt1"]
     return out.fillna(0, subset=zero)
 
@@ -119,10 +177,8 @@ def regroup_step(df: DataFrame, events: DataFrame, series: list[str], group: str
     return ok.select(*series, group, "t0", (F.col("_y2") / F.col("_w2") - F.col("_y1") / F.col("_w1")).alias("amp"), "delta_chi2")
 
 
-def detect_global_step(df: DataFrame, series: list[str], group: str, cfg: Options, *, prefix: str = "step_global", resid: str = "resid", sigma: str = "sigma", scale: Column | None = None) -> DataFrame:
+def detect_global_step(df: DataFrame, series: list[str], group: str, cfg: Options, *, prefix: str = "step_global", resid: str = "resid", sigma: str = "sigma", scale: Column | None = None, events: DataFrame | None = None, into: DataFrame | None = None, largest: int | None = None) -> DataFrame:
     """A step found in the whole series, its amplitude and members per group."""
-    found = small(best_steps(df, series, cfg, resid=resid, sigma=sigma, scale=scale))
+    found = small(best_steps(df, series, cfg, resid=resid, sigma=sigma, scale=scale)) if events is None else events
     per = regroup_step(df, found, series, group, cfg, resid=resid, sigma=sigma, scale=scale)
-    return step_members(df, per, [*series, group], cfg, prefix=prefix, sigma=sigma, scale=scale)
-
-
+    return step_members(df, per, [*series, group], cfg, prefix=prefix, sigma=sigma, scale=scale, into=into, largest=largest)

@@ -1,18 +1,20 @@
 """Exponential transients: scan of all start times, suppression, members.
 
 The template exp(-(t - t0)/tau) splits into a factor of the row and one of the
-start, so every window sum is a difference of two running sums.  These run
-within time buckets of the window's length, relative to the bucket's origin:
-rows go to their own and the preceding bucket, and markers at a window's start
-and end read off the running sums.  Cost is that of sorting, however many rows
-a window holds, and a long series spreads over its buckets.
+start, so every window sum comes from two running sums: to the end of the time
+bucket of the window's length in which it starts, and from there on.  Cost is
+that of sorting, however many rows a window holds, and a long series spreads
+over chunks of buckets; rows of a chunk's first bucket go to the one before, too.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,43 +23,74 @@ from residua.options import Options, options
 from residua.operators.blocks import exact_median, small
 
 
-def scan_starts(df: DataFrame, keys: list[str], *, tau: float, width: float, min_points: int, threshold: float, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id") -> DataFrame:
+#: windows that a chunk of the scan and a bucket of the choice among candidates span
+BUCKET_WINDOWS = 16
+
+
+def chunk_starts(t: np.ndarray, y: np.ndarray, w: np.ndarray, own: np.ndarray, tau: float, width: float) -> tuple[np.ndarray, ...]:
+    """(row, amp, delta_chi2, n, last) of the windows that start at own rows; rows sorted by time.
+
+    A window's rows are the end of its time bucket and the beginning of the
+    next, so its sums are one of either and no difference of larger ones.
+    """
+    bucket = np.floor(t / width)
+    parts = []
+    for b in np.unique(bucket[own]):
+        i, m, z = np.searchsorted(bucket, (b, b + 1, b + 2))
+        x = (t[i:z] - (b + 1) * width) / tau
+        fade = np.exp(-x)
+        terms = np.stack((w[i:z] * y[i:z] * fade, w[i:z] * fade * fade))
+        to_end = np.cumsum(terms[:, : m - i][:, ::-1], axis=1)[:, ::-1]
+        from_edge = np.zeros((2, z - m + 1))
+        np.cumsum(terms[:, m - i :], axis=1, out=from_edge[:, 1:])
+        mine = np.flatnonzero(own[i:m])
+        t0 = t[i:m][mine]
+        first, end = np.searchsorted(t[i:m], t0, "left"), np.searchsorted(t[m:z], t0 + width, "right")
+        num, den = to_end[:, first] + from_edge[:, end]
+        good = den > 0
+        den, rise = np.where(good, den, 1.0), np.exp(x[mine])
+        parts.append((i + mine, np.where(good, num / den / rise, np.nan), np.where(good, num * num / den, -np.inf), m - i - first + end, t[m + end - 1]))
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.empty(0, np.int64), *[np.empty(0)] * 2, np.empty(0, np.int64), np.empty(0))
+
+
+def scan_starts(df: DataFrame, keys: list[str], *, tau: float, width: float, min_points: int, threshold: float, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", accept: Callable[..., np.ndarray] | None = None, settle_them: bool = False) -> DataFrame:
     """(keys, row_id, t0, amp, delta_chi2, n, last) of each used row whose window [t0, t0 + width] reaches the threshold.
 
     amp = sum(w f y)/sum(w f^2), delta_chi2 = (sum w f y)^2 / sum(w f^2); last is
     the time of the window's last row.
     Rows with a null time or value, or without a positive sigma, are not used.
+    ``accept`` chooses among the windows by amp, t0 and last.  With
+    ``settle_them`` they are settled in buckets of ``BUCKET_WINDOWS`` windows
+    (see ``keep_best``) and have the column _kept.
     """
     s = F.col(sigma)
     ok = F.col(time).isNotNull() & F.col(resid).isNotNull() & (s > 0)
     ok = ok if use is None else ok & use
-    rows = df.where(ok).select(*keys, F.col(row_id).alias("_id"), F.col(time).alias("_t"), F.col(resid).alias("_y"), (F.lit(1.0) / (s * s)).alias("_w"))
-    own = F.floor(F.col("_t") / F.lit(width))
-    entry = lambda b, at, kind: F.struct(b.alias("b"), at.alias("at"), F.lit(kind).alias("kind"))
-    t = F.col("_t")
-    placed = rows.withColumn("_e", F.explode(F.array(entry(own, t, 0), entry(own, t, 1), entry(own - 1, t, 1), entry(own, t + F.lit(width), 2))))
-    placed = placed.select(*keys, F.col("_e.b").alias("_b"), F.col("_e.at").alias("_at"), F.col("_e.kind").alias("_kind"), "_id", "_t", "_y", "_w")
-    x = (F.col("_t") - F.col("_b") * F.lit(width)) / F.lit(tau)
-    data = F.col("_kind") == 1
-    w = Window.partitionBy(*keys, "_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.withColumns({
-        "_l": F.max(F.when(data, F.col("_t"))).over(w),
-        "_c": F.sum(F.when(data, F.lit(1)).otherwise(0)).over(w),
-        "_p": F.sum(F.when(data, F.col("_w") * F.col("_y") * F.exp(-x)).otherwise(0.0)).over(w),
-        "_q": F.sum(F.when(data, F.col("_w") * F.exp(-2 * x)).otherwise(0.0)).over(w),
-    })
-    sign = F.col("_kind") - 1
-    got = run.where(~data).groupBy(*keys, "_b", "_id", "_t").agg(*[F.sum(sign * F.col(c)).alias(c) for c in ("_c", "_p", "_q")], F.max("_l").alias("_l"))
-    shift = F.exp((F.col("_t") - F.col("_b") * F.lit(width)) / F.lit(tau))
-    num, den = shift * F.col("_p"), shift * shift * F.col("_q")
-    out = got.where((F.col("_c") >= min_points) & (F.col("_q") > 0)).select(
-        *keys, F.col("_id").alias(row_id), F.col("_t").alias("t0"), (num / den).alias("amp"), (num * num / den).alias("delta_chi2"), F.col("_c").alias("n"), F.col("_l").alias("last")
-    )
-    return out.where(F.col("delta_chi2") >= threshold)
-
-
-#: windows that a bucket of the choice among candidates spans
-BUCKET_WINDOWS = 16
+    span = width * BUCKET_WINDOWS
+    b = F.floor(F.col(time) / F.lit(span))
+    follows = F.when(F.floor(F.col(time) / F.lit(width)) == b * BUCKET_WINDOWS, F.struct((b - 1).alias("b"), F.lit(False).alias("own")))
+    placed = F.explode(F.array_compact(F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), follows)))
+    rows = df.where(ok).select(*keys, F.col(row_id), F.col(time).alias("t0"), F.col(resid).cast("double").alias("_y"), (F.lit(1.0) / (s * s)).alias("_w"), placed.alias("_p"))
+    rows = rows.select(*keys, row_id, "t0", "_y", "_w", F.col("_p.b").alias("_b"), F.col("_p.own").alias("_own"))
+    of_rows = rows.select(*keys, row_id, "t0").schema.fields
+    made = [("amp", T.DoubleType()), ("delta_chi2", T.DoubleType()), ("n", T.LongType()), ("last", T.DoubleType())] + [("_kept", T.BooleanType())] * settle_them
+
+    def scan(key, table):
+        table = table.take(pc.sort_indices(table, [("t0", "ascending"), (row_id, "ascending")]))
+        t, y, w, own = (table.column(c).to_numpy().astype(kind) for c, kind in (("t0", float), ("_y", float), ("_w", float), ("_own", bool)))
+        at, amp, delta, n, last = chunk_starts(t, y, w, own, tau, width)
+        good = (n >= min_points) & (delta >= threshold)
+        if accept is not None:
+            good &= accept(amp, t[at], last)
+        found = table.take(pa.array(at[good], pa.int64())).select([*keys, row_id, "t0"])
+        for (name, _), v in zip(made, (amp, delta, n.astype(np.int64), last)):
+            found = found.append_column(name, pa.array(v[good]))
+        if settle_them:
+            low = key[-1].as_py() * span
+            found = settled(found.append_column("_kept", pa.array(np.zeros(found.num_rows, bool))), width, row_id, low, low + span)
+        return found
+
+    return rows.groupBy(*keys, "_b").applyInArrow(scan, T.StructType([*of_rows, *[T.StructField(n, k) for n, k in made]]))
 
 
 def settle(t: list[float], score: list[float], ident: list, kept: list[bool], width: float, low: float | None = None, high: float | None = None) -> list[bool | None]:
@@ -87,46 +120,50 @@ def settle(t: list[float], score: list[float], ident: list, kept: list[bool], wi
     return state
 
 
-def keep_best(cands: DataFrame, keys: list[str], width: float, *, row_id: str = "toa_id", suppress: bool = True) -> DataFrame:
+def keep_best(cands: DataFrame, keys: list[str], width: float, *, row_id: str = "toa_id", suppress: bool = True, settled_in: float | None = None) -> DataFrame:
     """Greedy choice by falling delta_chi2 (then t0, row id) of candidates whose windows share no start; adds ``rank`` from 0.
 
     Candidates are settled in time buckets, where all but those that depend on
     what lies beyond a bucket's ends are decided; these are looked at again in
     buckets shifted by half, and what then is left, with the kept ones, per
     series.  The result is that of one pass over the whole series, but no task
-    sees all its candidates.
+    sees all its candidates.  With ``settled_in`` they have been settled in
+    buckets of that length, and have the column _kept.
     """
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("delta_chi2"), "t0", row_id)) - 1
     if not suppress:
-        return cands.withColumn("rank", rank)
-    span = width * BUCKET_WINDOWS
-    schema = T.StructType([*cands.schema.fields, T.StructField("_kept", T.BooleanType())])
-    ranked = T.StructType([*cands.schema.fields, T.StructField("rank", T.IntegerType())])
+        return cands.drop("_kept").withColumn("rank", rank)
+    span = settled_in or width * BUCKET_WINDOWS
+    out = cands if settled_in else cands.withColumn("_kept", F.lit(False))
+    schema = out.schema
+    ranked = T.StructType([*[f for f in schema.fields if f.name != "_kept"], T.StructField("rank", T.IntegerType())])
 
     def in_bucket(shift: float):
         def one(key, table):
             low = key[-1].as_py() * span + shift
-            return settled(table.drop_columns(["_b"]), low, low + span)
+            return settled(table.drop_columns(["_b"]), width, row_id, low, low + span)
 
         return one
 
-    def settled(table, low=None, high=None):
-        state = settle(*(table.column(c).to_pylist() for c in ("t0", "delta_chi2", row_id, "_kept")), width, low, high)
-        at = pa.array([i for i, s in enumerate(state) if s is not False], pa.int64())
-        return table.take(at).set_column(table.column_names.index("_kept"), "_kept", pa.array([bool(s) for s in state if s is not False], pa.bool_()))
-
     def in_series(key, table):
-        done = settled(table)
+        done = settled(table, width, row_id)
         score, t0, ident = (done.column(c).to_pylist() for c in ("delta_chi2", "t0", row_id))
         order = sorted(range(done.num_rows), key=lambda i: (-score[i], t0[i], ident[i]))
-        return done.take(pa.array(order, pa.int64())).set_column(done.column_names.index("_kept"), "rank", pa.array(range(done.num_rows), pa.int32()))
+        done = done.take(pa.array(order, pa.int64())).drop_columns(["_kept"])
+        return done.append_column("rank", pa.array(range(done.num_rows), pa.int32()))
 
-    out = cands.withColumn("_kept", F.lit(False))
-    for shift in (0.0, span / 2):
+    for shift in (span / 2,) if settled_in else (0.0, span / 2):
         out = out.withColumn("_b", F.floor((F.col("t0") - F.lit(shift)) / F.lit(span))).groupBy(*keys, "_b").applyInArrow(in_bucket(shift), schema)
     return out.groupBy(*keys).applyInArrow(in_series, ranked)
 
 
+def settled(table: pa.Table, width: float, row_id: str, low: float | None = None, high: float | None = None) -> pa.Table:
+    """The candidates that ``settle`` does not drop, marked in _kept if they are kept for certain."""
+    state = settle(*(table.column(c).to_pylist() for c in ("t0", "delta_chi2", row_id, "_kept")), width, low, high)
+    at = pa.array([i for i, s in enumerate(state) if s is not False], pa.int64())
+    return table.take(at).set_column(table.column_names.index("_kept"), "_kept", pa.array([bool(s) for s in state if s is not False], pa.bool_()))
+
+
 def event_rows(df: DataFrame, events: DataFrame, keys: list[str], width: float, *, time: str = "mjd") -> DataFrame:
     """Rows joined to the events whose window [t0, t0 + width] holds them, through time buckets."""
     b = F.floor(F.col("t0") / F.lit(width))
@@ -137,12 +174,12 @@ def event_rows(df: DataFrame, events: DataFrame, keys: list[str], width: float,
 
 def transient_events(df: DataFrame, keys: list[str], cfg: Options, *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma") -> DataFrame:
     width = cfg.reach * cfg.decay_days
-    found = scan_starts(df, keys, tau=cfg.decay_days, width=width, min_points=cfg.points, threshold=cfg.gain, use=use, resid=resid, sigma=sigma)
-    return keep_best(found, keys, width, suppress=cfg.exclusive)
+    found = scan_starts(df, keys, tau=cfg.decay_days, width=width, min_points=cfg.points, threshold=cfg.gain, use=use, resid=resid, sigma=sigma, settle_them=cfg.exclusive)
+    return keep_best(found, keys, width, suppress=cfg.exclusive, settled_in=width * BUCKET_WINDOWS)
 
 
-def detect_transients(df: DataFrame, keys: list[str], cfg: Options = options("transient"), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", prefix: str = "transient", events: DataFrame | None = None) -> DataFrame:
-    """Adds <prefix>_id (rank of the event, -1 for none), _amp, _t0, _delta_chi2 of members, |A f|/sigma >= eta."""
+def detect_transients(df: DataFrame, keys: list[str], cfg: Options = options("transient"), *, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", prefix: str = "transient", events: DataFrame | None = None, into: DataFrame | None = None) -> DataFrame:
+    """Adds <prefix>_id (rank of the event, -1 for none), _amp, _t0, _delta_chi2 of members, |A f|/sigma >= eta; to ``into``, the same rows with further columns, where it is given."""
     ev = events if events is not None else transient_events(df, keys, cfg, use=use, resid=resid, sigma=sigma)
     ev = ev.select(*keys, F.col("rank").cast("int").alias(f"{prefix}_id"), F.col("amp").alias(f"{prefix}_amp"), "t0", F.col("delta_chi2").alias(f"{prefix}_delta_chi2"))
     width = cfg.reach * cfg.decay_days
@@ -152,7 +189,7 @@ def detect_transients(df: DataFrame, keys: list[str], cfg: Options = options("tr
     members = at.where((F.col(sigma) > 0) & (z >= cfg.eta)).withColumnRenamed("t0", f"{prefix}_t0")
     # without suppression a row may be in several events: the last written, of highest rank, holds
     best = members.groupBy(row_id).agg(F.max(F.struct(*cols)).alias("_m")).select(row_id, *[F.col(f"_m.{c}").alias(c) for c in cols])
-    return df.join(best, row_id, "left").fillna(-1, subset=[f"{prefix}_id"])
+    return (df if into is None else into).join(best, row_id, "left").fillna(-1, subset=[f"{prefix}_id"])
 
 
 def detect_global_transients(df: DataFrame, series: list[str], group: str, cfg: Options = options("transient"), *, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", prefix: str = "transient_global") -> DataFrame:

@@ -1,8 +1,8 @@
 """The detection stage and the whole pipeline.
 
-The stage works on a narrow base of series columns that is written once.  Every
-detector adds columns by row id; these are joined in the end, so no detector
-recomputes another.
+The stage works on a narrow base of series columns that is written once.  What
+detectors find for a series or group is joined to the rows by its keys, and only
+members of events by row id, so no detector recomputes another.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from residua.options import Settings
 from residua.operators.asof import auto_tolerance, merge_time_and_meta, unmatched_sample
 from residua.operators.binned import detrend, preprocess, with_orbital_cut, with_structure
+from residua.operators.blocks import largest_group
 from residua.operators.bumps import detect_bumps
 from residua.operators.covariate_events import detect_eclipse, detect_solar
-from residua.operators.dips import detect_dips
+from residua.operators.dips import dip_members, with_dips
 from residua.operators.features import add_features
 from residua.operators.glitches import detect_glitches
 from residua.operators.keys import ensure_sys_group
-from residua.operators.ou import detect_bad
+from residua.operators.ou import detect_bad, innovations
 from residua.operators.outliers import hard_limit, robust_outliers, sigma_gate
-from residua.operators.steps import chromatic_scale, detect_dm_step, detect_global_step, detect_step
+from residua.operators.steps import Scan, best_steps_of, chromatic_scale, detect_global_step, step_members
 from residua.operators.transients import detect_global_transients, detect_transients
 from residua.plans.resolve import bad_points, clear_events, event_flags, outlier_flags
 from residua.session import checkpointed
@@ -60,66 +61,81 @@ def detection_stage(df: DataFrame, cfg: Settings = Settings(), *, series: list[s
     if struct.mode in ("test", "both"):
         rows = with_structure(rows, by, struct, resid=base)
     rows, made_r, made_s, models = preprocess(rows, _per_series(cfg, series), resid=base)
-    rows = checkpointed(rows)
-
     pick = lambda d: (made_r, made_s) if d in cfg.preproc.used_by and made_r else (base, "sigma")
     used = {d: pick(d) for d in DETECTORS}
-    out, had = rows, set(rows.columns)
+    ro, so = used["ou"]
+    had = list(rows.columns)
+    # written once, with the innovations, for all that follows
+    made = checkpointed(innovations(rows.select(*had), backend, tau=cfg.noise.tau_days, resid=ro, sigma=so))
+    rows = made.select(*had)
+    largest = largest_group(rows, series)
+    out = flagged = detect_bad(rows, backend, cfg.noise, resid=ro, sigma=so, made=made)
+    bad = [c for c in flagged.columns if c not in had]
     for d, (r, s) in used.items():
         out = out.withColumns({f"{d}_used_resid_col": F.lit(r), f"{d}_used_sigma_col": F.lit(s)})
 
-    def annotate(made: DataFrame, keep: bool = False) -> DataFrame:
-        """The columns a detector added; written if another detector needs them."""
+    def annotate(new: DataFrame) -> None:
+        """Joins the columns that a detector added to the rows."""
         nonlocal out
-        new = made.select(row_id, *[c for c in made.columns if c not in had])
-        new = checkpointed(new) if keep else new
-        out = out.join(new, row_id, "left")
-        return new
+        out = out.join(new.select(row_id, *[c for c in new.columns if c not in had]), row_id, "left")
 
     both = lambda scope, which: scope in (which, "both")
-    r, s = used["step"]
-    if cfg.step.on and both(cfg.step.scope, "global"):
-        annotate(detect_global_step(rows, series, group, cfg.step, resid=r, sigma=s))
-    rd, sd = used["dmstep"]
-    if cfg.dm_step.on and both(cfg.dm_step.scope, "global"):
-        annotate(detect_global_step(rows, series, group, cfg.dm_step, prefix="dm_step_global", resid=rd, sigma=sd, scale=chromatic_scale()))
+    (r, s), (rd, sd) = used["step"], used["dmstep"]
+    scans = {"step": (cfg.step, Scan(cfg.step, r, s)), "dm_step": (cfg.dm_step, Scan(cfg.dm_step, rd, sd, chromatic_scale()))}
+    steps = {}
+    for scope, keys in (("global", series), ("backend", backend)):
+        wanted = {n: scan for n, (c, scan) in scans.items() if c.on and both(c.scope, scope)}
+        steps[scope] = best_steps_of(rows, keys, wanted, row_id=row_id) if wanted else {}
+    for n, ev in steps["global"].items():
+        c, scan = scans[n]
+        out = detect_global_step(rows, series, group, c, prefix=f"{n}_global", resid=scan.resid, sigma=scan.sigma, scale=scan.scale, events=ev, into=out, largest=largest)
     rt, st = used["transient"]
     if both(cfg.transient.scope, "global"):
         annotate(detect_global_transients(rows, series, group, cfg.transient, resid=rt, sigma=st))
     dip_keys = {"backend": backend}.get(cfg.dip.scope, series)
-    found = detect_dips(rows, dip_keys, cfg.dip, resid=rt, sigma=st)
+    dips = [dip_members(rows, dip_keys, cfg.dip, resid=rt, sigma=st)]
     if cfg.dip.scope == "both":
-        own = detect_dips(rows, backend, cfg.dip, resid=rt, sigma=st, prefix="exp_dip_backend").withColumnRenamed("exp_dip_member", "_own")
-        found = found.join(own.select(row_id, *[c for c in own.columns if c not in had]), row_id, "left")
-        found = found.withColumn("exp_dip_member", F.col("exp_dip_member") | F.col("_own")).drop("_own")
-    dips = annotate(found, keep=True)
-    claimed = rows.join(dips.select(row_id, F.col("exp_dip_member").alias("_taken")), row_id, "left")
+        own = dip_members(rows, backend, cfg.dip, resid=rt, sigma=st, prefix="exp_dip_backend")
+        dips.append(own.withColumnRenamed("exp_dip_member", "_own"))
+    if cfg.glitch.on or cfg.bump.on:  # others read them, too
+        dips = [checkpointed(d) for d in dips]
+
+    def dipped(to: DataFrame) -> DataFrame:
+        to = with_dips(to, dips[0], row_id=row_id)
+        if len(dips) > 1:
+            to = to.join(dips[1], row_id, "left").fillna(-1, subset=["exp_dip_backend_id"])
+            to = to.withColumn("exp_dip_member", F.col("exp_dip_member") | F.coalesce("_own", F.lit(False))).drop("_own")
+        return to
+
+    out = dipped(out)
+    claimed = dipped(rows).select(*had, F.col("exp_dip_member").alias("_taken"))
     if cfg.glitch.on:
         found = detect_glitches(claimed, series, cfg.glitch, exclude=F.col("_taken"), resid=rt, sigma=st).drop("_taken")
-        glitches = annotate(found, keep=True)
+        glitches = checkpointed(found.select(row_id, *[c for c in found.columns if c not in had]))
+        annotate(glitches)
         claimed = claimed.join(glitches.select(row_id, F.col("glitch_member").alias("_g")), row_id, "left")
         claimed = claimed.withColumn("_taken", F.col("_taken") | F.coalesce("_g", F.lit(False))).drop("_g")
     rm, sm = used["mad"]
     if cfg.robust.on and both(cfg.robust.scope, "global"):
-        annotate(robust_outliers(rows, series, resid=rm, z_thresh=cfg.robust.z, prefix="robust_global"))
-    ro, so = used["ou"]
-    bad = annotate(detect_bad(rows, backend, cfg.noise, resid=ro, sigma=so), keep=True)
+        out = robust_outliers(rows, series, resid=rm, z_thresh=cfg.robust.z, prefix="robust_global", into=out, largest=largest)
+    after = len(out.columns)
     if both(cfg.transient.scope, "backend"):
-        flagged = rows.join(bad.select(row_id, F.col("bad").alias("_bad")), row_id, "left")
-        annotate(detect_transients(flagged, backend, cfg.transient, use=~F.coalesce(F.col("_bad"), F.lit(False)), resid=rt, sigma=st).drop("_bad"))
-    if cfg.step.on and both(cfg.step.scope, "backend"):
-        annotate(detect_step(rows, backend, cfg.step, resid=r, sigma=s))
-    if cfg.dm_step.on and both(cfg.dm_step.scope, "backend"):
-        annotate(detect_dm_step(rows, backend, cfg.dm_step, resid=rd, sigma=sd))
+        out = detect_transients(flagged, backend, cfg.transient, use=~F.coalesce(F.col("bad"), F.lit(False)), resid=rt, sigma=st, into=out)
+    for n, ev in steps["backend"].items():
+        c, scan = scans[n]
+        out = step_members(rows, ev, backend, c, prefix=n, sigma=scan.sigma, scale=scan.scale, into=out, largest=largest)
     if cfg.robust.on and both(cfg.robust.scope, "backend"):
-        annotate(robust_outliers(rows, backend, resid=rm, z_thresh=cfg.robust.z))
-    annotate(hard_limit(rows, series, resid=ro, sigma=so))
+        out = robust_outliers(rows, backend, resid=rm, z_thresh=cfg.robust.z, into=out, largest=largest)
+    out = hard_limit(rows, series, resid=ro, sigma=so, into=out)
     if cfg.solar.on:
         annotate(detect_solar(rows, series, cfg.solar, resid=ro, sigma=so))
     if cfg.eclipse.on:
         annotate(detect_eclipse(rows, series, cfg.eclipse, resid=ro, sigma=so))
     if cfg.bump.on:
         annotate(detect_bumps(claimed, series, cfg.bump, exclude=F.col("_taken"), resid=ro, sigma=so).drop("_taken"))
+    names = [c for c in out.columns if c not in bad and c not in had]
+    k = after - len(had) - len(bad)  # where those of the noise have always been
+    out = out.select(*had, *names[:k], *bad, *names[k:])
     out = outlier_flags(out)
     if cfg.gate.on:
         out = sigma_gate(out, cfg.gate, resid=ro, sigma=so)

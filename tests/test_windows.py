@@ -8,6 +8,7 @@ import pytest
 from residua.functions.stats import golden_max
 from residua.operators.bumps import SHAPES, chunk_bumps, shape_of
 from residua.operators.dips import chunk_dips
+from residua.operators.transients import chunk_starts
 from residua.options import options
 
 
@@ -91,3 +92,15 @@ def test_bumps_with_frequency_of_dense_rows():
     own, began = np.floor((t - t[0]) / 1500) == 1, time.process_time()
     assert chunk_bumps(t, y, w, np.log(f / 1400), own, 1500.0, options("bump"))
     assert time.process_time() - began < 8
+
+
+def test_transient_windows():
+    t, y, w, _ = rows(300, 400.0, 7)
+    own = np.floor(t / 35) < np.floor(t[-1] / 35) - 1
+    got = {i: rest for i, *rest in zip(*chunk_starts(t, y, w, own, 7.0, 35.0))}
+    assert sorted(got) == np.flatnonzero(own).tolist()
+    for i, (amp, delta, n, last) in got.items():
+        k = (t >= t[i]) & (t <= t[i] + 35)
+        f = np.exp(-(t[k] - t[i]) / 7)
+        num, den = w[k] * f @ y[k], w[k] * f @ f
+        assert (n, last) == (k.sum(), t[k][-1]) and amp == pytest.approx(num / den, rel=1e-9) and delta == pytest.approx(num * num / den, rel=1e-9)
