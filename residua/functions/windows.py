@@ -97,14 +97,23 @@ def blocks(times: np.ndarray, longest: float, spans: list[tuple[np.ndarray, np.n
 def straddling(terms: np.ndarray, origin: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Sums of terms (kinds, rows from ``origin`` on) over rows first to end of each start of a block."""
     p, last = int(first[-1]) - origin, int(end[-1]) - origin
-    before, after = np.zeros((len(terms), p + 1)), np.zeros((len(terms), last - p + 1))
-    np.cumsum(terms[:, :p][:, ::-1], axis=1, out=before[:, 1:])
-    np.cumsum(terms[:, p:last], axis=1, out=after[:, 1:])
-    got = np.take(before, p + origin - first, axis=1)
-    got += np.take(after, end - origin - p, axis=1)
+    got = to_end(terms[:, :p], first - origin)
+    got += from_start(terms[:, p:last], end - origin - p)
     return got
 
 
+def to_end(terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of terms (kinds, rows) from row ``first`` on."""
+    return from_start(terms[:, ::-1], terms.shape[1] - first)
+
+
+def from_start(terms: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of terms (kinds, rows) up to and without row ``end``."""
+    sums = np.zeros((len(terms), terms.shape[1] + 1))
+    np.cumsum(terms, axis=1, out=sums[:, 1:])
+    return np.take(sums, end, axis=1)
+
+
 def golden_max_all(f: Callable[[np.ndarray], np.ndarray], n: int, low: float, high: float, tol: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """``stats.golden_max`` of n functions at once."""
     ratio = (5.0**0.5 - 1.0) / 2.0

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.options import Options, options
-from residua.functions.windows import Powers, blocks, cheb_nodes, golden_max_all, nodes_for, straddling
+from residua.functions.windows import Powers, blocks, cheb_nodes, from_start, golden_max_all, nodes_for, straddling, to_end
 from residua.operators.blocks import small
 
 SHAPES = ("gaussian", "laplace", "plateau")
@@ -35,7 +35,7 @@ def shape_sums(t: np.ndarray, terms: tuple[np.ndarray, np.ndarray], t0: np.ndarr
     find = lambda d, side: np.searchsorted(t, t0 + d, side)
     a, b, m, e, z = find(-half, "left"), find(-flat, "left"), find(0.0, "left"), find(flat, "right"), find(half, "right")
     out = [[np.empty((len(x), len(t0))) for x in terms] for _ in SHAPES]
-    few = 40_000 if len(terms[0]) == 1 else 160_000  # where pairs of start and row cost less than nodes
+    few = 40_000  # where pairs of start and row cost less than nodes
     for k in blocks(t0, length / 3.0, [(a, m), (m, z), (a, b), (b, e), (e, z)], lambda i, j: (j - i) * (z[j - 1] - a[i]) <= few):
         at, near = t0[k], slice(a[k][0], z[k][-1])
         n_starts = len(at)
@@ -58,9 +58,13 @@ def shape_sums(t: np.ndarray, terms: tuple[np.ndarray, np.ndarray], t0: np.ndarr
         for power in (1, 2):
             nodes, turn = cheb_nodes(nodes_for(power * reach * max(-u[0], u[-1]), tol))
             share = (np.polynomial.chebyshev.chebvander(x / reach if reach else x, len(nodes) - 1) @ turn).T * np.exp(-0.5 * power * x * x)
-            got = np.zeros((len(terms[power - 1]), n_starts))
-            for node, part_of in zip(reach * nodes, share):
-                got += straddling(terms[power - 1][:, near] * np.exp(power * u * (node - 0.5 * u)), near.start, a[k], z[k]) * part_of
+            at_nodes = np.exp(power * u * (reach * nodes[:, None] - 0.5 * u))
+            # rows of all windows are summed once, those of some as they come and go
+            i, j = a[k][-1] - near.start, z[k][0] - near.start
+            mine = terms[power - 1][:, near]
+            got = (mine[:, i:j] @ at_nodes[:, i:j].T) @ share
+            for f, part_of in zip(at_nodes, share):
+                got += (to_end(mine[:, :i] * f[:i], a[k] - near.start) + from_start(mine[:, j:] * f[j:], z[k] - z[k][0])) * part_of
             out[0][power - 1][:, k] = got
             out[1][power - 1][:, k] = part(power, a, m, 1.0 / s) + part(power, m, z, -1.0 / s)
             shoulders = part(power, a, b, 10.0 / length) + part(power, e, z, -10.0 / length)

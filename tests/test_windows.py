@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from residua.functions.stats import golden_max
+from residua.functions.windows import from_start, to_end
 from residua.operators.bumps import SHAPES, chunk_bumps, shape_of
 from residua.operators.dips import chunk_dips
 from residua.operators.transients import chunk_starts
@@ -104,3 +105,9 @@ def test_transient_windows():
         f = np.exp(-(t[k] - t[i]) / 7)
         num, den = w[k] * f @ y[k], w[k] * f @ f
         assert (n, last) == (k.sum(), t[k][-1]) and amp == pytest.approx(num / den, rel=1e-9) and delta == pytest.approx(num * num / den, rel=1e-9)
+
+
+def test_sums_from_either_end():
+    x, k = np.random.default_rng(8).normal(size=(3, 7)), np.array([0, 2, 2, 7])
+    for i, want in enumerate(k):
+        assert to_end(x, k)[:, i] == pytest.approx(x[:, want:].sum(axis=1)) and from_start(x, k)[:, i] == pytest.approx(x[:, :want].sum(axis=1))
