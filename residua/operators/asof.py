@@ -12,16 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.options import Options, options
+from residua.operators.blocks import small
 from residua.session import checkpointed
 
 
-def nearest_asof(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, left_on: Column | str, right_on: Column | str, tolerance: float, by: dict[str, tuple[Column, Column]] | None = None, block: float = 1.0) -> DataFrame:
+def nearest_asof(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, left_on: Column | str, right_on: Column | str, tolerance: float, by: dict[str, tuple[Column, Column]] | None = None, block: float = 1.0, few: bool = False) -> DataFrame:
     """(left_id, right_id) of left rows with a right row within ``tolerance`` (inclusive).
 
     At equal distance the earlier record wins; among records of one time the
     greatest right id counts looking back, the least looking ahead.  ``by`` maps
     a name to the left and right expressions that must be equal.  Rows with a
-    null time or key never match; an empty side gives an empty result.
+    null time or key never match; an empty side gives an empty result.  With
+    ``few`` left rows, the right ones in blocks without any are left out before
+    they are sorted.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     by = by or {}
@@ -35,6 +38,8 @@ def nearest_asof(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
     at = lambda d: F.floor((F.col("_k") + F.lit(d)) / F.lit(width))
     lhs = lhs.where(usable).select(*names, at(0.0).alias("_b"), "_k", "_l", F.lit(None).cast(right.schema[right_id].dataType).alias("_r"), F.lit(1).alias("_side"))
     rhs = rhs.where(usable).withColumn("_b", F.explode(F.array_distinct(F.array(at(-2 * tolerance), at(0.0), at(2 * tolerance)))))
+    if few:
+        rhs = rhs.join(small(lhs.select(*names, "_b").distinct()), [*names, "_b"], "left_semi")
     rhs = rhs.select(*names, "_b", "_k", F.lit(None).cast(left.schema[left_id].dataType).alias("_l"), "_r", F.lit(0).alias("_side"))
     both = lhs.unionByName(rhs)
     part = Window.partitionBy(*names, "_b")
@@ -60,8 +65,8 @@ def merge_time_and_meta(toas: DataFrame, meta: DataFrame, cfg: Options = options
     columns whose name is taken get the suffix _meta; rows without a record
     keep nulls.  ``cfg.by_channel`` asks for equal frequency bins in the first
     stage, too.  Without ``cfg.channel_mhz`` frequencies are not looked at, and
-    the second stage falls away.  The matches of a stage are written, so that
-    the next does not compute them again.
+    the second stage falls away.  The matches of a stage and the rows that it
+    leaves are written, so that the next does not compute them again.
     """
     keys = {"entity": (F.col(entity), F.col(entity))} if entity else {}
     corrected = F.coalesce("sat_corr", "mjd")
@@ -70,11 +75,13 @@ def merge_time_and_meta(toas: DataFrame, meta: DataFrame, cfg: Options = options
         channel = F.rint(F.col("freq") / cfg.channel_mhz)
         binned = {**keys, "bin": (channel, channel)}
         stages = [(corrected, binned if cfg.by_channel else keys), (corrected, binned), (F.col("mjd"), keys)]
-    rest, found = toas, None
-    for right_on, by in stages:
-        m = checkpointed(nearest_asof(rest, meta, left_id=toa_id, right_id=meta_id, left_on="mjd", right_on=right_on, tolerance=cfg.tolerance_days, by=by))
+    read = dict.fromkeys([toa_id, *[entity] * bool(entity), "mjd", *["freq"] * (cfg.channel_mhz is not None)])
+    rest, found = toas.select(*read), None
+    for k, (right_on, by) in enumerate(stages):
+        m = checkpointed(nearest_asof(rest, meta, left_id=toa_id, right_id=meta_id, left_on="mjd", right_on=right_on, tolerance=cfg.tolerance_days, by=by, few=k > 0))
         found = m if found is None else found.unionByName(m)
-        rest = rest.join(m.select(toa_id), toa_id, "left_anti")
+        if k + 1 < len(stages):
+            rest = checkpointed(rest.join(m.select(toa_id), toa_id, "left_anti"))
     taken = {c.lower() for c in toas.columns}
     record = meta.select(F.col(meta_id).alias("_m"), *[F.col(f"`{c}`").alias(f"{c}_meta" if c.lower() in taken else c) for c in meta.columns])
     pairs = found.select(F.col(toa_id).alias("_t"), F.col(meta_id).alias("_m")).join(record, "_m").drop("_m")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.operators.blocks import exact_median, small
+from residua.operators.blocks import exact_medians, small
 from residua.operators.series_faults import placeholder
 
 # fixed values: telescope prefixes of file names
@@ -34,18 +34,18 @@ def ensure_sys_group(df: DataFrame, *, file: str = "_timfile", base: str = "_tim
     tel: file name, else the prefix of sys or group; backend: file name, else a
     backend flag; band: the row's cenfreq, the file name's, the file's median
     cenfreq, its median freq, the row's channel.  What stays open is UNK.
+    Names are parsed once for each file, not for each row.
     """
     has = set(df.columns)
-    mid = exact_median(df, [file], freq, "_mf")
-    if cenfreq in has:
-        mid = mid.join(exact_median(df, [file], cenfreq, "_mc"), file, "full")
-    else:
+    mid = exact_medians(df, [file], {"_mf": freq} | ({"_mc": cenfreq} if cenfreq in has else {}))
+    if cenfreq not in has:
         mid = mid.withColumn("_mc", F.lit(None).cast("double"))
-    out = df.join(small(mid), file, "left")
     guess = F.col(file)
     if base in has:
         guess = F.coalesce(F.nullif(F.col(base), F.lit("")), F.col(file))
-    out = out.withColumn("_a", file_triplet(guess))
+    names = df.select(guess.alias("_guess")).where(F.col("_guess").isNotNull()).distinct()
+    parsed = small(names.select("_guess", file_triplet(F.col("_guess")).alias("_a")))
+    out = df.join(small(mid), file, "left").withColumn("_guess", guess).join(parsed, "_guess", "left").drop("_guess")
     named = F.when(F.lower(filename).endswith(".tim"), file_triplet(F.col(filename))) if filename in has else None
     use_name = F.col("_a.tel").isNull() & (named["tel"].isNotNull() if named is not None else F.lit(False))
     pick = lambda c: F.when(use_name, named[c]).otherwise(F.col(f"_a.{c}")) if named is not None else F.col(f"_a.{c}")

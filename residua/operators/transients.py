@@ -34,23 +34,45 @@ def chunk_starts(t: np.ndarray, y: np.ndarray, w: np.ndarray, own: np.ndarray, t
     next, so its sums are one of either and no difference of larger ones.
     """
     bucket = np.floor(t / width)
-    parts = []
-    for b in np.unique(bucket[own]):
-        i, m, z = np.searchsorted(bucket, (b, b + 1, b + 2))
-        x = (t[i:z] - (b + 1) * width) / tau
-        fade = np.exp(-x)
-        terms = np.stack((w[i:z] * y[i:z] * fade, w[i:z] * fade * fade))
-        to_end = np.cumsum(terms[:, : m - i][:, ::-1], axis=1)[:, ::-1]
-        from_edge = np.zeros((2, z - m + 1))
-        np.cumsum(terms[:, m - i :], axis=1, out=from_edge[:, 1:])
-        mine = np.flatnonzero(own[i:m])
-        t0 = t[i:m][mine]
-        first, end = np.searchsorted(t[i:m], t0, "left"), np.searchsorted(t[m:z], t0 + width, "right")
-        num, den = to_end[:, first] + from_edge[:, end]
-        good = den > 0
-        den, rise = np.where(good, den, 1.0), np.exp(x[mine])
-        parts.append((i + mine, np.where(good, num / den / rise, np.nan), np.where(good, num * num / den, -np.inf), m - i - first + end, t[m + end - 1]))
-    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.empty(0, np.int64), *[np.empty(0)] * 2, np.empty(0, np.int64), np.empty(0))
+    starts = np.unique(bucket[own])
+    if not len(starts):
+        return np.empty(0, np.int64), *[np.empty(0)] * 2, np.empty(0, np.int64), np.empty(0)
+    i, m, z = (np.searchsorted(bucket, starts + k) for k in range(3))
+    # buckets that hold about as many rows are lines of one array, each filled up with zeros
+    long, parts = np.log2(z - i).astype(int), []
+    for k in np.unique(long):
+        parts.append(_of_buckets(t, y, w, own, tau, width, starts[long == k], i[long == k], m[long == k], z[long == k]))
+    at, *values = map(np.concatenate, zip(*parts))
+    order = np.argsort(at, kind="stable")
+    return at[order], *[v[order] for v in values]
+
+
+def _of_buckets(t: np.ndarray, y: np.ndarray, w: np.ndarray, own: np.ndarray, tau: float, width: float, b: np.ndarray, i: np.ndarray, m: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``chunk_starts`` for the time buckets ``b``: rows i to m of a bucket, m to z of the next."""
+
+    def sums(first: np.ndarray, end: np.ndarray, back: bool) -> np.ndarray:
+        """(2, buckets, rows + 1): sums from the edge on, up to and without each row; or back from it, with the row k before it at k."""
+        far = np.arange(max(1, int((end - first).max())))
+        row = end[:, None] - 1 - far if back else first[:, None] + far
+        there = far < (end - first)[:, None]
+        row = np.where(there, row, 0)
+        fade = np.exp(-np.where(there, (t[row] - (b[:, None] + 1) * width) / tau, 0.0))
+        terms = np.where(there, np.stack((w[row] * y[row] * fade, w[row] * fade * fade)), 0.0)
+        out = np.zeros((2, len(b), len(far) + 1))
+        np.cumsum(terms, axis=2, out=out[:, :, 1:])
+        return out
+
+    before, after = sums(i, m, True), sums(m, z, False)
+    line = np.repeat(np.arange(len(b)), m - i)
+    at = i[line] + np.arange(len(line)) - np.repeat(np.cumsum(m - i) - (m - i), m - i)
+    line, at = line[own[at]], at[own[at]]
+    t0 = t[at]
+    # windows never reach beyond the next bucket, but for rounding
+    first, end = np.searchsorted(t, t0, "left"), np.clip(np.searchsorted(t, t0 + width, "right"), m[line], z[line])
+    num, den = before[:, line, m[line] - first] + after[:, line, end - m[line]]
+    good = den > 0
+    den, rise = np.where(good, den, 1.0), np.exp((t0 - (b[line] + 1) * width) / tau)
+    return at, np.where(good, num / den / rise, np.nan), np.where(good, num * num / den, -np.inf), end - first, t[end - 1]
 
 
 def scan_starts(df: DataFrame, keys: list[str], *, tau: float, width: float, min_points: int, threshold: float, use: Column | None = None, resid: str = "resid", sigma: str = "sigma", time: str = "mjd", row_id: str = "toa_id", accept: Callable[..., np.ndarray] | None = None, settle_them: bool = False) -> DataFrame:
@@ -108,8 +130,9 @@ def settle(t: list[float], score: list[float], ident: list, kept: list[bool], wi
         k = bisect.bisect_left(times, x - width)
         return k < len(times) and times[k] <= x + width
 
-    for i in sorted((i for i, k in enumerate(kept) if not k), key=lambda i: (-score[i], t[i], ident[i])):
-        x = t[i]
+    for _, x, _, i in sorted(zip([-v for v in score], t, ident, range(len(t)))):
+        if kept[i]:
+            continue
         if near(sure, x):
             state[i] = False
         elif near(open_, x) or (low is not None and (x - width < low or x + width >= high)):
@@ -159,7 +182,7 @@ def keep_best(cands: DataFrame, keys: list[str], width: float, *, row_id: str =
 
 def settled(table: pa.Table, width: float, row_id: str, low: float | None = None, high: float | None = None) -> pa.Table:
     """The candidates that ``settle`` does not drop, marked in _kept if they are kept for certain."""
-    state = settle(*(table.column(c).to_pylist() for c in ("t0", "delta_chi2", row_id, "_kept")), width, low, high)
+    state = settle(*(table.column(c).to_numpy().tolist() for c in ("t0", "delta_chi2", row_id, "_kept")), width, low, high)
     at = pa.array([i for i, s in enumerate(state) if s is not False], pa.int64())
     return table.take(at).set_column(table.column_names.index("_kept"), "_kept", pa.array([bool(s) for s in state if s is not False], pa.bool_()))
 

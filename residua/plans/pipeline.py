@@ -32,6 +32,10 @@ from residua.sources.par import ParFile
 from residua.sources.timing import TimingSource
 
 DETECTORS = ("ou", "transient", "mad", "step", "dmstep")
+#: columns that are read besides those that the settings name: by detectors, by the keys and covariates; and how the names of flags begin
+READ = ("toa_id", "grp", "mjd", "day", "freq", "resid", "sigma", "orbital_phase", "solar_elongation_deg")
+KEYED_BY = ("filename", "_timfile", "_timfile_base", "cenfreq", "be", "i", "r", "sys", "tel")
+FLAGS = ("bad", "robust", "step", "dm_step", "transient", "exp_dip", "solar_event", "eclipse_event", "gaussian_bump", "glitch", "outlier", "event_member")
 
 
 @dataclass(frozen=True)
@@ -150,11 +154,18 @@ def _per_series(cfg: Settings, series: list[str]):
     return cfg.preproc.but(within=(*series, *[c for c in cfg.preproc.within if c not in series]))
 
 
-def run_pipeline(spark: SparkSession, source: TimingSource, meta: DataFrame, *, par: ParFile | None = None, cfg: Settings = Settings(), series: list[str] | None = None, max_offset_sec: float = 0.0, sites: DataFrame | None = None, settings_out: str | None = None) -> QCResult:
+def _read(columns: list[str], cfg: Settings, named: list[str]) -> list[str]:
+    """Those of the columns that the stages after the merge may read, and the named ones."""
+    set_to = {v for stage in cfg for _, value in stage.items for v in (value if isinstance(value, tuple) else (value,)) if isinstance(v, str)}
+    return [c for c in columns if c in {*named, *READ, *set_to} or c.startswith(FLAGS)]
+
+
+def run_pipeline(spark: SparkSession, source: TimingSource, meta: DataFrame, *, par: ParFile | None = None, cfg: Settings = Settings(), series: list[str] | None = None, max_offset_sec: float = 0.0, sites: DataFrame | None = None, settings_out: str | None = None, columns: list[str] | None = None) -> QCResult:
     """Timing rows, metadata, keys, covariates and detection in one.
 
     Rows without a metadata record raise an error, or are dropped where the
-    configuration says so.
+    configuration says so.  With ``columns``, only these of the columns that no
+    stage reads are carried along; rows and what is found for them are the same.
     """
     if settings_out:
         from residua.plans.settings import write_settings
@@ -166,7 +177,10 @@ def run_pipeline(spark: SparkSession, source: TimingSource, meta: DataFrame, *,
         toas, series = toas.withColumn("series_id", F.lit("all")), ["series_id"]
     merge = cfg.merge.but(tolerance_days=auto_tolerance(cfg.merge, max_offset_sec))
     known = toas.drop(*[c for c in ("sys", "grp") if c in toas.columns and c in meta.columns])
-    merged = checkpointed(merge_time_and_meta(known, meta, merge, entity=series[0] if series[0] in meta.columns else None))
+    merged = merge_time_and_meta(known, meta, merge, entity=series[0] if series[0] in meta.columns else None)
+    if columns is not None:
+        merged = merged.select(*_read(merged.columns, cfg, [*series, *KEYED_BY, *columns]))
+    merged = checkpointed(merged)
     if not cfg.drop_unmatched:
         lost = unmatched_sample(merged).collect()
         if lost:
@@ -174,4 +188,6 @@ def run_pipeline(spark: SparkSession, source: TimingSource, meta: DataFrame, *,
     keyed = ensure_sys_group(merged.where(F.col("filename").isNotNull()))
     if par is not None:
         keyed = add_features(keyed, par, cfg.covariates, sites=sites, series=series)
+    if columns is not None:
+        keyed = keyed.select(*_read(keyed.columns, cfg, [*series, *columns]))
     return detection_stage(keyed, cfg, series=series)

@@ -143,7 +143,7 @@ def detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge with the metadata, keys and detection over the whole tables; rows without a record are dropped."""
     toas = series_rows(spark, sf_dir).withColumnRenamed("series_id", "psr").where("mjd is not null")
-    out = run_pipeline(spark, FrameSource(toas), table(spark, sf_dir, "tim_meta"), cfg=Settings(drop_unmatched=True), series=["psr"]).df
+    out = run_pipeline(spark, FrameSource(toas), table(spark, sf_dir, "tim_meta"), cfg=Settings(drop_unmatched=True), series=["psr"], columns=["meta_id", "sys"]).df
     return out.select("toa_id", "meta_id", "sys", "grp", "bad_point", "event_member", "outlier_any")
 
 

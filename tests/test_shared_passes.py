@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from residua.operators.steps import Scan, best_steps, best_steps_of, chromatic_scale
 from residua.options import Settings, options
-from residua.plans.pipeline import detection_stage
+from residua.operators.transients import chunk_starts
+from residua.plans.pipeline import detection_stage, run_pipeline
+from residua.sources.timing import FrameSource
 
 
 def frame(series, n=400):
@@ -34,3 +36,27 @@ def test_flags_join_rows_by_id_only_for_members(series):
     assert sum(x.count("toa_id#") == 2 for x in joins) <= 2  # nine: one for each detector
     assert "step_z_med" not in plan and "median" not in plan  # counts that nobody reads are not made
     assert flags.count() == 400
+
+
+def test_columns_that_nobody_reads_are_not_carried(series):
+    toas = frame(series).withColumnRenamed("series_id", "psr").withColumn("note", F.lit("n"))
+    meta = toas.select("psr", "mjd", "freq", F.col("mjd").alias("sat_corr"), (F.col("toa_id") + 1000).alias("meta_id"), F.lit("a.ar").alias("filename"), F.lit("d/EFF.PX.1400.tim").alias("_timfile"), F.lit(1.0).alias("bw"))
+    run = lambda **how: run_pipeline(toas.sparkSession, FrameSource(toas), meta, series=["psr"], **how).df
+    whole, few = run(), run(columns=["meta_id"])
+    assert {"note", "bw", "filename", "mjd_meta"} <= set(whole.columns) and not {"note", "bw", "filename", "mjd_meta"} & set(few.columns)
+    shown = [c for c in whole.columns if c in few.columns]
+    assert {"meta_id", "grp", "bad_point", "step_z_med", "transient_t0"} <= set(shown)
+    assert sorted(map(str, few.select(shown).collect())) == sorted(map(str, whole.select(shown).collect()))
+
+
+def test_windows_of_uneven_buckets_at_once():
+    rng = np.random.default_rng(7)
+    t = np.sort(np.concatenate([10.0 * k + rng.uniform(0, 10, n).round(1) for k, n in enumerate((1, 40, 0, 3, 300, 2, 9, 0, 0, 5))]))
+    y, w, own = rng.normal(size=len(t)), rng.uniform(0.5, 2, len(t)), rng.random(len(t)) < 0.8
+    at, amp, delta, n, last = chunk_starts(t, y, w, own, 2.0, 10.0)
+    assert (at == np.flatnonzero(own)).all()
+    for k, i in enumerate(at):
+        inside = (t >= t[i]) & (t <= t[i] + 10.0)
+        f = np.exp(-(t[inside] - t[i]) / 2.0)
+        num, den = (w[inside] * y[inside] * f).sum(), (w[inside] * f * f).sum()
+        assert np.allclose((amp[k], delta[k]), (num / den, num * num / den)) and (n[k], last[k]) == (inside.sum(), t[inside][-1])
